@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
-from ..functions.core import any_of
+from ..functions.core import any_of, let
 from ..functions.urls import has_credentials, matched_domain, url_host, url_scheme
 from ..sources.catalog import platform_catalog
 
@@ -38,11 +38,10 @@ def classify_platform(urls: DataFrame, url: str = "url") -> DataFrame:
 
 # --- resolved addresses -----------------------------------------------------
 def _v4_number(ip: Column) -> Column:
-    octets = F.split(ip, r"\.")
-    number = F.lit(0).cast("bigint")
-    for i in range(4):
-        number = number * 256 + F.get(octets, F.lit(i)).cast("bigint")
-    return number
+    def combine(octets: Column) -> Column:
+        return F.aggregate(octets, F.lit(0).cast("bigint"), lambda n, o: n * 256 + o.cast("bigint"))
+
+    return combine(F.split(ip, r"\."))
 
 
 def _groups(text: Column) -> Column:
@@ -78,28 +77,37 @@ def _inside(value: Column, networks: Iterable[str]) -> Column:
     return any_of(tests)
 
 
-def is_global_address(ip: Column) -> Column:
-    """Whether an IPv4 or IPv6 address is globally reachable. The ranges are a
-    short fixed list, so they compile to comparisons and need no join."""
-    is_v4 = ip.rlike(r"^\d+\.\d+\.\d+\.\d+$")
-    v4 = _v4_number(F.when(is_v4, ip))
-    v6 = v6_hex(F.when(~is_v4, ip))
-    mapped = v6.startswith("00000000000000000000ffff")
-    inner = F.conv(F.right(v6, F.lit(8)), 16, 10).cast("bigint")
+_V4 = r"^\d+\.\d+\.\d+\.\d+$"
 
-    def v4_global(number: Column) -> Column:
-        return ~_inside(number, fixed.NON_GLOBAL_V4) | _inside(number, fixed.GLOBAL_EXCEPTIONS_V4)
 
-    v6_global = ~_inside(v6, fixed.NON_GLOBAL_V6) | _inside(v6, fixed.GLOBAL_EXCEPTIONS_V6)
-    return F.when(is_v4, v4_global(v4)).when(mapped, v4_global(inner)).otherwise(v6_global)
+def _judge_address(ip: Column, proxy_ok: bool) -> Column:
+    """Global reachability; the ranges are a short fixed list, so they compile to
+    comparisons on numbers computed once per row and need no join."""
 
+    def v4(number: Column) -> Column:
+        verdict = ~_inside(number, fixed.NON_GLOBAL_V4) | _inside(number, fixed.GLOBAL_EXCEPTIONS_V4)
+        return verdict | _inside(number, [fixed.PROXY_FAKE_RANGE]) if proxy_ok else verdict
 
-def acceptable_address(ip: Column) -> Column:
-    """Global, or in the range that proxies use as stand-ins for public hosts."""
-    proxy = ip.rlike(r"^\d+\.\d+\.\d+\.\d+$") & _inside(
-        _v4_number(F.when(ip.rlike(r"^\d+\.\d+\.\d+\.\d+$"), ip)), [fixed.PROXY_FAKE_RANGE]
+    def v6(digits: Column) -> Column:
+        own = ~_inside(digits, fixed.NON_GLOBAL_V6) | _inside(digits, fixed.GLOBAL_EXCEPTIONS_V6)
+        inner = F.conv(F.right(digits, F.lit(8)), 16, 10).cast("bigint")
+        mapped = ~_inside(inner, fixed.NON_GLOBAL_V4) | _inside(inner, fixed.GLOBAL_EXCEPTIONS_V4)
+        return F.when(digits.startswith("00000000000000000000ffff"), mapped).otherwise(own)
+
+    is_v4 = ip.rlike(_V4)
+    return F.when(is_v4, let(_v4_number(F.when(is_v4, ip)), v4)).otherwise(
+        let(v6_hex(F.when(~is_v4, ip)), v6)
     )
-    return is_global_address(ip) | F.coalesce(proxy, F.lit(False))
+
+
+def is_global_address(ip: Column) -> Column:
+    """Whether an IPv4 or IPv6 address is globally reachable."""
+    return _judge_address(ip, proxy_ok=False)
+
+
+def acceptable_address(ip: Column) -> Column:
+    """Global, or in the IPv4 range that proxies use as stand-ins for public hosts."""
+    return _judge_address(ip, proxy_ok=True)
 
 
 def resolved_hosts(dns: DataFrame) -> DataFrame:
