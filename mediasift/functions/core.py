@@ -23,7 +23,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(value: Column | str) -> Column:
-    return F.regexp_replace(col(value), f"^[{WS}]+|[{WS}]+$", "")
+    # The look-behind keeps long inner runs of blanks from being scanned repeatedly.
+    return F.regexp_replace(col(value), f"^[{WS}]+|(?<![{WS}])[{WS}]+$", "")
 
 
 def nonempty(value: Column) -> Column:

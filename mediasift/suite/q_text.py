@@ -474,27 +474,27 @@ def _(spark, d):
         F.lit(16).alias("height"), F.lit(16).alias("width"), F.lit(1).alias("nChannels"),
         F.unhex(F.array_join(rows, "")).alias("data"),
     )
-    return (
-        v.table(spark, d, "embeddings")
-        .select("vec_id", gray.alias("g"))
-        .select("vec_id", plugins.image_ahash(image).alias("hash"))
-    )
+    images = v.table(spark, d, "embeddings").select("vec_id", gray.alias("g")).select("vec_id", image.alias("image"))
+    return plugins.image_ahash(images, "image", "hash").drop("image")
 
 
 @query("collect_ocr_text", f"SELECT doc_id, string_agg(line, '|' ORDER BY n) AS texts FROM ({UNIQUE_LINES_SQL}) GROUP BY doc_id")
 def _(spark, d):
     found = F.filter(lines(), lambda x: F.length(x) > 0)
     # Old shape: [[box, [text, score]], ...]; arrays of mixed type are put together as text.
-    quoted = F.transform(found, lambda x: F.concat(F.lit("[[[0,0],[1,1]],["), F.to_json(F.struct(x.alias("t"))), F.lit(",0.9]]")))
-    old = F.regexp_replace(
-        F.concat(F.lit("[["), F.array_join(quoted, ","), F.lit("]]")), r'\{"t":("(?:[^"\\]|\\.)*")\}', "$1"
-    )
+    def old_line(x):
+        doc = F.to_json(F.struct(x.alias("t")))
+        return F.concat(F.lit("[[[0,0],[1,1]],["), F.substr(doc, F.lit(6), F.length(doc) - 6), F.lit(",0.9]]"))
+
+    old = F.concat(F.lit("[["), F.array_join(F.transform(found, old_line), ","), F.lit("]]"))
     new = F.to_json(F.struct(F.struct(found.alias("rec_texts")).alias("res")))
     deep = F.to_json(F.struct(F.transform(found, lambda x: F.struct(F.struct(x.alias("text")).alias("block"))).alias("pages")))
     shaped = F.when(F.col("lang") == "en", old).when(F.col("lang") == "fr", new).otherwise(deep)
     docs = v.documents(spark, d, "doc_id", "text", "lang").select("doc_id", shaped.alias("result"))
-    texts = unique_texts(plugins.ocr_texts(F.col("result")))
-    return docs.select("doc_id", F.array_join(texts, "|").alias("texts")).filter(F.col("texts") != "")
+    read = plugins.ocr_texts(docs, "result", "l")
+    return read.select("doc_id", F.array_join(unique_texts(F.col("l")), "|").alias("texts")).filter(
+        F.col("texts") != ""
+    )
 
 
 # --- plug-ins with stand-in engines -----------------------------------------
