@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed import WS
 
@@ -22,6 +22,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that are computed once, here.
+
+    Like ``withColumns``, but the values come out of a one-row generator, which
+    filters are not pushed through and projections are not merged with. A plain
+    chain of projections would let a filter on a late column copy every
+    expression below it into its condition, many times over.
+    """
+    bundle = F.struct(*[value.alias(name) for name, value in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(bundle)))
+
+
 def strip(value: Column | str) -> Column:
     # The look-behind keeps long inner runs of blanks from being scanned repeatedly.
     return F.regexp_replace(col(value), f"^[{WS}]+|(?<![{WS}])[{WS}]+$", "")

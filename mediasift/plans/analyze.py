@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
-from ..functions.core import empty_array, let, unique_texts
+from ..functions.core import empty_array, let, settle, unique_texts
 from ..functions.hashing import Engines
 from ..functions.media import detect_media, file_name
 from ..functions.replies import clamp01, evidence_refs, parse_semantic_payload, review_flag
@@ -153,103 +153,79 @@ def analyze_content(
         rows = rows.withColumns({"reply": nothing, "error": nothing})
 
     # 1. artifacts -> assets, evidence, failures
-    rows = rows.withColumn(
-        "parts", F.transform("artifacts", lambda a, i: _asset(a, i + 1, engines))
-    )
-    rows = rows.withColumns(
+    rows = settle(rows, {"parts": F.transform("artifacts", lambda a, i: _asset(a, i + 1, engines))})
+    rows = settle(
+        rows,
         {
             "assets": F.transform("parts", lambda p: p["asset"]),
             "base_evidence": ev.union_evidence(
                 F.col("post_text"), F.transform("parts", lambda p: p["evidence"]), F.lit(None)
             ),
-        }
-    ).withColumns(
-        {
-            "modalities": ev.modalities(F.col("assets")),
-            # Texts that reach the deterministic understanding, in asset order.
-            "ocr_text": ev.joined(F.flatten(F.transform("assets", lambda a: a["ocr_text"]))),
-            "transcript_text": ev.joined(
-                F.flatten(
-                    F.transform("assets", lambda a: F.transform(a["transcript"], lambda s: s["text"]))
-                )
+            "part_failure": F.get(
+                F.filter(F.transform("parts", lambda p: p["failure"]), lambda f: f.isNotNull()), F.lit(0)
             ),
-        }
-    )
+        },
+    ).drop("parts", "artifacts", "observations")
 
     # 2. model answer or deterministic understanding
-    has_images = F.exists("assets", lambda a: (a["modality"] == "image") | (a["sampled_frame_count"] > 0))
     vision_on = F.lit(engines.vision != fixed.VISION_DISABLED)
     asked = F.col("run_vision_model") & vision_on
-    rows = rows.withColumns(
+    rows = settle(
+        rows,
         {
+            "modalities": ev.modalities(F.col("assets")),
             "answer": F.when(asked & F.col("error").isNull(), parse_semantic_payload("reply")),
-            "fallback": understanding(
-                F.col("post_text"), F.col("transcript_text"), F.col("ocr_text"), F.col("modalities"),
-                F.col("language_hint"), ev.first_refs(F.col("base_evidence")),
-            ),
-        }
-    ).withColumns(
+        },
+    )
+    # Texts reach the understanding in asset order.
+    ocr_text = ev.joined(F.flatten(F.transform("assets", lambda a: a["ocr_text"])))
+    spoken = F.transform("assets", lambda a: F.transform(a["transcript"], lambda s: s["text"]))
+    fallback = understanding(
+        F.col("post_text"), ev.joined(F.flatten(spoken)), ocr_text, F.col("modalities"),
+        F.col("language_hint"), ev.first_refs(F.col("base_evidence")),
+    )
+    has_images = F.exists("assets", lambda a: (a["modality"] == "image") | (a["sampled_frame_count"] > 0))
+    failed_warning = F.format_string(
+        fixed.WARN_MODEL_FAILED.replace("{}", "%s"), F.coalesce("error", F.lit("ValidationError"))
+    )
+    unanswered = F.col("error").isNotNull() | (F.col("reply").isNotNull() & F.col("answer").isNull())
+    rows = settle(
+        rows,
         {
-            "semantic": F.coalesce("answer", "fallback"),
-            "model_warning": F.when(F.col("run_vision_model") & ~vision_on, fixed.WARN_NO_MODEL).when(
-                asked & (F.col("error").isNotNull() | (F.col("reply").isNotNull() & F.col("answer").isNull())),
-                F.format_string(
-                    fixed.WARN_MODEL_FAILED.replace("{}", "%s"),
-                    F.coalesce("error", F.lit("ValidationError")),
-                ),
-            ),
+            "semantic": F.when(F.col("answer").isNotNull(), F.col("answer")).otherwise(fallback),
+            "model_warnings": F.when(
+                F.col("run_vision_model") & ~vision_on, F.array(F.lit(fixed.WARN_NO_MODEL))
+            ).when(asked & unanswered, F.array(failed_warning)).otherwise(empty_array("string")),
             "visual": F.when(
                 F.col("answer").isNotNull() & has_images, ev.visual_evidence(F.col("answer.confidence"))
-            ),
-        }
+            ).otherwise(empty_array(ev.EVIDENCE_DDL)),
+        },
     )
 
     # 3. references, tags, warnings
-    rows = rows.withColumns(
-        {
-            "evidence": F.concat("base_evidence", F.coalesce("visual", empty_array(ev.EVIDENCE_DDL))),
-            "refs": F.concat(
-                evidence_refs(
-                    F.col("semantic.evidence_refs"),
-                    F.transform(
-                        F.concat("base_evidence", F.coalesce("visual", empty_array(ev.EVIDENCE_DDL))),
-                        lambda e: e["evidence_id"],
-                    ),
-                ),
-                F.when(F.col("visual").isNotNull(), F.array(F.lit("visual-model-1"))).otherwise(
-                    empty_array("string")
-                ),
-            ),
-        }
-    ).withColumns(
+    rows = settle(rows, {"evidence": F.concat("base_evidence", "visual")})
+    visual_ref = F.transform("visual", lambda e: e["evidence_id"])
+    refs = F.concat(
+        evidence_refs(F.col("semantic.evidence_refs"), F.transform("evidence", lambda e: e["evidence_id"])),
+        visual_ref,
+    )
+    skipped = F.transform(
+        F.filter("assets", lambda a: a["modality"] == "unknown"), lambda a: a["warnings"]
+    )
+    asset_warnings = ev.merge_warnings(F.flatten(skipped), F.transform("assets", lambda a: a["warnings"]))
+    rows = settle(
+        rows,
         {
-            "all_tags": union_tags(F.col("semantic"), F.col("modalities"), F.col("refs")),
-            "warnings": unique_texts(
-                F.concat(
-                    ev.merge_warnings(
-                        F.flatten(
-                            F.transform(
-                                F.filter("assets", lambda a: a["modality"] == "unknown"),
-                                lambda a: a["warnings"],
-                            )
-                        ),
-                        F.transform("assets", lambda a: a["warnings"]),
-                    ),
-                    F.when(F.col("model_warning").isNotNull(), F.array("model_warning")).otherwise(
-                        empty_array("string")
-                    ),
-                )
-            ),
-        }
+            "all_tags": union_tags(F.col("semantic"), F.col("modalities"), refs),
+            "warnings": unique_texts(F.concat(asset_warnings, "model_warnings")),
+        },
     )
 
     # 4. outcome
     failed = _failure("analysis_failed", fixed.MSG_ANALYSIS_FAILED)
     failure = F.coalesce(
         F.when(F.length("post_text") > 10_000, failed),
-        F.get(
-            F.filter(F.transform("parts", lambda p: p["failure"]), lambda f: f.isNotNull()), F.lit(0)
-        ),
+        F.col("part_failure"),
         F.when(F.size("modalities") == 0, _failure("unsupported_media", fixed.MSG_UNSUPPORTED)),
         F.when(~contracts.tags_ok(F.col("all_tags")), failed),
     )
@@ -275,15 +251,12 @@ def analyze_content(
             F.lit("content_understander"), F.lit(engines.vision),
         ),
     }
-    return rows.withColumn("failure", failure).select(
-        "request_id", *keep,
-        F.when(
-            F.col("failure").isNull(),
-            F.struct(*[outputs[f.name].cast(f.dataType).alias(f.name) for f in ANALYSIS.fields]),
-        ).alias("output"),
-        F.col("failure.code").alias("error_code"),
-        F.col("failure.message").alias("message"),
-    )
+    rows = settle(rows, {"failure": failure})
+    output = F.struct(*[outputs[f.name].cast(f.dataType).alias(f.name) for f in ANALYSIS.fields])
+    return settle(
+        rows.withColumns({"error_code": F.col("failure.code"), "message": F.col("failure.message")}),
+        {"output": F.when(F.col("failure").isNull(), output)},
+    ).select("request_id", *keep, "output", "error_code", "message")
 
 
 def apply_output_switches(summary: Column, tags: Column, topics: Column, entities: Column) -> dict[str, Column]:

@@ -108,7 +108,7 @@ semantic AS (SELECT c.request_id, d.source, a.j IS NOT NULL AS answered,
     CASE WHEN a.j IS NOT NULL THEN a.j->>'$.summary' WHEN c = '' THEN '{fixed.NO_TEXT_SUMMARY[0]}' || m.m || '{fixed.NO_TEXT_SUMMARY[1]}' ELSE {compact('c')} END AS summary,
     CASE WHEN a.j IS NOT NULL THEN (a.j->>'$.topics[0]') || '|' || (a.j->>'$.topics[1]') || '|' || (a.j->>'$.topics[2]') ELSE coalesce(t.topics, '') END AS topics,
     CASE WHEN a.j IS NOT NULL THEN a.j->>'$.entities[0]' ELSE '' END AS entities,
-    CASE WHEN a.j IS NULL AND post <> '' THEN {sentence('post')} ELSE '' END AS claims,
+    CASE WHEN a.j IS NULL AND c.post <> '' THEN {sentence('c.post')} ELSE '' END AS claims,
     CASE WHEN a.j IS NULL AND m.img THEN CASE WHEN oc = '' THEN '{fixed.IMAGE_SUMMARY}' ELSE {compact('oc')} END END AS image_summary,
     CASE WHEN a.j IS NULL AND m.vid THEN CASE WHEN av = '' THEN '{fixed.VIDEO_SUMMARY}' ELSE {compact('av')} END END AS video_summary,
     CASE WHEN a.j IS NULL AND tr <> '' THEN {compact('tr')} END AS transcript_summary,
