@@ -117,7 +117,7 @@ NON_GLOBAL_V4 = (
 GLOBAL_EXCEPTIONS_V4 = ("192.0.0.9/32", "192.0.0.10/32")
 NON_GLOBAL_V6 = (
     "::1/128", "::/128", "::ffff:0:0/96", "64:ff9b:1::/48", "100::/64",
-    "2001::/23", "2001:db8::/32", "2002::/16", "3fff::/20", "fc00::/7", "fe80::/10",
+    "2001::/23", "2001:db8::/32", "2002::/16", "fc00::/7", "fe80::/10",
 )
 GLOBAL_EXCEPTIONS_V6 = (
     "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48",

@@ -48,6 +48,17 @@ def empty_array(ddl: str) -> Column:
     return F.array().cast(f"array<{ddl}>")
 
 
+def sql_text(value: str) -> str:
+    """A string as an SQL literal. Constant tables are handed over as one SQL
+    expression: building them value by value costs a call to the JVM each."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def text_array(values: Iterable[str]) -> Column:
+    return F.expr(f"array({', '.join(sql_text(v) for v in values)})")
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     result = F.lit(False)
     for condition in conditions:

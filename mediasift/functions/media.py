@@ -9,7 +9,7 @@ from pyspark.sql import Column, functions as F
 
 from .. import fixed
 from .casts import nonneg_float, positive_int
-from .core import col, let, nonempty
+from .core import col, let, nonempty, sql_text
 
 _PROBE = (
     "struct<format:struct<duration:string>,"
@@ -29,8 +29,8 @@ def suffix(path: Column | str) -> Column:
 def guess_media_type(path: Column | str) -> Column:
     """Media type by file name, from the standard library's table."""
     table = mimetypes.MimeTypes(filenames=()).types_map[True]
-    pairs = [F.lit(part) for item in sorted(table.items()) for part in item]
-    return F.create_map(*pairs)[suffix(path)]
+    pairs = ", ".join(sql_text(part) for item in sorted(table.items()) for part in item)
+    return F.try_element_at(F.expr(f"map({pairs})"), suffix(path))
 
 
 def detect_media(path: Column | str, declared: Column | str) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+from functools import lru_cache
+
 from pyspark.sql import Column, functions as F
 
 from .. import fixed
-from .core import col, empty_array, let
+from .core import col, empty_array, let, sql_text
 
 KEYWORD = "struct<n:int,pos:int,word:string>"
 
@@ -117,9 +120,29 @@ def keywords(text: Column | str, maximum: int = fixed.TOPICS) -> Column:
     return F.transform(top_keywords(keyword_counts(text), maximum), lambda k: k["word"])
 
 
+@lru_cache(maxsize=1)
+def _folds() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """Full case folding from the standard library: the characters that fold to
+    one other character, their folds, and the pairs that fold to several."""
+    changed = [(c, c.casefold()) for c in map(chr, range(sys.maxunicode + 1)) if c.casefold() != c]
+    single = [(c, f) for c, f in changed if len(f) == 1]
+    several = tuple((c, f) for c, f in changed if len(f) > 1)
+    return "".join(c for c, _ in single), "".join(f for _, f in single), several
+
+
 def fold_case(text: Column | str) -> Column:
-    """Case folding for tag keys; dotless i is the known difference to full folding."""
-    return F.translate(F.lower(F.upper(col(text))), "ς", "σ")
+    """Full case folding, for comparing tag labels."""
+    sources, targets, several = _folds()
+    simple = F.translate(col(text), sources, targets)
+    starts = "".join(c for c, _ in several)
+    pairs = ", ".join(f"{sql_text(c)}, {sql_text(f)}" for c, f in several)
+
+    def expand(folded: Column) -> Column:
+        table = F.expr(f"map({pairs})")
+        parts = F.transform(F.split(folded, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
+        return F.when(folded.rlike(f"[{starts}]"), F.array_join(parts, "")).otherwise(folded)
+
+    return let(simple, expand)
 
 
 def redact_urls(message: Column | str, maximum: int = 500) -> Column:

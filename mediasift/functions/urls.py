@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, functions as F
 
 from .. import fixed
-from .core import any_of, col, nonempty, strip
+from .core import any_of, col, nonempty, strip, text_array
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
@@ -88,7 +88,7 @@ def matched_domain(host: Column, domains: Iterable[str]) -> Column:
     The host is cut at each label and looked up, so the cost is one lookup per
     label whatever the number of domains. ``domains`` is configuration.
     """
-    known = F.array(*[F.lit(d) for d in sorted(set(domains))])
+    known = text_array(sorted(set(domains)))
     labels = F.split(host, r"\.")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)),

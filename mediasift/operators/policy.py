@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
-from ..functions.core import any_of, let
+from ..functions.core import let
 from ..functions.urls import has_credentials, matched_domain, url_host, url_scheme
 from ..sources.catalog import platform_catalog
 
@@ -66,15 +66,15 @@ def v6_hex(ip: Column) -> Column:
 
 
 def _inside(value: Column, networks: Iterable[str]) -> Column:
-    tests = []
+    """Whether an address (number, or hex text for IPv6) lies in one of the networks."""
+    ranges = []
     for text in networks:
         net = ipaddress.ip_network(text)
         low, high = int(net.network_address), int(net.broadcast_address)
-        if net.version == 4:
-            tests.append(value.between(F.lit(low).cast("bigint"), F.lit(high).cast("bigint")))
-        else:
-            tests.append(value.between(F.lit(f"{low:032x}"), F.lit(f"{high:032x}")))
-    return any_of(tests)
+        ends = (f"{low}L", f"{high}L") if net.version == 4 else (f"'{low:032x}'", f"'{high:032x}'")
+        ranges.append(f"named_struct('low', {ends[0]}, 'high', {ends[1]})")
+    table = F.expr(f"array({', '.join(ranges)})")
+    return F.exists(table, lambda r: value.between(r["low"], r["high"]))
 
 
 _V4 = r"^\d+\.\d+\.\d+\.\d+$"

@@ -106,14 +106,20 @@ def ingest_media(
     artifacts: DataFrame,
     dns: DataFrame,
     allowed: Iterable[str],
+    *,
+    interval: int | float | None = None,
+    ts: str = "ts",
 ) -> tuple[DataFrame, DataFrame]:
     """(outcomes, items): one outcome per request with its error_code, and the
-    items of requests that succeeded.
+    items of requests that succeeded. With ``interval`` outcomes have ``admit``,
+    the time each accepted request is let through.
 
     Per-request failures: broken contract, refused address, size limits, then a
     record without a usable source address, which fails the whole request.
     """
-    checked = check_downloads(requests, dns, allowed)
+    # The narrow decision table feeds four branches and the items two: each is
+    # computed once.
+    checked = cut(check_downloads(requests, dns, allowed))
     accepted = checked.filter(F.col("error_code").isNull())
     limits = size_limits(
         artifacts.join(
@@ -122,14 +128,13 @@ def ingest_media(
         file_cap_mb=F.col("max_file_size_mb"),
         total_cap_mb=F.col("max_total_size_mb"),
     ).select("request_id", F.col("error_code").alias("limit_code"))
-    # Read by the outcome and by the result: computed once.
     items = cut(media_items(accepted, raw))
-    unusable = items.groupBy("request_id").agg(
+    per_request = items.groupBy("request_id").agg(
         F.bool_or(http_url(F.col("source_url")).isNull()).alias("bad_item"), F.count("*").alias("n_items")
     )
     outcomes = (
         checked.join(limits, "request_id", "left")
-        .join(unusable, "request_id", "left")
+        .join(per_request, "request_id", "left")
         .withColumn(
             "error_code",
             F.coalesce("error_code", "limit_code", F.when(F.col("bad_item"), "download_failed")),
@@ -137,6 +142,8 @@ def ingest_media(
         .withColumn("n_items", F.when(F.col("error_code").isNull(), F.coalesce("n_items", F.lit(0))))
         .drop("limit_code", "bad_item")
     )
+    if interval is not None:
+        outcomes = outcomes.join(admissions(accepted, interval, ts), "request_id", "left")
     good = outcomes.filter(F.col("error_code").isNull()).select("request_id")
     return outcomes, items.join(good, "request_id", "left_semi")
 

@@ -8,7 +8,7 @@ from .. import fixed
 from ..functions.hashing import Engines
 from ..operators.audit import audit_append, audit_rows
 from ..plans.analyze import analyze_content
-from ..plans.ingest import admissions, check_downloads, ingest_media
+from ..plans.ingest import ingest_media
 from ..plans.run_analysis import analysis_audit, run_analysis
 from ..schemas import ANALYSIS, AUDIT, OBSERVATION, REQUEST_DEFAULTS
 from ..session import work_dir
@@ -344,12 +344,11 @@ INGEST_SQL = f"""WITH req AS (SELECT c_custkey AS request_id, c_mktsegment AS te
   LEFT JOIN (SELECT request_id, count(*) AS n FROM kept WHERE item_no <= max_items GROUP BY request_id) k ON k.request_id = j.request_id LEFT JOIN adm ON adm.request_id = j.request_id""",
 )
 def _(spark, d):
-    requests, dns = download_requests(spark, d), v.dns(spark, d)
-    allowed = ["example.com", "example.net"]
-    outcomes, _items = ingest_media(requests, site_records(spark, d), download_files(spark, d), dns, allowed)
-    accepted = check_downloads(requests, dns, allowed).filter(F.col("error_code").isNull())
-    admitted = admissions(accepted, 20_000)
-    return outcomes.select("request_id", "error_code", "n_items").join(admitted, "request_id", "left")
+    outcomes, _items = ingest_media(
+        download_requests(spark, d), site_records(spark, d), download_files(spark, d), v.dns(spark, d),
+        ["example.com", "example.net"], interval=20_000,
+    )
+    return outcomes.select("request_id", "error_code", "n_items", "admit")
 
 
 @query(
