@@ -66,6 +66,13 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return result
 
 
+def all_true(conditions: Iterable[Column]) -> Column:
+    result = F.lit(True)
+    for condition in conditions:
+        result = result & condition
+    return result
+
+
 def unique_texts(values: Column) -> Column:
     """Collapse whitespace, drop blanks, keep first occurrences in order (array in, array out)."""
     from .text import collapse_ws

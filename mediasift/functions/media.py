@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import mimetypes
-from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -184,6 +183,3 @@ def progress_percent(
         .when(status == "downloading", clamped.cast("bigint"))
     )
 
-
-def all_true(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

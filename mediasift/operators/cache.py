@@ -43,12 +43,12 @@ def mark_first(requests: DataFrame, *order: str) -> DataFrame:
     gathers its rows in one task.
     """
     work = "work_key" if "work_key" in requests.columns else "cache_key"
-    first = (
-        requests.filter(F.col(work).isNotNull())
-        .groupBy(work)
-        .agg(F.min(F.struct(*order, "request_id")).alias("f"))
-        .select(F.col("f.request_id").alias("request_id"), F.lit(True).alias("_first"))
-    )
+    grouped = requests.filter(F.col(work).isNotNull()).groupBy(work)
+    if order:
+        picked = grouped.agg(F.min(F.struct(*order, "request_id")).alias("f")).select("f.request_id")
+    else:
+        picked = grouped.agg(F.min("request_id").alias("request_id")).select("request_id")
+    first = picked.withColumn("_first", F.lit(True))
     return requests.join(first, "request_id", "left").withColumn(
         "computes", F.coalesce(F.col("_first"), F.lit(False))
     ).drop("_first")

@@ -30,7 +30,7 @@ def keyword_arrays(posts: DataFrame, text: str = "text", maximum: int = fixed.TO
 def top_words_of_parts(parts: DataFrame, maximum: int = fixed.TOPICS) -> DataFrame:
     """Best words of requests whose text is spread over many rows.
 
-    ``parts``: request_id, part_no, text. Each part is counted in its row; the
+    ``parts``: request_id, part_no (below 2^31), text. Each part is counted in its row; the
     partial counts add up in a hash aggregate that combines before the shuffle,
     so a request with very many parts is spread over all tasks, and the rank
     filter keeps ``maximum`` rows per task before the last exchange.
@@ -42,10 +42,11 @@ def top_words_of_parts(parts: DataFrame, maximum: int = fixed.TOPICS) -> DataFra
         "request_id",
         F.col("k.word").alias("word"),
         F.col("k.n").cast("bigint").alias("n"),
-        F.struct(
-            F.col("k.word").rlike(f"[{fixed.CJK}]").alias("cjk"),
-            F.col("part_no").alias("part_no"),
-            F.col("k.pos").alias("pos"),
+        # Script, part and place packed into one number: a hash aggregate can hold it.
+        (
+            F.shiftleft(F.col("k.word").rlike(f"[{fixed.CJK}]").cast("bigint"), 62)
+            + F.shiftleft(F.col("part_no").cast("bigint"), 31)
+            + F.col("k.pos")
         ).alias("first"),
     )
     totals = counted.groupBy("request_id", "word").agg(F.sum("n").alias("n"), F.min("first").alias("first"))

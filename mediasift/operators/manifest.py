@@ -5,9 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
-from ..functions.core import col, empty_array
+from ..functions.core import col, empty_array, text_array
 
 MB = 1024 * 1024
+# Checks of one artifact in the order in which they are made.
+CHECKS = (
+    ("invalid_artifact", fixed.MSG_MISSING_FILE),
+    ("invalid_artifact", fixed.MSG_OUTSIDE_ROOT),
+    ("invalid_artifact", fixed.MSG_NOT_REGULAR),
+    ("invalid_artifact", fixed.MSG_SIZE),
+    ("hash_mismatch", fixed.MSG_HASH),
+)
+
+
+def _error(rank: Column) -> Column:
+    """struct<rank, code, message> of a failed check."""
+    codes, messages = (text_array(c[k] for c in CHECKS) for k in (0, 1))
+    return F.struct(
+        rank.alias("rank"),
+        F.get(codes, rank - 1).alias("code"),
+        F.get(messages, rank - 1).alias("message"),
+    )
 
 
 def resolved_path(path: Column | str, root: str) -> Column:
@@ -68,27 +86,33 @@ def verify_manifest(artifacts: DataFrame, files: DataFrame, root: str) -> DataFr
     )
     left = artifacts.withColumn("resolved", resolved_path("path", root))
 
-    def error(rank: int, code: str, message: str) -> Column:
-        return F.struct(F.lit(rank).alias("rank"), F.lit(code).alias("code"), F.lit(message).alias("message"))
-
-    verdict = (
-        F.when(F.col("actual_size").isNull(), error(1, "invalid_artifact", fixed.MSG_MISSING_FILE))
-        .when(~below_root(F.col("resolved"), root), error(2, "invalid_artifact", fixed.MSG_OUTSIDE_ROOT))
-        .when(~F.col("is_regular"), error(3, "invalid_artifact", fixed.MSG_NOT_REGULAR))
-        .when(F.col("actual_size") != F.col("size_bytes"), error(4, "invalid_artifact", fixed.MSG_SIZE))
-        .when(F.col("actual_sha256") != F.lower("sha256"), error(5, "hash_mismatch", fixed.MSG_HASH))
+    rank = (
+        F.when(F.col("actual_size").isNull(), 1)
+        .when(~below_root(F.col("resolved"), root), 2)
+        .when(~F.col("is_regular"), 3)
+        .when(F.col("actual_size") != F.col("size_bytes"), 4)
+        .when(F.col("actual_sha256") != F.lower("sha256"), 5)
     )
+    verdict = F.when(rank.isNotNull(), _error(rank))
     return left.join(found, "resolved", "left").withColumn("error", verdict)
 
 
 def first_error(checked: DataFrame) -> DataFrame:
     """Per request: the first failing check in artifact order, then check order,
-    and the total size. Both parts combine before the shuffle."""
-    order = F.struct("artifact_index", "error.rank", "error.code", "error.message")
-    return checked.groupBy("request_id").agg(
-        F.min(F.when(F.col("error").isNotNull(), order)).alias("first"),
-        F.sum("actual_size").alias("total_size"),
+    and the total size.
+
+    Index and rank are packed into one number, so that both aggregates are
+    plain hash aggregates that combine before the shuffle.
+    """
+    place = F.col("artifact_index").cast("bigint") * 10 + F.col("error.rank")
+    grouped = checked.groupBy("request_id").agg(
+        F.min(place).alias("_place"), F.sum("actual_size").alias("total_size")
+    )
+    found = F.struct(
+        F.floor(F.col("_place") / 10).cast("bigint").alias("artifact_index"),
+        *[_error((F.col("_place") % 10).cast("int"))[f].alias(f) for f in ("rank", "code", "message")],
     )
+    return grouped.select("request_id", F.when(F.col("_place").isNotNull(), found).alias("first"), "total_size")
 
 
 def size_limits(artifacts: DataFrame, *, file_cap_mb: Column | None = None, total_cap_mb: Column) -> DataFrame:

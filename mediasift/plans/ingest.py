@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
+from ..functions.core import text_array
 from ..functions.hashing import content_hash
 from ..functions.urls import http_url, normalize_video_url, throttle_host, url_host
 from ..operators.audit import CONTEXT, audit_rows
@@ -35,20 +36,25 @@ def explode_urls(requests: DataFrame, *keep: str) -> DataFrame:
 
 
 def url_verdicts(requests: DataFrame, dns: DataFrame, allowed: Iterable[str]) -> DataFrame:
-    """Per request the first refused address: index, code."""
+    """request_id, refused: the code of the first refused address, null when none is."""
     urls = explode_urls(requests).withColumns(
         {"host": url_host("url"), "url_code": url_error(F.col("url"), list(allowed))}
     )
     judged = urls.join(resolved_hosts(dns), "host", "left")
     unresolved = F.coalesce(F.col("n_addresses"), F.lit(0)) == 0
-    code = F.coalesce(
-        "url_code",
-        F.when(unresolved, "platform_unavailable").when(F.col("any_bad"), "unsafe_url"),
+    # First address, then its code, packed into one number for a hash aggregate.
+    rank = (
+        F.when(F.col("url_code") == "unsafe_url", 1)
+        .when(F.col("url_code") == "permission_denied", 2)
+        .when(unresolved, 3)
+        .when(F.col("any_bad"), 4)
     )
+    codes = text_array(("unsafe_url", "permission_denied", "platform_unavailable", "unsafe_url"))
+    place = F.col("_place")
     return (
-        judged.withColumn("code", code)
-        .groupBy("request_id")
-        .agg(F.min(F.when(F.col("code").isNotNull(), F.struct("url_index", "code"))).alias("refused"))
+        judged.groupBy("request_id")
+        .agg(F.min(F.col("url_index").cast("bigint") * 10 + rank).alias("_place"))
+        .select("request_id", F.get(codes, (place % 10).cast("int") - 1).alias("refused"))
     )
 
 
@@ -61,7 +67,7 @@ def check_downloads(requests: DataFrame, dns: DataFrame, allowed: Iterable[str])
         checked.join(url_verdicts(valid, dns, allowed), "request_id", "left")
         .withColumn(
             "error_code",
-            F.when(F.size("violations") > 0, "invalid_request").otherwise(F.col("refused.code")),
+            F.when(F.size("violations") > 0, "invalid_request").otherwise(F.col("refused")),
         )
         .drop("violations", "refused")
     )
