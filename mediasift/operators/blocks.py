@@ -11,6 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+# Even a key that holds every row then has at most about this many per block,
+# as long as its rows are spread over time.
+ROWS_PER_BLOCK = 1_000_000
+
 
 def positions(df: DataFrame, keys: list[str], block: Column, order: list[str]) -> DataFrame:
     """Adds ``pos`` (1-based place of the row in its group) and ``group_size``.
@@ -35,5 +39,17 @@ def positions(df: DataFrame, keys: list[str], block: Column, order: list[str]) -
     )
 
 
-def time_block(seconds: Column, width: float) -> Column:
-    return F.floor(seconds / F.lit(float(width)))
+def even_width(df: DataFrame, column: str, rows_per_block: int = ROWS_PER_BLOCK) -> float:
+    """Block width in the unit of a numeric ordering column, so that the table
+    has about ``rows_per_block`` rows per block. One aggregate over that column."""
+    stats = df.agg(
+        F.count(column).alias("n"), F.min(column).alias("low"), F.max(column).alias("high")
+    ).first()
+    if not stats["n"]:
+        return 1.0
+    span = float(stats["high"] - stats["low"])
+    return max(span / max(1, -(-stats["n"] // rows_per_block)), 1e-6) * 1.0001
+
+
+def block_of(column: Column, width: float) -> Column:
+    return F.floor(column / F.lit(float(width)))

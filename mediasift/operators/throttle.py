@@ -13,9 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.core import all_true
 from ..functions.urls import throttle_host
-from .blocks import time_block
-
-BLOCK_INTERVALS = 1_000
+from .blocks import block_of, even_width
 
 
 def throttle_key(tenant: Column, bucket: str, first_url: Column) -> Column:
@@ -35,16 +33,15 @@ def throttle_schedule(
     is let through, in the unit of ``ts``
     and ``interval``; whole numbers (epoch microseconds, say) stay exact.
 
-    A block is a stretch of ``block_width`` in that unit, by default a thousand
-    intervals; lower it when single keys see very many calls in that time.
-    Results do not depend on it. Calls without key or time are left out.
+    A block is a stretch of ``block_width`` in that unit, by default chosen so
+    that about a million calls fall into one. Results do not depend on it. Calls without key or time are left out.
     """
-    width = block_width or max(float(interval) * BLOCK_INTERVALS, 1.0)
+    width = block_width or even_width(calls, ts)
     d = F.lit(interval).cast("bigint" if isinstance(interval, int) else "double")
     names = list(keys)
     # Stated before the two branches part, the filter lets them share one exchange.
     known = all_true([F.col(c).isNotNull() for c in (*names, ts)])
-    blocked = calls.filter(known).withColumn("_block", time_block(F.col(ts), width))
+    blocked = calls.filter(known).withColumn("_block", block_of(F.col(ts), width))
     ordered = Window.partitionBy(*names, "_block").orderBy(ts, tie)
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = blocked.withColumn("_j", F.row_number().over(ordered)).withColumn(

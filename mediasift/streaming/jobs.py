@@ -111,21 +111,9 @@ def _type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def stream_progress(events: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Current status per job, kept in Spark's state store, emitted on change.
-
-    ``table`` names an in-memory result table holding the latest complete answer.
-    """
-    last = F.max_by(F.struct("status", "percent"), F.struct("ts", "event_id"))
-    current = (
-        progress_status(events).groupBy("job").agg(last.alias("last")).select("job", "last.status", "last.percent")
-    )
-    query = current.writeStream.outputMode("complete").format("memory").queryName(table)
-    return _available(query, checkpoint).start()
-
-
-def stream_progress_updates(events: DataFrame, folder: str) -> StreamingQuery:
-    """The same in update mode: each batch writes only the jobs that changed."""
+def stream_progress(events: DataFrame, folder: str) -> StreamingQuery:
+    """Current status per job, kept in Spark's state store; each batch writes
+    only the jobs that changed, below ``changes/batch=N``."""
     last = F.max_by(F.struct("status", "percent"), F.struct("ts", "event_id"))
     current = (
         progress_status(events).groupBy("job").agg(last.alias("last")).select("job", "last.status", "last.percent")
@@ -143,6 +131,5 @@ __all__ = [
     "stream_analyze",
     "stream_audit",
     "stream_progress",
-    "stream_progress_updates",
     "stream_throttle",
 ]

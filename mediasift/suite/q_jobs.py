@@ -490,7 +490,7 @@ def _(spark, d):
         F.col("value").alias("downloaded"), F.when(kind != "view", 500.0).alias("total"),
         F.when((kind == "view") & (F.col("user_id") % 2 == 0), 300.0).alias("estimate"),
     )
-    jobs.stream_progress_updates(events, folder).awaitTermination()
+    jobs.stream_progress(events, folder).awaitTermination()
     changes = spark.read.schema("job bigint, status string, percent bigint, batch int").option(
         "basePath", f"{folder}/changes"
     ).parquet(f"{folder}/changes")

@@ -345,8 +345,7 @@ SAMPLE_SQL = """SELECT user_id, i AS sample_no, event_id FROM (SELECT user_id, e
 @query("evenly_sample", SAMPLE_SQL.format(m=24, m1=23))
 def _(spark, d):
     events = v.table(spark, d, "events").select("event_id", "user_id", v.epoch_us().alias("ts"))
-    block = F.floor(F.col("ts") / DAY_US)
-    return sampling.evenly_sample_rows(events, ["user_id"], block, ["ts", "event_id"], 24).select(
+    return sampling.evenly_sample_rows(events, ["user_id"], ["ts", "event_id"], 24).select(
         "user_id", "sample_no", "event_id"
     )
 
@@ -380,7 +379,7 @@ THROTTLE_SQL = """SELECT call_id, key, i * {d} + max(ts - i * {d}) OVER (PARTITI
 
 @query("throttle_schedule", THROTTLE_SQL.format(d=DAY_US))
 def _(spark, d):
-    return throttle.throttle_schedule(v.calls(spark, d), DAY_US, block_width=DAY_US).select("call_id", "key", "admit")
+    return throttle.throttle_schedule(v.calls(spark, d), DAY_US).select("call_id", "key", "admit")
 
 
 @query(

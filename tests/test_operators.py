@@ -187,7 +187,7 @@ def test_throttle_equals_the_loop_whatever_the_blocks(spark):
     for call_id, key, ts in sorted(calls, key=lambda c: (c[2], c[0])):
         last[key] = expected[call_id] = max(ts, last[key] + 7) if key in last else ts
     rows = spark.createDataFrame(calls, "call_id long, key string, ts long")
-    for width in (1.0, 50.0, 1e9):
+    for width in (None, 1.0, 50.0, 1e9):
         got = throttle.throttle_schedule(rows, 7, block_width=width).collect()
         assert {r["call_id"]: r["admit"] for r in got} == expected
 
@@ -230,7 +230,7 @@ def test_even_samples_of_hot_groups(spark):
     rows = [("hot", i) for i in range(500)] + [("few", i) for i in range(3)] + [("none", 7)]
     df = spark.createDataFrame(rows, "g string, t long")
     for cap in (1, 4, 24):
-        got = sampling.evenly_sample_rows(df, ["g"], F.floor(F.col("t") / 10), ["t"], cap).collect()
+        got = sampling.evenly_sample_rows(df, ["g"], ["t"], cap, block_width=10.0).collect()
         by = {}
         for r in sorted(got, key=lambda r: r["sample_no"]):
             by.setdefault(r["g"], []).append(r["t"])
