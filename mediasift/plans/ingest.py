@@ -19,7 +19,7 @@ from ..operators.throttle import throttle_schedule
 from ..schemas import MEDIA_INFO
 from ..session import cut
 
-BUCKET = "social-media-public-read"
+BUCKET = "public-read"
 INPUT_FIELDS = (
     "urls", "mode", "media_format", "include_playlists", "max_items", "max_file_size_mb",
     "max_total_size_mb", "max_duration_seconds", "request_timeout_seconds", "write_thumbnail",

@@ -120,7 +120,12 @@ def run_analysis(
     decisions = decide(requests, files, cache, root=root, version=engines.version)
     computing = decisions.filter("computes").select("request_id", "work_key")
     work = validate_analysis_requests(requests).drop("violations").join(computing, "request_id")
-    results = analyze_content(work, observations, replies, engines, keep=("work_key",)).select(
+    # With many hits, or a small batch, most of the other inputs is not needed:
+    # a small id list is broadcast and cuts them before they are shuffled.
+    ids = computing.select("request_id")
+    observed = observations.join(ids, "request_id", "left_semi")
+    answered = replies.join(ids, "request_id", "left_semi") if replies is not None else None
+    results = analyze_content(work, observed, answered, engines, keep=("work_key",)).select(
         "work_key",
         F.col("output").alias("new_output"),
         F.col("error_code").alias("new_code"),
