@@ -43,3 +43,22 @@ def part_bases(rows: DataFrame, size: str, keys: list[str]) -> DataFrame:
     if keys:
         before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return sums.select("part", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("base"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """doc_id, text and label of at most ``rows`` labelled documents of each label value 0 and 1.
+
+    Which ones follows from a hash of the id. A document with several labels
+    counts as 1 if any is 1; null ids, null labels and other values are left out.
+    """
+    known = (
+        labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        .agg(F.max(label).cast("int").alias(label))
+    )
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = [known.filter(F.col(label) == value).orderBy(*order).limit(rows) for value in (0, 1)]
+    # At most 2 * rows ids, whatever the input's size.
+    few = F.broadcast(chosen[0].unionByName(chosen[1]))
+    # The limit binds only where very many documents share an id.
+    return docs.select(F.col("doc_id").cast("long"), "text").join(few, "doc_id").limit(4 * rows)

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import work_dir
 from .packing import pack
+from .quality import quality
 from .token_files import token_digests, write_tokens
+from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +31,16 @@ def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_toxicity_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op9_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "orc-tokens")
