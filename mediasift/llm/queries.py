@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import work_dir
+from .language import language
 from .packing import pack
+from .personal import personal_spans, train
 from .quality import quality
 from .token_files import token_digests, write_tokens
 from .toxicity import toxicity
@@ -36,6 +38,18 @@ def op3_toxicity_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op4_personal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = personal_spans(docs, train(docs))
+    return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+
+
+@query
+def op5_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
