@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import work_dir
 from .language import language
+from .mixing import MIX_SQL, mix_report
 from .packing import pack
 from .personal import personal_spans, train
 from .quality import quality
@@ -50,6 +51,14 @@ def op5_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op7_hypergeometric_mix"] = MIX_SQL
+
+
 @query
 def op8_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
