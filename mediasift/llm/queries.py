@@ -12,6 +12,7 @@ from .mixing import MIX_SQL, mix_report
 from .packing import pack
 from .personal import personal_spans, train
 from .quality import quality
+from .shingles import near_duplicates
 from .token_files import token_digests, write_tokens
 from .toxicity import toxicity
 
@@ -51,6 +52,11 @@ def op5_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
