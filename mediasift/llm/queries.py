@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import work_dir
+from .archives import page_records
 from .grid_join import vector_links
 from .language import language
 from .mixing import MIX_SQL, mix_report
@@ -81,3 +82,8 @@ def op9_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "orc-tokens")
     write_tokens(table(spark, sf_dir, "documents"), folder)
     return token_digests(spark, folder)
+
+
+@query
+def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_records(spark, table(spark, sf_dir, "pages"))
