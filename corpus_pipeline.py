@@ -6,20 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mediasift.llm.mixing import mixed
 from mediasift.llm.packing import pack
+from mediasift.llm.personal import redacted, train
+from mediasift.llm.shingles import without_near_duplicates
+from mediasift.llm.toxicity import nontoxic
 from mediasift.session import work_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    return nontoxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    return without_near_duplicates(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their personal data masked."""
+    return redacted(docs, train(docs))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of the sources takes them, shuffled over shards."""
+    return mixed(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens in which every source has its share."""
+    """Pieces of sequences of 2048 tokens in which every source has its share."""
     return pack(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", packing)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
+    ("n-gram jaccard join", deduplication),
+    ("personal data", personal_data),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
-#: No SQL has the classifiers, tokenizers and random draws of the stages; tests hold them against brute force.
+#: No SQL has the classifiers, tokenizers and draws of the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 

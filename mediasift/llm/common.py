@@ -45,8 +45,19 @@ def part_bases(rows: DataFrame, size: str, keys: list[str]) -> DataFrame:
     return sums.select("part", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("base"))
 
 
+def hashed_sample(rows: DataFrame, about: int, *keys: str) -> DataFrame:
+    """About so many of the rows, or all if there are not more; which ones follows from a hash of ``keys``.
+
+    A filter, so that nothing gathers but what is sampled.
+    """
+    n = rows.count()
+    if n <= about:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < int(about / n * (1 << 40)))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """doc_id, text and label of at most ``rows`` labelled documents of each label value 0 and 1.
+    """doc_id, text and label of about ``rows`` labelled documents of each label value 0 and 1.
 
     Which ones follows from a hash of the id. A document with several labels
     counts as 1 if any is 1; null ids, null labels and other values are left out.
@@ -56,9 +67,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.max(label).cast("int").alias(label))
     )
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [known.filter(F.col(label) == value).orderBy(*order).limit(rows) for value in (0, 1)]
-    # At most 2 * rows ids, whatever the input's size.
+    chosen = [hashed_sample(known.filter(F.col(label) == value), rows, "doc_id") for value in (0, 1)]
+    # About 2 * rows ids, whatever the input's size.
     few = F.broadcast(chosen[0].unionByName(chosen[1]))
-    # The limit binds only where very many documents share an id.
-    return docs.select(F.col("doc_id").cast("long"), "text").join(few, "doc_id").limit(4 * rows)
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(few, "doc_id")
+    # One text for each id, however many documents share it.
+    return texts.groupBy("doc_id", label).agg(F.min("text").alias("text"))

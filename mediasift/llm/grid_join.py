@@ -20,13 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F  # noqa: F401
+from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import hashed_sample, written
 from .components import components
 
 COSINE = 0.98
-#: Bound of the vectors that the principal dimensions are taken from; they steer the order only.
+#: About so many vectors, by a hash, give the principal dimensions; these steer the order only.
 FIT_ROWS = 5000
 DIMENSIONS, CELLS = 8, 5
 BLOCK, RUN, FAN = 1024, 64, 8
@@ -62,7 +62,7 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 
 def principal(rows: DataFrame) -> dict[int, np.ndarray]:
     """By vector length, the leading principal directions of a bounded sample, as columns."""
-    sample = rows.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(FIT_ROWS).toArrow()["embedding"]
+    sample = hashed_sample(rows, FIT_ROWS, "h1").select("embedding").toArrow()["embedding"]
     sizes: dict[int, list] = {}
     for v in sample.to_pylist():
         sizes.setdefault(len(v), []).append(v)

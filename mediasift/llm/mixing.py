@@ -143,6 +143,36 @@ def hypergeometric(population: Column, marked: Column, draws: Column, u: Column)
     return let(F.struct(F.least(low, high).alias("low"), high.alias("high")), at_bounds)
 
 
+def _halves() -> Column:
+    """The two halves of a node with ``lo``, ``hi`` and ``counts``, with their blocks of every source."""
+    lo, hi = F.col("lo"), F.col("hi")
+    middle = F.expr("lo + (hi - lo) div 2")
+
+    def draw(state: Column, marked: Column) -> Column:
+        u = _uniform(F.lit(SEED), lo, hi, F.size(state["left"]))
+        return let(
+            hypergeometric(state["population"], marked, state["draws"], u),
+            lambda n: F.struct(
+                (state["population"] - marked).alias("population"), (state["draws"] - n).alias("draws"),
+                F.concat(state["left"], F.array(n)).alias("left"),
+            ),
+        )
+
+    def split(total: Column) -> Column:
+        share = F.floor(total * (middle - lo) / (hi - lo)).cast("long")
+        start = F.struct(total.alias("population"), share.alias("draws"), F.array().cast("array<bigint>").alias("left"))
+        return let(
+            F.aggregate("counts", start, draw, lambda s: s["left"]),
+            lambda left: F.array(
+                F.struct(lo.alias("lo"), middle.alias("hi"), left.alias("counts")),
+                F.struct(middle.alias("lo"), hi.alias("hi"), F.zip_with("counts", left, lambda x, y: x - y).alias("counts")),
+            ),
+        )
+
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.when(hi - lo > 1, let(total, split)).otherwise(F.array(F.struct("lo", "hi", "counts")))
+
+
 def splitting_tree(counts: DataFrame, shards: int) -> DataFrame:
     """One row per shard: ``lo`` its number, ``counts`` its blocks of every source.
 
@@ -151,36 +181,7 @@ def splitting_tree(counts: DataFrame, shards: int) -> DataFrame:
     """
     tree = counts.select(F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("hi"), "counts")
     for level in range(max(0, (shards - 1).bit_length())):
-        middle = F.expr("lo + (hi - lo) div 2")
-        total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
-
-        def draw(state: Column, m: Column, total: Column = total) -> Column:
-            u = _uniform(F.lit(SEED), F.col("lo"), F.col("hi"), F.size(state["left"]))
-            x = hypergeometric(state["population"], m, state["draws"], u)
-            return let(
-                x,
-                lambda n: F.struct(
-                    (state["population"] - m).alias("population"), (state["draws"] - n).alias("draws"),
-                    F.concat(state["left"], F.array(n)).alias("left"),
-                ),
-            )
-
-        def halves(all_: Column, middle: Column = middle, draw=draw) -> Column:
-            share = F.floor(all_ * (middle - F.col("lo")) / (F.col("hi") - F.col("lo"))).cast("long")
-            start = F.struct(
-                all_.alias("population"), share.alias("draws"), F.array().cast("array<bigint>").alias("left")
-            )
-            left = F.aggregate("counts", start, draw, lambda s: s["left"])
-            return let(
-                left,
-                lambda a: F.array(
-                    F.struct(F.col("lo").alias("lo"), middle.alias("hi"), a.alias("counts")),
-                    F.struct(middle.alias("lo"), F.col("hi").alias("hi"), F.zip_with("counts", a, lambda x, y: x - y).alias("counts")),
-                ),
-            )
-
-        whole = F.array(F.struct("lo", "hi", "counts"))
-        tree = tree.select(F.inline(F.when(F.col("hi") - F.col("lo") > 1, let(total, halves)).otherwise(whole)))
+        tree = tree.select(F.inline(_halves()))
         if level % 8 == 7:
             tree = tree.repartition("lo")
     return tree.select("lo", "counts")
@@ -265,11 +266,11 @@ def mixed(docs: DataFrame) -> DataFrame:
     return rows.repartition("_shard").sortWithinPartitions("_shard", "_key").select(*docs.columns)
 
 
-def mix_report(docs: DataFrame) -> DataFrame:
+def mix_report(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """Per document: doc_id, size, source_size, target and taken, the words of its copies in the shards."""
     drawn = F.when(F.col("_shard").isNotNull(), F.col("_words")).otherwise(0)
     return (
-        copies(docs)
+        copies(docs, block_words, shard_blocks)
         .groupBy("_queue", "_bucket", "_row", F.col("doc_id").cast("long").alias("doc_id"))
         .agg(
             F.first("_size").alias("size"), F.first("_source_size").alias("source_size"),

@@ -18,9 +18,10 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Bound of the candidates the final classifier is trained on.
+#: About so many candidates, by a hash, train the final classifier.
 FIT_ROWS = 4000
 FEATURES = 1 << 14
 ROUNDS = 60
@@ -252,7 +253,9 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Classifier:
     table = each.persist()
     try:
         patterns = {(r["kind"], tuple(r["votes"])): r["n"] for r in table.filter("n is not null").collect()}
-        sample = table.filter("features is not null").orderBy("s.rank", "features", "votes").limit(fit_rows).collect()
+        shaped = table.filter("features is not null")
+        most = fit_rows / max(shaped.count(), 1) * (1 << 32)
+        sample = sorted(shaped.filter(F.col("s.rank") <= most).collect(), key=lambda r: (r["s"]["rank"], r["features"]))
     finally:
         table.unpersist()
     personal = estimate(patterns)
@@ -315,13 +318,18 @@ def redact(text: str | None, classifier: Classifier) -> str | None:
 
 
 def redacted(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """The documents with all spans masked; other columns stay, rows too."""
+    """The documents with all spans masked. All rows stay, and other columns too; n_chars, if there, follows the text."""
     model = docs.sparkSession.sparkContext.broadcast(classifier)
     place = docs.columns.index("text")
+    length = docs.columns.index("n_chars") if dict(docs.dtypes).get("n_chars") in ("int", "bigint") else None
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pa.array([redact(t, model.value) for t in batch["text"].to_pylist()], pa.string())
-            yield batch.set_column(place, "text", texts)
+            batch = batch.set_column(place, "text", texts)
+            if length is not None:
+                sizes = pc.cast(pc.utf8_length(texts), batch.schema.field(length).type)
+                batch = batch.set_column(length, "n_chars", pc.if_else(pc.is_null(texts), batch["n_chars"], sizes))
+            yield batch
 
     return docs.mapInArrow(mask, docs.schema)

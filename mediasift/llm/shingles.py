@@ -300,3 +300,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.join(classes, "set", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_class", "doc_id")).alias("component_id")
     )
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, without those whose class has a smaller doc_id."""
+    found = near_duplicates(docs)
+    gone = written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import labelled_sample, remainder
 
-#: Bound of the training rows of each label value.
+#: About so many training rows of each label value, by a hash of their ids.
 FIT_ROWS = 2500
 LENGTHS = (3, 4, 5, 6)
 BITS = 20
@@ -73,16 +73,16 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, base_rate: float) -> Model:
     weights = np.zeros(1 << BITS, np.float32)
     if toxic.all() or not toxic.any():
         return Model(weights, 10.0 if len(toxic) and toxic.all() else -10.0)
-    sizes = np.array([len(r) for r in rows])
-    flat, of = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), sizes)
-    pos = np.bincount(flat[toxic[of]], minlength=1 << BITS)
-    neg = np.bincount(flat[~toxic[of]], minlength=1 << BITS)
+    pos, neg = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for row, is_toxic in zip(rows, toxic, strict=True):
+        (pos if is_toxic else neg)[row] += 1
     ratio = np.log((pos + SMOOTHING) / (pos + SMOOTHING).sum()) - np.log((neg + SMOOTHING) / (neg + SMOOTHING).sum())
     used = np.flatnonzero((pos + neg >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO))
     number = np.full(1 << BITS, -1, np.int32)
-    number[used] = np.arange(len(used))
-    keep = number[flat] >= 0
-    column, of = number[flat[keep]], of[keep]
+    number[used] = np.arange(len(used), dtype=np.int32)
+    columns = [number[row] for row in rows]
+    columns = [c[c >= 0] for c in columns]
+    column, of = np.concatenate(columns), np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in columns])
     scale = ratio[used]
     target = toxic.astype(float)
     # Rows weigh so that the sample has the base rate.
@@ -145,3 +145,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
 
     rows = docs.select(F.col("doc_id").cast("long"), (remainder(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "text")
     return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def nontoxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The documents, all columns, whose score is under one half."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, fit_rows))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                yield part.filter(pa.array(model.value.score(part["text"].to_pylist()) < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
