@@ -67,7 +67,10 @@ class Queues:
 
     def sent(self, rounds: np.ndarray) -> np.ndarray:
         """Blocks that each queue (column) has sent after so many rounds."""
-        return np.minimum(self.totals // self.block, rounds[:, None] * self.quanta // (self.block * UNIT))
+        full, cost = self.totals // self.block, self.block * UNIT
+        # No queue takes part in more rounds than it needs, which also bounds the product.
+        needed = -(-full * cost // self.quanta)
+        return np.minimum(full, np.minimum(rounds[:, None], needed) * self.quanta // cost)
 
     def places(self, queue: int, blocks: np.ndarray) -> np.ndarray:
         """Token offset in the whole output at which these blocks of a queue begin."""
