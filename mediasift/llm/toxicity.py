@@ -9,14 +9,14 @@ toxic and of the other training texts; logistic regression weighs the scaled fea
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import labelled_sample, remainder
+from .common import labelled_sample, remainder, written
 
 #: About so many training rows of each label value, by a hash of their ids.
 FIT_ROWS = 2500
@@ -67,22 +67,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.array(sums) + self.bias, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, base_rate: float) -> Model:
+def fit(rows: Callable[[], Iterable[tuple[bool, np.ndarray]]], base_rate: float) -> Model:
     """Training by full-batch proximal gradient steps. ``base_rate``: share of toxic texts
-    where the model is applied; the sample may hold more."""
+    where the model is applied; the sample may hold more. ``rows`` gives labels and features, and is
+    read twice: only features that pass the choice are held."""
     weights = np.zeros(1 << BITS, np.float32)
+    pos, neg, labels = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32), []
+    for is_toxic, row in rows():
+        (pos if is_toxic else neg)[row] += 1
+        labels.append(is_toxic)
+    toxic = np.array(labels, bool)
     if toxic.all() or not toxic.any():
         return Model(weights, 10.0 if len(toxic) and toxic.all() else -10.0)
-    pos, neg = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
-    for row, is_toxic in zip(rows, toxic, strict=True):
-        (pos if is_toxic else neg)[row] += 1
     ratio = np.log((pos + SMOOTHING) / (pos + SMOOTHING).sum()) - np.log((neg + SMOOTHING) / (neg + SMOOTHING).sum())
     used = np.flatnonzero((pos + neg >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO))
     number = np.full(1 << BITS, -1, np.int32)
     number[used] = np.arange(len(used), dtype=np.int32)
-    columns = [number[row] for row in rows]
-    columns = [c[c >= 0] for c in columns]
-    column, of = np.concatenate(columns), np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in columns])
+    columns = [c[c >= 0] for c in (number[row] for _, row in rows())]
+    column, of = np.concatenate(columns), np.repeat(np.arange(len(toxic), dtype=np.int32), [len(c) for c in columns])
     scale = ratio[used]
     target = toxic.astype(float)
     # Rows weigh so that the sample has the base rate.
@@ -91,7 +93,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, base_rate: float) -> Model:
     row_weight = row_weight / row_weight.sum()
     w, b, m, v = np.zeros(len(used)), np.log(base_rate / (1 - base_rate)), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, STEPS + 1):
-        z = np.bincount(of, (w * scale)[column], minlength=len(rows)) + b
+        z = np.bincount(of, (w * scale)[column], minlength=len(toxic)) + b
         miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * row_weight
         slope = np.append(np.bincount(column, miss[of], minlength=len(used)) * scale, miss.sum())
         m = 0.9 * m + 0.1 * slope
@@ -117,10 +119,11 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
                 found = [features(t or "").astype("<u4").tobytes() for t in part["text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([part["toxic"], pa.array(found, pa.binary())], ["toxic", "found"])
 
-    rows = sample.select("toxic", "text").mapInArrow(extract, "toxic int, found binary").collect()
+    table = written(sample.select("toxic", "text").mapInArrow(extract, "toxic int, found binary"), "toxic-features")
     share = learnable.filter(F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
     base_rate = min(max(share or 0.0, 0.01), 0.99)
-    return fit([np.frombuffer(r["found"], "<u4") for r in rows], np.array([r["toxic"] == 1 for r in rows], bool), base_rate)
+    # A partition at a time comes to the driver.
+    return fit(lambda: ((r["toxic"] == 1, np.frombuffer(r["found"], "<u4")) for r in table.toLocalIterator()), base_rate)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
