@@ -7,9 +7,12 @@ from __future__ import annotations
 WS = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 CJK = "一-鿿"
 SENTENCE_END = "。！？.!?"
-STOP_WORDS_LATIN = ("this", "that", "with", "from", "have", "http", "https")
-STOP_WORDS_CJK = ("一个", "这个", "我们", "你们", "他们", "可以", "进行", "以及", "内容")
-STOP_WORDS = STOP_WORDS_LATIN + STOP_WORDS_CJK
+STOP_WORDS = (
+    "this", "that", "with", "from", "have", "http", "https",
+    "一个", "这个", "我们", "你们", "他们", "可以", "进行", "以及", "内容",
+)
+# Names under which OCR results keep their texts.
+OCR_TEXT_NAMES = ("rec_texts", "rec_text", "text")
 SUMMARY_CHARS = 500
 TOPICS = 8
 REFS = 20

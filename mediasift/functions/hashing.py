@@ -98,6 +98,12 @@ def cache_key(request: dict[str, Column], version: Column | str) -> Column:
 def content_hash(value: Column, *, keep_nulls: bool = True) -> Column:
     """SHA-256 of the JSON of a struct; a null struct hashes the text ``null``."""
     text = F.to_json(value, {"ignoreNullFields": "false" if keep_nulls else "true"})
+    # Other control characters come with upper-case hex digits; the hashed form has lower case.
+    lower = text
+    for raw in _LONG_ESCAPES:
+        if f"{ord(raw):X}" != f"{ord(raw):x}":
+            lower = F.regexp_replace(lower, rf"(?<!\\)((?:\\\\)*)\\u{ord(raw):04X}", rf"$1\\u{ord(raw):04x}")
+    text = F.when(text.contains("\\u00"), lower).otherwise(text)
     return F.sha2(F.coalesce(F.when(value.isNotNull(), text), F.lit("null")), 256)
 
 

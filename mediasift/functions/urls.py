@@ -100,8 +100,9 @@ def matched_domain(host: Column, domains: Iterable[str]) -> Column:
 
 
 def query_value(url: Column | str, name: str) -> Column:
-    """First non-blank value of a query parameter, '' when absent."""
-    return F.regexp_extract(url_query(url), f"(?:^|&){name}=([^&]+)", 1)
+    """First non-blank value of a query parameter, decoded, '' when absent."""
+    value = F.regexp_extract(url_query(url), f"(?:^|&){name}=([^&]+)", 1)
+    return F.coalesce(F.try_url_decode(value), value)
 
 
 def modal_id(url: Column | str) -> Column:
@@ -135,11 +136,15 @@ def extract_post_url(shared: Column | str) -> Column:
 def valid_media_host(url: Column | str) -> Column:
     """https and strictly below one of the media domains."""
     host = url_host(url)
+    # A dot behind the host is not stripped here: what is allowed must match as written.
+    dotted = F.regexp_replace(url_authority(url), "^.*@|:[0-9]*$", "").endswith(".")
     below = any_of(host.endswith(f".{d}") for d in fixed.MEDIA_HOST_DOMAINS)
-    return F.coalesce(col(url).startswith("https://") & below, F.lit(False))
+    return F.coalesce(col(url).startswith("https://") & below & ~dotted, F.lit(False))
 
 
 def http_url(value: Column) -> Column:
-    """The value if it is an http(s) address with a usable host, else null."""
+    """The value if it is an http(s) address with a usable host and port and of no more than
+    2,083 characters, else null."""
     ok = value.rlike(r"^https?://(?:[^/?#@]*@)?(?:\[[0-9A-Fa-f:.]+\]|[^/?#@:\s\[\]]+)(?::[0-9]{1,5})?(?:[/?#].*)?$")
-    return F.when(ok, value)
+    port = F.regexp_extract(value, r"^https?://(?:[^/?#@]*@)?(?:\[[^\]]*\]|[^/?#@:]*):([0-9]{1,5})", 1)
+    return F.when(ok & (F.length(value) <= 2083) & ((port == "") | (port.cast("int") <= 65535)), value)

@@ -1,27 +1,31 @@
 """Running state over long groups, in two levels.
 
 A window partitioned by the group key alone puts a whole group into one task.
-Here a group is cut into blocks by its ordering column; each (group, block) is
-a window of its own, the block summaries (one row each) are scanned per group,
-and every row combines its block's offset with its position inside the block.
-Rows are shuffled once, by (group, block); only summaries are shuffled again.
+Here the rows are dealt into ranges of their key and order, about equally
+many in each, and a range is a block: a (group, block) is a window of its own, the block
+summaries (one row each) are scanned per group, and every row combines its
+block's offset with its position inside the block. A group that fits into one range has one summary.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-# Even a key that holds every row then has at most about this many per block,
-# as long as its rows are spread over time.
-ROWS_PER_BLOCK = 1_000_000
+from ..session import cut
 
 
-def positions(df: DataFrame, keys: list[str], block: Column, order: list[str]) -> DataFrame:
-    """Adds ``pos`` (1-based place of the row in its group) and ``group_size``.
+def in_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Adds ``_block``, which grows with the order inside a group.
 
-    ``block`` must be monotone in the first ordering column.
+    Ranges follow the rows, not the values: an outlier makes no block large. The
+    rows are written once, so that all that reads them sees the same blocks.
     """
-    blocked = df.withColumn("_block", block)
+    return cut(df.repartitionByRange(*keys, *order).withColumn("_block", F.spark_partition_id()))
+
+
+def positions(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Adds ``pos`` (1-based place of the row in its group) and ``group_size``."""
+    blocked = in_blocks(df, keys, order)
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
     local = blocked.withColumn("_local", F.row_number().over(inside))
     sizes = blocked.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
@@ -37,19 +41,3 @@ def positions(df: DataFrame, keys: list[str], block: Column, order: list[str]) -
         .withColumn("pos", F.col("_before") + F.col("_local"))
         .drop("_block", "_local", "_before")
     )
-
-
-def even_width(df: DataFrame, column: str, rows_per_block: int = ROWS_PER_BLOCK) -> float:
-    """Block width in the unit of a numeric ordering column, so that the table
-    has about ``rows_per_block`` rows per block. One aggregate over that column."""
-    stats = df.agg(
-        F.count(column).alias("n"), F.min(column).alias("low"), F.max(column).alias("high")
-    ).first()
-    if not stats["n"]:
-        return 1.0
-    span = float(stats["high"] - stats["low"])
-    return max(span / max(1, -(-stats["n"] // rows_per_block)), 1e-6) * 1.0001
-
-
-def block_of(column: Column, width: float) -> Column:
-    return F.floor(column / F.lit(float(width)))

@@ -18,6 +18,16 @@ def latest_per_key(puts: DataFrame, *order: str) -> DataFrame:
     return picked.select("cache_key", "v.*")
 
 
+def join_known(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Left join on a key that may be null in very many rows.
+
+    A null matches nothing; here it is dealt out by request id, so that these rows
+    do not meet in one task. ``other`` has no null key.
+    """
+    dealt = F.coalesce(F.col(key), F.concat(F.lit("no key: "), F.col("request_id").cast("string")))
+    return rows.withColumn("_key", dealt).join(other.withColumnRenamed(key, "_key"), "_key", "left").drop("_key")
+
+
 def cache_lookup(requests: DataFrame, cache: DataFrame, output: str = "output") -> DataFrame:
     """Adds ``cached``, the stored output; null for misses and forced requests.
 
@@ -27,7 +37,7 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, output: str = "output")
     """
     stored = cache.filter(valid_key()).select("cache_key", F.col(output).alias("_stored"))
     return (
-        requests.join(stored, "cache_key", "left")
+        join_known(requests, stored, "cache_key")
         .withColumn("cached", F.when(~F.col("force_reanalyze"), F.col("_stored")))
         .drop("_stored")
     )

@@ -15,6 +15,9 @@ from ..sources.catalog import platform_catalog
 
 def url_error(url: Column, allowed: Iterable[str]) -> Column:
     """``unsafe_url`` before ``permission_denied``; null when the address passes."""
+    allowed = list(allowed)
+    if not allowed:
+        raise ValueError("the list of allowed domains is empty")
     host = url_host(url)
     safe = (url_scheme(url) == "https") & host.isNotNull() & ~has_credentials(url)
     return F.when(~F.coalesce(safe, F.lit(False)), "unsafe_url").when(

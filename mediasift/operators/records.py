@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from .. import fixed
 from ..functions import casts
 from ..functions.core import empty_array
+from ..functions.urls import http_url
 
 ENTRIES = "array<variant>"
 LEVELS = 3
@@ -102,10 +103,7 @@ def cap_items(items: DataFrame, cap: Column | int, *order: str) -> DataFrame:
     with very many items sends only ``cap`` rows per task."""
     window = Window.partitionBy("request_id").orderBy(*order)
     ranked = items.withColumn("item_no", F.row_number().over(window))
-    if isinstance(cap, int):
-        return ranked.filter(F.col("item_no") <= cap)
-    # Contract: max_items <= 100, so this filter also limits the window early.
-    return ranked.filter(F.col("item_no") <= 100).filter(F.col("item_no") <= cap)
+    return ranked.filter(F.col("item_no") <= cap)
 
 
 def duration_ok(duration: Column, maximum: Column | int) -> Column:
@@ -137,9 +135,8 @@ def record_cover(record: Column) -> Column:
     )
     plain = casts.web_address(field(record, "thumbnail"))
     extractor = F.try_variant_get(record, "$.extractor_key", "string")
-    return F.when(
-        thumbs.isNull(), plain
-    ).otherwise(original_images(F.coalesce(extractor, F.lit("")), thumbs, plain)["thumbnail"])
+    chosen = original_images(F.coalesce(extractor, F.lit("")), thumbs, plain)["thumbnail"]
+    return F.when(thumbs.isNull(), plain).otherwise(http_url(chosen))
 
 
 def record_source_url(record: Column, source_url: Column) -> Column:

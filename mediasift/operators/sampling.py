@@ -5,22 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.media import evenly_sample, sample_indices, uniform_timestamps
-from .blocks import block_of, even_width, positions
+from .blocks import positions
 
 MAX_IMAGES = 16
 
 
 def evenly_sample_rows(
-    rows: DataFrame, keys: list[str], order: list[str], maximum: int, block_width: float | None = None
+    rows: DataFrame, keys: list[str], order: list[str], maximum: int
 ) -> DataFrame:
     """At most ``maximum`` rows per group at even places; ``sample_no`` counts from 0.
 
-    Places come from the two-level numbering over blocks of the first ordering
-    column (a number), so a very long group is never sorted in one task. A
-    place that is picked twice comes out twice.
+    Places come from the two-level numbering over blocks, so a very long group is
+    never sorted in one task. A place that is picked twice comes out twice.
     """
-    block = block_of(F.col(order[0]), block_width or even_width(rows, order[0]))
-    placed = positions(rows, keys, block, order)
+    placed = positions(rows, keys, order)
     place = F.col("pos") - 1
     picks = F.filter(
         F.transform(

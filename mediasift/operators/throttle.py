@@ -3,7 +3,7 @@
 admit_1 = ts_1, admit_i = max(ts_i, admit_{i-1} + d) has the closed form
 admit_i = i*d + max over j <= i of (ts_j - j*d), with i counted within the key.
 A running count and a running maximum are both prefix scans, so long keys are
-cut into time blocks (see ``blocks``): inside a block with local number j the
+cut into blocks (see ``blocks``): inside a block with local number j the
 value is ts - j*d, and the block's offset is n_before rows.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.core import all_true
 from ..functions.urls import throttle_host
-from .blocks import block_of, even_width
+from .blocks import in_blocks
 
 
 def throttle_key(tenant: Column, bucket: str, first_url: Column) -> Column:
@@ -27,21 +27,17 @@ def throttle_schedule(
     keys: tuple[str, ...] = ("key",),
     ts: str = "ts",
     tie: str = "call_id",
-    block_width: float | None = None,
 ) -> DataFrame:
     """Adds ``call_no`` (1-based within the key) and ``admit``, the time each call
     is let through, in the unit of ``ts``
     and ``interval``; whole numbers (epoch microseconds, say) stay exact.
 
-    A block is a stretch of ``block_width`` in that unit, by default chosen so
-    that about a million calls fall into one. Results do not depend on it. Calls without key or time are left out.
+    Calls without key or time are not counted; their ``call_no`` and ``admit`` are null.
     """
-    width = block_width or even_width(calls, ts)
     d = F.lit(interval).cast("bigint" if isinstance(interval, int) else "double")
     names = list(keys)
-    # Stated before the two branches part, the filter lets them share one exchange.
     known = all_true([F.col(c).isNotNull() for c in (*names, ts)])
-    blocked = calls.filter(known).withColumn("_block", block_of(F.col(ts), width))
+    blocked = in_blocks(calls.filter(known), names, [ts, tie])
     ordered = Window.partitionBy(*names, "_block").orderBy(ts, tie)
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = blocked.withColumn("_j", F.row_number().over(ordered)).withColumn(
@@ -55,9 +51,11 @@ def throttle_schedule(
         .select(*names, "_block", "_before", "_reach")
     )
     own = F.col("_m") - F.col("_before") * d
-    return (
+    admitted = (
         local.join(offsets, [*names, "_block"])
         .withColumn("call_no", F.col("_before") + F.col("_j"))
         .withColumn("admit", F.greatest(own, F.col("_reach")) + F.col("call_no") * d)
         .drop("_block", "_j", "_m", "_before", "_reach")
     )
+    nothing = {c: F.lit(None).cast(admitted.schema[c].dataType) for c in ("call_no", "admit")}
+    return admitted.unionByName(calls.filter(~known).withColumns(nothing))

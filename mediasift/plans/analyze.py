@@ -14,15 +14,15 @@ from ..operators.tags import TAG_DDL, dedupe_tags, union_tags
 from ..schemas import ANALYSIS, ASSET, OBSERVATION, SEGMENT
 from .understand import understanding
 
-MAX_ARTIFACTS = 100
-
 
 def group_observations(observations: DataFrame) -> DataFrame:
-    """One row per request with the array of its observations. A group has at
-    most 100 rows: one per artifact index, which the contract bounds."""
+    """One row per request with the array of its observations: one per artifact
+    index, the least where an index repeats. Requests whose artifacts exceed the
+    contract are rejected before."""
     fields = F.struct(*OBSERVATION.fieldNames())
+    one = observations.groupBy("request_id", "artifact_index").agg(F.min(fields).alias("o"))
     return (
-        observations.filter(F.col("artifact_index").between(1, MAX_ARTIFACTS))
+        one.select("request_id", "o.*")
         .groupBy("request_id")
         .agg(F.collect_list(fields).alias("observations"))
     )

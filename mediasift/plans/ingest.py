@@ -136,7 +136,9 @@ def ingest_media(
     ).select("request_id", F.col("error_code").alias("limit_code"))
     items = cut(media_items(accepted, raw))
     per_request = items.groupBy("request_id").agg(
-        F.bool_or(http_url(F.col("source_url")).isNull()).alias("bad_item"), F.count("*").alias("n_items")
+        F.bool_or(http_url(F.col("source_url")).isNull()).alias("bad_item"), F.count("*").alias("n_items"),
+        # No more items than the request's cap allows.
+        F.sort_array(F.collect_list(F.struct("item_no", content_hash(F.struct(*MEDIA_INFO.fieldNames())).alias("h")))).alias("hashes"),
     )
     outcomes = (
         checked.join(limits, "request_id", "left")
@@ -146,7 +148,8 @@ def ingest_media(
             F.coalesce("error_code", "limit_code", F.when(F.col("bad_item"), "download_failed")),
         )
         .withColumn("n_items", F.when(F.col("error_code").isNull(), F.coalesce("n_items", F.lit(0))))
-        .drop("limit_code", "bad_item")
+        .withColumn("items_hash", F.sha2(F.array_join(F.transform("hashes", lambda x: x["h"]), ","), 256))
+        .drop("limit_code", "bad_item", "hashes")
     )
     if interval is not None:
         outcomes = outcomes.join(admissions(accepted, interval, ts), "request_id", "left")
@@ -161,6 +164,6 @@ def download_audit(
     context = [c for c in CONTEXT if c in outcomes.columns]
     hashed = outcomes.select(
         *context, "input_hash", "error_code",
-        F.sha2(F.concat_ws("|", "input_hash", F.col("n_items").cast("string")), 256).alias("output_hash"),
+        F.sha2(F.concat_ws("|", "input_hash", F.col("n_items").cast("string"), "items_hash"), 256).alias("output_hash"),
     )
     return audit_rows(hashed, tool_name=tool_name, tool_version=tool_version, created_at=created_at)

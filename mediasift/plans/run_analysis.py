@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed
 from ..functions.hashing import Engines, cache_key, content_hash
 from ..operators.audit import CONTEXT, audit_rows
-from ..operators.cache import cache_lookup, mark_first
+from ..operators.cache import cache_lookup, join_known, mark_first
 from ..operators.contracts import validate_analysis_requests
 from ..operators.manifest import MB, explode_artifacts, first_error, verify_manifest
 from ..schemas import ANALYSIS, REQUEST
@@ -131,14 +131,12 @@ def run_analysis(
         F.col("error_code").alias("new_code"),
         F.col("message").alias("new_message"),
     )
-    joined = decisions.join(results, "work_key", "left")
+    joined = join_known(decisions, results, "work_key")
     if cache is None:
         old = F.lit(None).cast(ANALYSIS)
     else:
-        joined = joined.withColumn("hit_key", F.when(F.col("hit"), F.col("cache_key"))).join(
-            cache.select(F.col("cache_key").alias("hit_key"), F.col("output").alias("old_output")),
-            "hit_key", "left",
-        )
+        stored = cache.select(F.col("cache_key").alias("hit_key"), F.col("output").alias("old_output"))
+        joined = join_known(joined.withColumn("hit_key", F.when(F.col("hit"), F.col("cache_key"))), stored, "hit_key")
         old = F.col("old_output")
     # A hit, also on a result of this very batch, changes the stored output in one flag only.
     reused = F.coalesce(old, F.when(~F.col("computes"), F.col("new_output")))

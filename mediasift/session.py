@@ -29,13 +29,19 @@ def build_session(app_name: str = "mediasift", master: str | None = None, **conf
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the shared folder the cluster names in
-    ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """A fresh folder below the shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local master (tests) may go without; what it then uses is this machine's
+    temporary folder, which the executors of a cluster do not share.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if shared:
         return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix=f"spark-{purpose}-", dir="/tmp")
 
 
@@ -50,15 +56,3 @@ def cut(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(work_dir(df.sparkSession, "checkpoint"))
     return df.checkpoint(eager=True)
 
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use every core when the input has fewer splits than the cluster has cores.
-
-    A large table already has more splits than cores and passes through
-    unchanged; the check looks at file splits only and runs no job. Apply to
-    plain scans, before CPU-heavy row-local work.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 > cores:
-        return df
-    return df.repartition(cores, *keys)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.media import guess_media_type, suffix
+from ..functions.media import guess_media_type
 
 
 def scan_artifacts(spark: SparkSession, directory: str) -> DataFrame:
     """Every regular file below a folder except ``.part`` files: path, size_bytes,
-    sha256, media_type, in path order. File contents are read only when the
+    sha256, media_type. Spark lists no file whose name begins with ``_`` or ``.``. File contents are read only when the
     hash column is used. A file must fit in one row (2 GiB; the contract's cap
     is below that)."""
     files = (
@@ -18,7 +18,7 @@ def scan_artifacts(spark: SparkSession, directory: str) -> DataFrame:
     path = F.regexp_replace("path", "^file:/+", "/")
     return (
         files.withColumn("path", path)
-        .filter(suffix("path") != ".part")
+        .filter(~F.col("path").endswith(".part"))
         .select(
             "path",
             F.col("length").alias("size_bytes"),
@@ -39,8 +39,10 @@ def scan_images(spark: SparkSession, directory: str) -> DataFrame:
     """Decoded images: path, width, height, image, error_code (undecodable files)."""
     images = spark.read.format("image").option("recursiveFileLookup", True).load(directory)
     bad = F.col("image.width") < 1
-    return images.select(
-        F.regexp_replace("image.origin", "^file:/+", "/").alias("path"),
+    # The origin is an encoded address, in which a plus sign stands for itself.
+    origin = F.url_decode(F.replace(F.regexp_replace("image.origin", "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
+    return images.filter(~origin.endswith(".part")).select(
+        origin.alias("path"),
         F.when(~bad, F.col("image.width")).alias("width"),
         F.when(~bad, F.col("image.height")).alias("height"),
         "image",

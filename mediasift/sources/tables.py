@@ -23,13 +23,15 @@ def put_cache(puts: DataFrame, path: str, batch: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
+def read_cache(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
     """(cache_key, output), last writer per key; unreadable entries are left out
-    and so count as misses."""
+    and so count as misses. With ``before`` only entries of earlier batches count."""
     stored = spark.read.schema("cache_key string, output string, batch int").option(
         "basePath", path
     ).parquet(path)
-    last = latest_per_key(stored.filter(valid_key()).select("cache_key", "output", "batch"), "batch")
+    if before is not None:
+        stored = stored.filter(F.col("batch") < before)
+    last = latest_per_key(stored.filter(valid_key()).select("cache_key", "output", "batch"), "batch", "output")
     return last.select("cache_key", F.from_json("output", ANALYSIS).alias("output")).filter(
         F.col("output.pipeline_version").isNotNull()
     )

@@ -36,21 +36,22 @@ def stream_analyze(
     *,
     root: str,
     folder: str,
+    replies: DataFrame | None = None,
     engines: Engines = Engines(),
     tool: ToolName = ToolName(),
 ) -> StreamingQuery:
     """Analyses requests as they land, one computation per cache key.
 
     Per batch: results are written below ``results/batch=N``, and the audit rows
-    and cache entries are derived from that written table. Every write replaces
-    its batch's folder, so a repeated batch changes nothing.
+    and cache entries are derived from that written table. A batch reads only the
+    entries of earlier batches and replaces its own folders, so a repeated batch changes nothing.
     """
     cache_path = f"{folder}/cache"
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        cache = read_cache(spark, cache_path) if _exists(spark, cache_path) else None
-        results = run_analysis(batch, files, observations, root=root, cache=cache, engines=engines)
+        cache = read_cache(spark, cache_path, before=number) if _exists(spark, cache_path) else None
+        results = run_analysis(batch, files, observations, root=root, cache=cache, replies=replies, engines=engines)
         out = f"{folder}/results/batch={number}"
         results.write.mode("overwrite").parquet(out)
         written = spark.read.schema(results.schema).parquet(out)
@@ -72,10 +73,12 @@ def stream_throttle(
     """Admission times over an unbounded stream of calls (key, ts, call_id).
 
     Each batch is scheduled with the two-level closed form, so a hot key is
-    spread over tasks, and then shifted by the key's last admission. The state
-    is one row per key admitted within ``delay`` of the newest call; older
-    admissions can no longer hold anything back.
+    spread over tasks, and then shifted by the key's last admission. Calls come at
+    most ``delay`` behind the newest one, and ``delay`` is at least ``interval``. The state is one row
+    per key whose last admission can still hold back such a call.
     """
+    if delay < interval:
+        raise ValueError("delay must be at least interval")
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -101,7 +104,7 @@ def stream_throttle(
             last = last.unionByName(state)
         kept = last.groupBy("key").agg(F.max("last").alias("last"))
         if newest is not None:
-            kept = kept.filter(F.col("last") >= F.lit(newest) - F.lit(delay))
+            kept = kept.filter(F.col("last") >= F.lit(newest) - F.lit(delay) - F.lit(interval))
         kept.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
 
     return _available(calls.writeStream.foreachBatch(handle), f"{folder}/checkpoint").start()

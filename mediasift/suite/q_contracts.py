@@ -157,7 +157,7 @@ def _(spark, d):
     "validate_outputs",
     """SELECT doc_id, array_to_string(list_filter([
         CASE WHEN length(text) > 10000 THEN 'evidence' END,
-        CASE WHEN length(regexp_extract(text, '[^ ]+ [^ ]+ [^ ]+')) = 0 THEN 'tags' END,
+        CASE WHEN length(regexp_extract(text, '[^ ]+ [^ ]+ [^ ]+')) NOT BETWEEN 1 AND 200 THEN 'tags' END,
         CASE WHEN length(text) > 20000 THEN 'segments' END,
         CASE WHEN source = 'src2' THEN 'dimensions' END], lambda x: x IS NOT NULL), ',') AS violations FROM documents""",
 )
@@ -169,7 +169,7 @@ def _(spark, d):
     )
     tags = F.array(
         F.struct(
-            F.left(label, F.lit(200)).alias("label"), F.lit(0.5).alias("confidence"),
+            label.alias("label"), F.lit(0.5).alias("confidence"),
             F.array(F.lit("post-text-1")).alias("evidence_refs"),
         )
     )

@@ -8,7 +8,6 @@ from .. import fixed
 from ..functions import media, replies, text
 from ..functions.core import empty_array, unique_texts
 from ..operators import cache, evidence as ev, keywords, plugins, progress, sampling, tags, throttle
-from ..plans.analyze import MAX_ARTIFACTS
 from ..plans.understand import understand_posts
 from . import views as v
 from .registry import query
@@ -150,8 +149,7 @@ def _(spark, d):
       LEFT JOIN (SELECT doc_id, string_agg(line, ' ' ORDER BY n) AS ocr FROM ({UNIQUE_LINES_SQL}) GROUP BY ALL) o ON o.doc_id = t.request_id""",
 )
 def _(spark, d):
-    # At most 100 recordings of four segments per request (the contract's artifact cap).
-    recordings = v.transcripts(spark, d).filter(F.col("artifact_index") <= MAX_ARTIFACTS)
+    recordings = v.transcripts(spark, d)
     spoken = ev.joined(F.transform(ev.clean_segments(F.col("segments")), lambda s: s["text"]))
     per_request = recordings.groupBy("request_id").agg(
         F.sort_array(F.collect_list(F.struct("artifact_index", spoken.alias("t")))).alias("r")

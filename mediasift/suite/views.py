@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schemas import SEGMENT
-from ..session import spread
 from .sql_views import CJK_SUFFIX, KINDS, VIDEO_SITES
 
 
@@ -14,9 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Documents, spread over all cores when the file has few splits."""
     df = table(spark, sf_dir, "documents")
-    return spread(df.select(*columns) if columns else df)
+    return df.select(*columns) if columns else df
 
 
 def _pick(index: Column, values: list[str | None]) -> Column:

@@ -4,11 +4,13 @@ import json
 import random
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from mediasift.functions.hashing import Engines
 from mediasift.functions.replies import parse_semantic_payload
 from mediasift.operators import cache, contracts, keywords, manifest, plugins, policy, records, sampling, throttle
+from mediasift.operators.blocks import in_blocks
 from mediasift.plans.analyze import analyze_content
 from mediasift.plans.ingest import ingest_media
 from mediasift.plans.run_analysis import analysis_audit, cache_puts, run_analysis
@@ -34,38 +36,38 @@ def seen(spark, *rows):
 
 
 SHA = "ab" * 32
-POST = "这是今天的新品发布会"
+POST = "周末市集开张，欢迎来玩"
 ENGINES = Engines(ocr="fake-ocr", asr="fake-asr", vision="fake-vlm")
 
 
 def image_request(spark, **changes):
     return request(
         spark,
-        {"request_id": 1, "post_text": POST, "artifacts": [("a/post.png", 3, SHA.upper(), "image/png")], **changes},
+        {"request_id": 1, "post_text": POST, "artifacts": [("in/shot.png", 3, SHA.upper(), "image/png")], **changes},
     )
 
 
 def ocr_seen(spark):
-    return seen(spark, {"request_id": 1, "width": 640, "height": 480, "ocr_lines": ["新品发布会", " 上海 ", "上海"]})
+    return seen(spark, {"request_id": 1, "width": 640, "height": 480, "ocr_lines": ["手作摊位", " 成都 ", "成都"]})
 
 
 def test_analysis_with_a_model_answer(spark):
     reply = {
-        "language": "zh", "summary": "品牌在上海举行新品发布会。", "topics": ["产品发布"], "entities": ["上海"],
-        "claims": ["现场发布了一款新产品"], "image_summary": "发布会舞台和产品海报", "sentiment": "positive",
-        "commercial_intent": "product_promotion", "confidence": 0.91, "evidence_refs": ["post-text-1", "ocr-1-1", "x"],
+        "language": "zh", "summary": "成都的周末市集开张了。", "topics": ["市集"], "entities": ["成都"],
+        "claims": ["市集每周六开门"], "image_summary": "一排手作摊位", "sentiment": "neutral",
+        "commercial_intent": "event_notice", "confidence": 0.84, "evidence_refs": ["post-text-1", "ocr-1-1", "x"],
     }
     replies = spark.createDataFrame([(1, json.dumps(reply), None)], "request_id long, reply string, error string")
     row = analyze_content(image_request(spark), ocr_seen(spark), replies, ENGINES).first()
     out = row["output"]
     assert row["error_code"] is None
-    assert out["summary"] == "品牌在上海举行新品发布会。" and out["entities"] == ["上海"]
-    assert out["assets"][0]["ocr_text"] == ["新品发布会", "上海"]
+    assert out["summary"] == "成都的周末市集开张了。" and out["entities"] == ["成都"]
+    assert out["assets"][0]["ocr_text"] == ["手作摊位", "成都"]
     assert (out["assets"][0]["width"], out["assets"][0]["artifact_sha256"]) == (640, SHA)
     assert out["needs_human_review"] is False
     assert [(t["namespace"], t["label"]) for t in out["tags"]] == [
-        ("topic", "产品发布"), ("entity", "上海"), ("format", "image"), ("sentiment", "positive"),
-        ("commercial", "product_promotion"),
+        ("topic", "市集"), ("entity", "成都"), ("format", "image"), ("sentiment", "neutral"),
+        ("commercial", "event_notice"),
     ]
     assert out["tags"][0]["evidence_refs"] == ["post-text-1", "ocr-1-1", "visual-model-1"]
     assert [e["evidence_id"] for e in out["evidence"]] == ["post-text-1", "ocr-1-1", "ocr-1-2", "visual-model-1"]
@@ -74,7 +76,7 @@ def test_analysis_with_a_model_answer(spark):
 def test_analysis_without_a_model(spark):
     row = analyze_content(image_request(spark), ocr_seen(spark), None, Engines(ocr="fake-ocr")).first()
     out = row["output"]
-    assert "新品发布会" in out["summary"] and out["confidence"] == 0.5 and out["needs_human_review"] is True
+    assert "手作摊位" in out["summary"] and out["confidence"] == 0.5 and out["needs_human_review"] is True
     assert out["warnings"] == ["Semantic model is not configured; returned deterministic OCR/ASR analysis."]
     assert out["claims"] == [POST] and out["language"] == "zh"
 
@@ -187,9 +189,29 @@ def test_throttle_equals_the_loop_whatever_the_blocks(spark):
     for call_id, key, ts in sorted(calls, key=lambda c: (c[2], c[0])):
         last[key] = expected[call_id] = max(ts, last[key] + 7) if key in last else ts
     rows = spark.createDataFrame(calls, "call_id long, key string, ts long")
-    for width in (None, 1.0, 50.0, 1e9):
-        got = throttle.throttle_schedule(rows, 7, block_width=width).collect()
-        assert {r["call_id"]: r["admit"] for r in got} == expected
+    odd = spark.createDataFrame([(-1, None, 5), (-2, "a", None), (-3, "late", 10**15)], rows.schema)
+    got = throttle.throttle_schedule(rows.unionByName(odd), 7).collect()
+    assert {r["call_id"]: r["admit"] for r in got} == expected | {-1: None, -2: None, -3: 10**15}
+
+
+def test_one_wrong_clock_makes_no_block_large(spark):
+    rows = spark.range(20_000).selectExpr("'k' AS key", "IF(id = 7, 4000000000000000, id) AS ts", "id AS call_id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        blocks = in_blocks(rows, ["key"], ["ts", "call_id"]).groupBy("_block").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(b["count"] for b in blocks) < 9_000
+
+
+def test_caps_are_the_callers(spark):
+    rows = spark.range(150).selectExpr("1 AS request_id", "id AS path", "150 AS cap")
+    assert records.cap_items(rows, F.col("cap"), "path").count() == 150
+
+
+def test_delay_covers_the_interval(spark, tmp_path):
+    with pytest.raises(ValueError, match="delay"):
+        jobs.stream_throttle(spark.range(1), 100, folder=str(tmp_path), delay=10)
 
 
 def test_stream_throttle_over_several_batches(spark, tmp_path):
@@ -230,7 +252,7 @@ def test_even_samples_of_hot_groups(spark):
     rows = [("hot", i) for i in range(500)] + [("few", i) for i in range(3)] + [("none", 7)]
     df = spark.createDataFrame(rows, "g string, t long")
     for cap in (1, 4, 24):
-        got = sampling.evenly_sample_rows(df, ["g"], ["t"], cap, block_width=10.0).collect()
+        got = sampling.evenly_sample_rows(df, ["g"], ["t"], cap).collect()
         by = {}
         for r in sorted(got, key=lambda r: r["sample_no"]):
             by.setdefault(r["g"], []).append(r["t"])
@@ -259,21 +281,21 @@ def test_flatten_any_depth(spark):
 
 
 def test_normalized_record(spark):
-    raw = {"id": "42", "extractor_key": "Example", "title": "A public post", "uploader": "author", "upload_date": "20260819",
-           "duration": 12.5, "view_count": 10, "webpage_url": "https://video.example.com/post/42"}
-    cols = records.normalize_media_info(F.try_parse_json(F.lit(json.dumps(raw))), F.lit("https://video.example.com/post/42"))
+    raw = {"id": "c-9", "extractor_key": "Harbor", "title": "Boats at noon", "uploader": "mona", "upload_date": "20250317",
+           "duration": 31.25, "view_count": 640, "webpage_url": "https://clips.example.org/b/9"}
+    cols = records.normalize_media_info(F.try_parse_json(F.lit(json.dumps(raw))), F.lit("https://clips.example.org/b/9"))
     row = spark.range(1).select(*[cols[f.name].alias(f.name) for f in MEDIA_INFO.fields]).first()
-    assert (row["media_id"], str(row["upload_date"]), row["duration_seconds"], row["view_count"]) == ("42", "2026-08-19", 12.5, 10)
+    assert (row["media_id"], str(row["upload_date"]), row["duration_seconds"], row["view_count"]) == ("c-9", "2025-03-17", 31.25, 640)
     bare = records.normalize_media_info(F.try_parse_json(F.lit('{"id":0}')), F.lit(""))
     row = spark.range(1).select(bare["media_id"].alias("m"), bare["extractor"].alias("e"), bare["source_url"].alias("s")).first()
     assert (row["m"], row["e"], row["s"]) == ("e3b0c44298fc1c149afbf4c8", "unknown", "")
 
 
 def test_original_images(spark):
-    marks = ["first!nd_prv_x", "first!nd_dft_x", "second!nd_prv_x", "second!nd_dft_x"]
+    marks = ["one!nd_prv_q", "one!nd_dft_q", "two!nd_dft_q", "three!nd_prv_q"]
     raw = {"extractor_key": "XiaoHongShu", "thumbnail": "https://img/c", "thumbnails": [{"id": i, "url": f"https://img/{m}"} for i, m in enumerate(marks)]}
     got = spark.range(1).select(records.record_cover(F.try_parse_json(F.lit(json.dumps(raw)))).alias("c")).first()["c"]
-    assert got == "https://img/second!nd_dft_x"
+    assert got == "https://img/two!nd_dft_q"
 
 
 def test_ingest_refuses_and_limits(spark):
@@ -359,12 +381,12 @@ def test_plug_ins(spark):
     got = {r["i"]: (r["ocr_lines"], r["ocr_error"]) for r in plugins.ocr_udf(images, factory, "i").collect()}
     assert got == {1: (["a\nb"], None), 2: ([], "ValueError")}
     shapes = [
-        '[[[[0,0],[1,1]],["你好",0.99]]]', '{"res":{"rec_texts":["第一行","第二行"]}}', '{"a":{"text":"x"},"b":[{"rec_text":["y","z"]}]}',
+        '[[[[3,4],[5,6]],["menu",0.7]]]', '{"res":{"rec_texts":["soup","rice"]}}', '{"p":{"text":"k"},"q":[{"rec_text":["l","m"]}]}',
         '{"text":"t","a":{"text":"u"}}', '["s",1]', "[1,2]", "null", "broken",
     ]
     rows = spark.createDataFrame(list(enumerate(shapes)), "i int, result string")
     found = {r["i"]: r["ocr_lines"] for r in plugins.ocr_texts(rows).collect()}
-    assert [found[i] for i in range(8)] == [["你好"], ["第一行", "第二行"], ["x", "y", "z"], ["t"], ["s"], [], [], []]
+    assert [found[i] for i in range(8)] == [["menu"], ["soup", "rice"], ["k", "l", "m"], ["t"], ["s"], [], [], []]
 
 
 def test_wide_platform_lookup_keeps_rows(spark):
