@@ -35,7 +35,7 @@ BLOCK = 256
 END = 1
 #: Fixed-point unit of a quantum, in parts of a token.
 UNIT = 1 << 16
-ROWS = 2000
+ROWS = 1000
 
 TOKENS = "doc_id long, source string, queue string, part int, before long, doc_tokens long, ids binary"
 PIECES = (

@@ -20,7 +20,7 @@ from .common import part_bases, written
 from .tokens import encoder, vocabulary
 
 END = 2
-ROWS = 2000
+ROWS = 1000
 FORMAT = {
     "compression": "zstd",
     "orc.stripe.size": str(16 << 20),

@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Distinct chunks a Python worker keeps; beyond that its cache starts anew.
-CACHED_CHUNKS = 900_000
+CACHED_CHUNKS = 450_000
 
 # White space of Unicode. Between single blanks and line feeds a text can be cut
 # with string methods; with other white space or runs of it, by the pattern.
@@ -54,16 +54,29 @@ class Encoder:
             return _CHUNK.findall(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _known_form(self, chunk: str) -> tuple[str, str]:
+        """A chunk as a simpler one and a mark behind it that both vocabularies always split off."""
+        mark = chunk[-1:] if chunk[-1:] in (".", ",") and chunk[:-1].strip(" ").isalpha() else ""
+        word = chunk[: len(chunk) - len(mark)]
+        # Only the vocabulary that drops white space ignores case.
+        return (word.lower() if not self.spaced and word.isascii() else word), mark
+
+    def _learn(self, chunks: Iterable[str]) -> None:
+        known = self.known
+        forms = {chunk: self._known_form(chunk) for chunk in chunks}
+        words = list({part for form in forms.values() for part in form if part not in known})
         # One call for all: each chunk is split and merged on its own.
-        found = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
+        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
         flat = np.array(found.ids, self.dtype).tobytes()
         of = np.array(found.word_ids if len(flat) else [], np.int64)
-        ends = np.cumsum(np.bincount(of, minlength=len(chunks))) * self.dtype.itemsize
+        ends = np.cumsum(np.bincount(of, minlength=len(words))) * self.dtype.itemsize
         start = 0
-        for chunk, end in zip(chunks, ends.tolist(), strict=True):
-            self.known[chunk] = flat[start:end]
+        for word, end in zip(words, ends.tolist(), strict=True):
+            known[word] = flat[start:end]
             start = end
+        for chunk, (word, mark) in forms.items():
+            if chunk != word:
+                known[chunk] = known[word] + known[mark] if mark else known[word]
 
     def encode(self, texts: Iterable[str | None], end: int) -> Iterator[np.ndarray]:
         """Ids of each text (null: empty), then ``end``, as arrays of ``dtype``."""
@@ -73,7 +86,7 @@ class Encoder:
         new: set[str] = set().union(*split)
         new -= self.known.keys()
         if new:
-            self._learn(list(new))
+            self._learn(new)
         ids_of, last = self.known.__getitem__, np.array([end], self.dtype).tobytes()
         for chunks in split:
             yield np.frombuffer(b"".join(map(ids_of, chunks)) + last, self.dtype)
