@@ -219,7 +219,8 @@ def vector_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     Vectors link when their labels are equal and their cosine is at least ``cosine``.
     A vector that is null, empty or zero, holds a null or non-finite component, or has no
     label or vec_id links with nothing; vectors of different lengths do not link. Rows that repeat a
-    vec_id are vectors of their own; equal vectors link. Further columns are ignored.
+    vec_id are compared each; their links all count for that vec_id's component, and of different
+    vectors with one smallest vec_id the larger number of links is given. Further columns are ignored.
     """
     epsilon = float(np.sqrt(2 - 2 * cosine))
     usable = _usable(vectors)

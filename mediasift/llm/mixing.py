@@ -207,9 +207,9 @@ def drawn_blocks(sources: DataFrame, tree: DataFrame) -> DataFrame:
     ranks = ranges.select("shard", (F.col("i") + 1).alias("place"), F.explode(F.expr("sequence(until - n, until - 1)")).alias("rank"))
     spin = sources.filter("quota > 0").select("place", "blocks", "quota", _coprime(F.col("quota"), F.col("place")).alias("turn"))
     item = (F.col("rank") * F.col("turn") + F.col("place")) % F.col("quota")
-    return ranks.join(spin, "place").select(
-        "place", F.expr("1").cast("int").alias("_one"), item.alias("item"), "blocks", "shard"
-    ).select("place", F.expr("item div blocks").alias("pass"), (F.col("item") % F.col("blocks")).alias("block"), "shard")
+    return ranks.join(spin, "place").select("place", item.alias("item"), "blocks", "shard").select(
+        "place", F.expr("item div blocks").alias("pass"), (F.col("item") % F.col("blocks")).alias("block"), "shard"
+    )
 
 
 def copies(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:

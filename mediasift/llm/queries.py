@@ -11,6 +11,7 @@ from .archives import page_records
 from .grid_join import vector_links
 from .language import language
 from .mixing import MIX_SQL, mix_report
+from .oracles import PAGES_SQL, SHINGLES_SQL, VECTORS_SQL
 from .packing import pack
 from .personal import personal_spans, train
 from .quality import quality
@@ -69,9 +70,6 @@ def op7_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
-ORACLES["op7_hypergeometric_mix"] = MIX_SQL
-
-
 @query
 def op8_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -87,3 +85,11 @@ def op9_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_records(spark, table(spark, sf_dir, "pages"))
+
+
+ORACLES |= {
+    "op1_epsilon_grid": VECTORS_SQL,
+    "op6_ngram_jaccard": SHINGLES_SQL,
+    "op7_hypergeometric_mix": MIX_SQL,
+    "op10_arc_to_warc": PAGES_SQL,
+}
