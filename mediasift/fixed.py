@@ -30,6 +30,7 @@ WARN_NO_OCR = "OCR is not installed or has been disabled."
 WARN_OCR_FAILED = "OCR failed ({})."
 WARN_FRAME_OCR_FAILED = "Video-frame OCR failed ({})."
 WARN_NO_ASR = "Speech recognition is not installed or has been disabled."
+VALIDATION_ERROR = "ValidationError"
 WARN_ASR_FAILED = "Speech recognition failed ({})."
 WARN_NO_AUDIO = "No decodable audio track was found."
 WARN_SKIPPED = "Skipped unsupported ancillary artifact: "

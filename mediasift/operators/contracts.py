@@ -10,6 +10,8 @@ from ..schemas import DOWNLOAD_DEFAULTS, REQUEST_DEFAULTS
 
 Rules = dict[str, Column]
 
+SEGMENT_CHARS = 20_000
+
 
 def broken(rules: Rules) -> Column:
     """Names of the rules that do not hold, in order; a null result counts as broken."""
@@ -117,7 +119,7 @@ def tags_ok(tags: Column) -> Column:
 def segments_ok(segments: Column) -> Column:
     return _all(
         segments,
-        lambda s: _length(s["text"], 1, 20_000) & (s["start_seconds"] >= 0) & (s["end_seconds"] >= 0),
+        lambda s: _length(s["text"], 1, SEGMENT_CHARS) & (s["start_seconds"] >= 0) & (s["end_seconds"] >= 0),
     )
 
 

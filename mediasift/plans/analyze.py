@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
-from ..functions.core import empty_array, let, settle, unique_texts
+from ..functions.core import empty_array, let, settle, strip, unique_texts
 from ..functions.hashing import Engines
 from ..functions.media import detect_media, file_name
 from ..functions.replies import clamp01, evidence_refs, parse_semantic_payload, review_flag
@@ -54,8 +54,13 @@ def _asset(artifact: Column, index: Column, engines: Engines) -> Column:
         lines = F.when(
             reads & ocr_on, unique_texts(F.coalesce(obs["ocr_lines"], none))
         ).otherwise(none)
+        # A segment over its limit is a failure of the recognizer: a warning, and no transcript.
+        over_long = F.coalesce(
+            F.exists(obs["segments"], lambda s: F.length(strip(s["text"])) > contracts.SEGMENT_CHARS), F.lit(False)
+        )
+        asr_error = F.coalesce(obs["asr_error"], F.when(over_long, fixed.VALIDATION_ERROR))
         spoken = F.when(
-            hears & asr_on & audible,
+            hears & asr_on & audible & ~over_long,
             F.coalesce(ev.clean_segments(obs["segments"]), empty_array(SEGMENT.simpleString())),
         ).otherwise(empty_array(SEGMENT.simpleString()))
 
@@ -65,7 +70,7 @@ def _asset(artifact: Column, index: Column, engines: Engines) -> Column:
         ocr_failed = F.when(
             is_image, F.format_string(fixed.WARN_OCR_FAILED.replace("{}", "%s"), obs["ocr_error"])
         ).otherwise(F.format_string(fixed.WARN_FRAME_OCR_FAILED.replace("{}", "%s"), obs["ocr_error"]))
-        asr_failed = F.format_string(fixed.WARN_ASR_FAILED.replace("{}", "%s"), obs["asr_error"])
+        asr_failed = F.format_string(fixed.WARN_ASR_FAILED.replace("{}", "%s"), asr_error)
         warnings = F.filter(
             F.array(
                 warn(modality == "unknown", F.concat(F.lit(fixed.WARN_SKIPPED), file_name(x["a"]["path"]))),
@@ -73,7 +78,7 @@ def _asset(artifact: Column, index: Column, engines: Engines) -> Column:
                 warn(reads & ocr_on & obs["ocr_error"].isNotNull(), ocr_failed),
                 warn(hears & ~asr_on, fixed.WARN_NO_ASR),
                 warn(hears & asr_on & ~audible, fixed.WARN_NO_AUDIO),
-                warn(hears & asr_on & audible & obs["asr_error"].isNotNull(), asr_failed),
+                warn(hears & asr_on & audible & asr_error.isNotNull(), asr_failed),
             ),
             lambda w: w.isNotNull(),
         )

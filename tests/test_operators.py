@@ -409,3 +409,17 @@ def test_reply_with_fence(spark):
     text = "```json\n" + json.dumps({"topics": ["a"], "confidence": 1}) + "\n```"
     row = spark.createDataFrame([(text,)], "r string").select(parse_semantic_payload("r").alias("s")).first()["s"]
     assert row["topics"] == ["a"] and row["confidence"] == 1.0
+
+
+def test_an_over_long_segment_is_a_failed_recognition(spark):
+    rows = request(
+        spark, *({"request_id": i, "post_text": "boats", "transcribe_audio": True, "artifacts": [("in/talk.mp3", 3, SHA, "audio/mpeg")]} for i in (1, 2))
+    )
+    found = seen(
+        spark, {"request_id": 1, "segments": [(0.0, 1.0, "w" * 20_001)]}, {"request_id": 2, "segments": [(0.0, 1.0, "short talk")]}
+    )
+    got = {r["request_id"]: r for r in analyze_content(rows, found, None, ENGINES).collect()}
+    assert [got[i]["error_code"] for i in (1, 2)] == [None, None]
+    asset = got[1]["output"]["assets"][0]
+    assert asset["transcript"] == [] and "Speech recognition failed (ValidationError)." in asset["warnings"]
+    assert [s["text"] for s in got[2]["output"]["assets"][0]["transcript"]] == ["short talk"]
