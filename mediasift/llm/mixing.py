@@ -22,7 +22,7 @@ from .common import WORD, source_key, written
 BLOCK_WORDS = 1 << 16
 SHARD_BLOCKS = 64
 #: Documents of a bucket, on average; a bucket's running sum is one window.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 SEED = 7
 MOST = 3
 #: A draw is looked for within so many standard deviations; beyond lies less than 1e-30.
