@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import part_bases, source_key, written
-from .tokens import encoder, vocabulary
+from .tokens import encoder, forget, vocabulary
 
 SEQUENCE = 2048
 BLOCK = 256
@@ -166,6 +166,7 @@ def pack(
     number = {name: i for i, name in enumerate(queues.names)}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for big in batches:
             for at in range(0, big.num_rows, ROWS):
                 batch = big.slice(at, ROWS)

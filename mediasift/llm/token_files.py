@@ -17,10 +17,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import part_bases, written
-from .tokens import encoder, vocabulary
+from .tokens import encoder, forget, vocabulary
 
 END = 2
-ROWS = 1000
+ROWS = 2000
 FORMAT = {
     "compression": "zstd",
     "orc.stripe.size": str(16 << 20),
@@ -76,6 +76,7 @@ def token_digests(spark: SparkSession, folder: str) -> DataFrame:
     bases = written(part_bases(files, "n_tokens", []), "file-bases")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             ids = batch["ids"]
             flat = ids.values.to_numpy(zero_copy_only=True)

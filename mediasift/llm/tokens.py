@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Distinct chunks a Python worker keeps; beyond that its cache starts anew.
-CACHED_CHUNKS = 450_000
+CACHED_CHUNKS = 800_000
 
 # White space of Unicode. Between single blanks and line feeds a text can be cut
 # with string methods; with other white space or runs of it, by the pattern.
@@ -92,6 +92,11 @@ class Encoder:
             yield np.frombuffer(b"".join(map(ids_of, chunks)) + last, self.dtype)
 
 
-@lru_cache(maxsize=4)
+def forget() -> None:
+    """Frees the caches of this worker; for steps that come after all ids are written."""
+    encoder.cache_clear()
+
+
+@lru_cache(maxsize=1)
 def encoder(path: str, spaced: bool) -> Encoder:
     return Encoder(path, spaced)
