@@ -56,6 +56,28 @@ def hashed_sample(rows: DataFrame, about: int, *keys: str) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < int(about / n * (1 << 40)))
 
 
+def levelled_sample(rows: DataFrame, about: int, label: str, *keys: str) -> DataFrame:
+    """About so many of the rows, or all if there are not more, shared evenly among the values of ``label``.
+
+    A value with fewer rows than its share gives all of them, and what it leaves goes to
+    the others. Each value gives one row at least. Which ones follows from a hash of
+    ``keys``. One count for each value comes to the driver.
+    """
+    place = F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
+    found = rows.groupBy(label).agg(F.count("*").alias("n"), F.min(place).alias("first")).collect()
+    left, bounds = about, []
+    for i, r in enumerate(sorted(found, key=lambda r: (r["n"], r[label]))):
+        share = left / (len(found) - i)
+        if r["n"] > share:
+            bounds.append((r[label], max(int(share / r["n"] * (1 << 40)), r["first"] + 1)))
+        left -= min(r["n"], share)
+    if not bounds:
+        return rows
+    limits = F.broadcast(rows.sparkSession.createDataFrame(bounds, f"`{label}` string, _limit long"))
+    kept = rows.join(limits, label, "left").filter(F.col("_limit").isNull() | (place < F.col("_limit")))
+    return kept.drop("_limit")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """doc_id, text and label of about ``rows`` labelled documents of each label value 0 and 1.
 

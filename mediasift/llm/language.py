@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words
-from .common import hashed_sample, remainder
+from .common import levelled_sample, remainder
 
-#: About so many training texts, by a hash of their ids, and at most so many windows taken from each at random places.
+#: About so many training texts, shared evenly among the languages, by a hash of their ids, and at most so many windows taken from each at random places.
 FIT_ROWS = 2500
 FIT_WINDOWS = 3
 WINDOW = 256
@@ -136,7 +136,8 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Network | None:
     """Learns from texts with a language outside the held-out fold; which ones follows from their ids."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), FOLDS) != HELD_OUT))
     # Ids first: only chosen texts move.
-    few = F.broadcast(hashed_sample(known.select("doc_id").distinct(), fit_rows, "doc_id"))
+    ids = known.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    few = F.broadcast(levelled_sample(ids, fit_rows, "lang", "doc_id").select("doc_id"))
     rows = known.join(few, "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("s")).select("s.*")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 
 from mediasift.llm import language as l, words
+from mediasift.llm.common import levelled_sample
 
 from ..conftest import SMALL
 
@@ -27,6 +28,33 @@ def test_odd_rows(spark):
     assert l.language(docs.limit(0)).collect() == []
 
 
+def test_rare_language(spark):
+    """One row in 10,000 is of a language of its own; all of these are learned, and the held-out ones told apart."""
+    n = 200_000
+    docs = spark.range(n).selectExpr(
+        "id AS doc_id",
+        "CASE WHEN id % 10000 = 7 THEN 'ru' WHEN id % 2 = 0 THEN 'en' ELSE 'de' END AS lang",
+        "CASE WHEN id % 10000 = 7 THEN concat('это короткий текст о погоде ', id) WHEN id % 2 = 0 THEN concat('this is a short text about the weather ', id)"
+        " ELSE concat('das ist ein kurzer Text zum Wetter ', id) END AS text",
+    )
+    known = docs.filter(l.remainder(docs.doc_id, l.FOLDS) != l.HELD_OUT)
+    got = {r["lang"]: r["count"] for r in levelled_sample(known, 300, "lang", "doc_id").groupBy("lang").count().collect()}
+    assert got["ru"] == known.filter("lang = 'ru'").count()
+    assert 200 < sum(got.values()) < 400
+    rows = l.language(docs).join(docs.filter("doc_id % 1000 = 7").select("doc_id", "lang"), "doc_id").collect()
+    rare = [r for r in rows if r["lang"] == "ru"]
+    assert len(rare) == n // 10_000
+    assert {r["held_out"] for r in rare} == {True, False}
+    assert all(r["lang_pred"] == r["lang"] for r in rows)
+
+
+def test_each_language_gives_a_text(spark):
+    rows = spark.range(10_000).selectExpr("id AS doc_id", "concat('l', id % 50) AS lang")
+    kept = levelled_sample(rows, 20, "lang", "doc_id")
+    assert kept.select("lang").distinct().count() == 50
+    assert kept.count() < 100
+
+
 def test_windows_hold_every_byte():
     texts = [b"a" * 600, b"", b"bc", b"d" * 256]
     for _, part in words.batches(pa.array([t.decode() for t in texts])):
