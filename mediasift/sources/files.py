@@ -2,37 +2,114 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+from collections.abc import Iterator
+from functools import reduce
+from pathlib import PurePosixPath
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.media import guess_media_type
+from ..session import work_dir
 
+LISTED = "path string, size_bytes long, is_regular boolean, folder boolean"
+#: Rows of a listing handed on together.
+TOGETHER = 10_000
 
-def scan_artifacts(spark: SparkSession, directory: str) -> DataFrame:
-    """Every regular file below a folder except ``.part`` files: path, size_bytes,
-    sha256, media_type. Spark lists no file whose name begins with ``_`` or ``.``. File contents are read only when the
-    hash column is used. A file must fit in one row (2 GiB; the contract's cap
-    is below that)."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
+
+def _entries(folder: str) -> Iterator[tuple[str, int, bool, bool]]:
+    with os.scandir(folder) as entries:
+        for e in entries:
+            if e.is_dir(follow_symlinks=False):
+                yield e.path, 0, False, True
+            # A link to a file is listed, but is not regular; other links and devices are left out.
+            elif e.is_file() and PurePosixPath(e.name).suffix != ".part":
+                yield e.path, e.stat().st_size, not e.is_symlink(), False
+
+
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in LISTED.split(", ")]
+    types = [pa.string(), pa.int64(), pa.bool_(), pa.bool_()]
+    for batch in batches:
+        for folder in batch["path"].to_pylist():
+            entries = list(_entries(folder))
+            for at in range(0, len(entries), TOGETHER):
+                columns = zip(*entries[at : at + TOGETHER], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+
+def _digest(path):
+    if path is None:
+        return None
+    with open(path, "rb") as file:
+        return hashlib.file_digest(file, "sha256").hexdigest()
+
+
+def _local_files(spark: SparkSession, root: str) -> DataFrame:
+    """Lists level by level in tasks, each level written so that it is read once from the disk."""
+    tasks = spark.sparkContext.defaultParallelism
+    folders, levels = spark.createDataFrame([(root,)], "path string"), []
+    while not levels or not folders.isEmpty():
+        path = work_dir(spark, "listing")
+        folders.repartition(tasks, "path").mapInArrow(_list_folders, LISTED).write.parquet(path)
+        level = spark.read.schema(LISTED).parquet(path)
+        levels.append(level.filter(~F.col("folder")).drop("folder"))
+        folders = level.filter("folder").select("path")
+    files = reduce(DataFrame.unionAll, levels).repartition(4 * tasks, "path")
+    return files.withColumn("sha256", F.udf(_digest, "string")(F.when(F.col("is_regular"), F.col("path"))))
+
+
+def _stored_files(spark: SparkSession, fs, root) -> DataFrame:
+    """Files of a store that only Spark reads: listed by its driver. Empty files and names that Spark's file
+    source does not list are hashed there too, all others in tasks, where a file must fit in one row (2 GiB)."""
+    jvm, rows, folders = spark._jvm, [], [(root, False)]
+    while folders:
+        folder, above = folders.pop()
+        for status in fs.listStatus(folder):
+            path = status.getPath()
+            name = path.getName()
+            hidden = above or name.startswith(("_", ".")) or name.endswith("._COPYING_")
+            if status.isDirectory():
+                folders.append((path, hidden))
+            elif PurePosixPath(name).suffix != ".part":
+                digest = None
+                if not status.isSymlink() and (hidden or status.getLen() == 0):
+                    sha = jvm.java.security.MessageDigest.getInstance("SHA-256")
+                    stream = jvm.java.security.DigestInputStream(fs.open(path), sha)
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, jvm.java.io.OutputStream.nullOutputStream(), 1 << 16, True)
+                    digest = bytes(sha.digest()).hex()
+                rows.append((path.toString(), status.getLen(), not status.isSymlink(), digest))
+    listed = spark.createDataFrame(rows, "path string, size_bytes long, is_regular boolean, digest string")
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root.toString())
+    hashed = read.select("path", F.sha2("content", 256).alias("_hash"))
+    return listed.join(hashed, "path", "left").select(
+        "path", "size_bytes", "is_regular",
+        F.when(F.col("is_regular"), F.coalesce("digest", "_hash")).alias("sha256"),
     )
-    path = F.regexp_replace("path", "^file:/+", "/")
-    return (
-        files.withColumn("path", path)
-        .filter(~F.col("path").endswith(".part"))
-        .select(
-            "path",
-            F.col("length").alias("size_bytes"),
-            F.sha2("content", 256).alias("sha256"),
-            guess_media_type("path").alias("media_type"),
-        )
+
+
+def _files(spark: SparkSession, directory: str) -> DataFrame:
+    root = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = fs.makeQualified(root)
+    if root.toUri().getScheme() == "file":
+        return _local_files(spark, root.toUri().getPath())
+    return _stored_files(spark, fs, root)
+
+
+def scan_artifacts(spark: SparkSession, directory: str) -> DataFrame:
+    """Every regular file below a folder except ``.part`` files and links: path, size_bytes,
+    sha256, media_type. File contents are read only when the hash column is used."""
+    return _files(spark, directory).filter("is_regular").select(
+        "path", "size_bytes", "sha256", guess_media_type("path").alias("media_type")
     )
 
 
 def file_table(spark: SparkSession, directory: str) -> DataFrame:
-    """The same files in the shape manifests are verified against."""
-    return scan_artifacts(spark, directory).select(
-        "path", F.col("size_bytes").alias("length"), "sha256", F.lit(True).alias("is_regular")
-    )
+    """The same files, and links to files as not regular, in the shape manifests are verified against."""
+    return _files(spark, directory).select("path", F.col("size_bytes").alias("length"), "sha256", "is_regular")
 
 
 def scan_images(spark: SparkSession, directory: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators on hand rows, against plain restatements, and under skew."""
 
+import hashlib
 import json
 import random
 import struct
@@ -124,6 +125,42 @@ def test_output_caps_fail_the_whole_request(spark):
     assert analyze_content(rows, found).filter(F.col("error_code").isNull()).count() == 1
 
 
+def test_files_of_any_name_but_no_links(spark, tmp_path):
+    deep = tmp_path / "_a" / ".b"
+    deep.mkdir(parents=True)
+    kept = {"_x.jpg": b"one", ".x.jpg": b"two", "plain.png": b"three" * 500_000, "empty.jpg": b"", ".x.crc": b"4", ".part": b"5"}
+    for name, content in kept.items():
+        (tmp_path / name).write_bytes(content)
+        (deep / name).write_bytes(content)
+    (tmp_path / "half.part").write_bytes(b"x")
+    (tmp_path / "link.jpg").symlink_to(tmp_path / "_x.jpg")
+    (tmp_path / "broken.jpg").symlink_to(tmp_path / "gone.jpg")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    want = sorted((f"{d}/{n}", len(c), hashlib.sha256(c).hexdigest()) for d in (tmp_path, deep) for n, c in kept.items())
+    scanned = scan_artifacts(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in scanned.select("path", "size_bytes", "sha256").collect()) == want
+    files = file_table(spark, str(tmp_path))
+    assert {r["path"]: r["sha256"] for r in files.filter("NOT is_regular").collect()} == {f"{tmp_path}/link.jpg": None}
+    assert files.count() == len(want) + 1
+    sha = hashlib.sha256(b"one").hexdigest()
+    arts = spark.createDataFrame(
+        [(1, 1, "_x.jpg", 3, sha), (2, 1, "link.jpg", 3, sha), (3, 1, "_a/.b/.x.jpg", 3, sha)],
+        "request_id int, artifact_index int, path string, size_bytes long, sha256 string",
+    )
+    ranks = {r["request_id"]: r["error"] and r["error"]["rank"] for r in manifest.verify_manifest(arts, files, str(tmp_path)).collect()}
+    assert ranks == {1: None, 2: 3, 3: 5}
+    # The same through a store that only Spark reads.
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.files.link./in", f"file://{tmp_path}")
+    (tmp_path / "link.jpg").unlink()
+    (tmp_path / "loop").unlink()
+    stored = scan_artifacts(spark, "viewfs://files/in").select("path", "size_bytes", "sha256")
+    # The local store below hides checksum files of its own.
+    assert sorted(tuple(r) for r in stored.collect()) == [
+        (p.replace(str(tmp_path), "viewfs://files/in"), n, h) for p, n, h in want if not p.endswith(".crc")
+    ]
+
+
 def test_files_cache_and_audit_end_to_end(spark, tmp_path):
     root = tmp_path / "media"
     root.mkdir()
