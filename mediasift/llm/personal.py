@@ -223,7 +223,7 @@ class Classifier:
 
 
 def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Classifier:
-    """Votes are counted over all texts; the classifier is fitted on a bounded sample of candidates."""
+    """Votes are counted over all texts; the classifier is fitted on the fit_rows distinct candidates of lowest rank."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,10 +252,17 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Classifier:
     each = rows.groupBy("kind", "votes", "features").agg(counted, sampled)
     table = each.persist()
     try:
-        patterns = {(r["kind"], tuple(r["votes"])): r["n"] for r in table.filter("n is not null").collect()}
-        shaped = table.filter("features is not null")
-        most = fit_rows / max(shaped.count(), 1) * (1 << 32)
-        sample = sorted(shaped.filter(F.col("s.rank") <= most).collect(), key=lambda r: (r["s"]["rank"], r["features"]))
+        patterns = dict(sorted(((r["kind"], tuple(r["votes"])), r["n"]) for r in table.filter("n is not null").collect()))
+        # No batch cuts a candidate of the lowest fit_rows overall, so that these are found whatever the batches.
+        # Their last rank comes from counts of ranges of ranks, at most 2 ** 16 rows.
+        shaped, part = table.filter("features is not null"), F.shiftright("s.rank", 16)
+        most, n = -1, 0
+        for r in sorted(shaped.groupBy(part.alias("part")).count().collect()):
+            most, n = r["part"], n + r["count"]
+            if n >= fit_rows:
+                break
+        found = shaped.filter(part <= most).collect()
+        sample = sorted(found, key=lambda r: (r["s"]["rank"], r["kind"], r["votes"], r["features"]))[:fit_rows]
     finally:
         table.unpersist()
     personal = estimate(patterns)

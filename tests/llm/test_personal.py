@@ -68,6 +68,19 @@ def test_votes_tell_reliable_labelers():
     assert p.estimate({}) == {}
 
 
+def test_sample_follows_from_the_candidates_alone(spark, monkeypatch):
+    names = ["Anna", "Thomas", "Maria", "Peter", "Laura", "Simon"]
+    texts = [(f"{names[i % 6]} {names[i % 5]}son{i} met Dr {names[i % 4]} Becker{i % 7} tel: 555 {100 + i} {2000 + i} on day {i}",) for i in range(600)]
+    docs, seen, fit = spark.createDataFrame(texts, "text string"), [], p.Classifier.fit
+    monkeypatch.setattr(p.Classifier, "fit", lambda rows, target: seen.append((rows, target.tolist())) or fit(rows, target))
+    for parts in (1, 3, 16):
+        p.train(docs.repartition(parts), 10)
+    every = {c for (t,) in texts for c in ((c.kind, c.votes, c.features) for c in p.candidates(t, p.base_spans(t)))}
+    assert len(every) > 40
+    assert [len(rows) for rows, _ in seen] == [10] * 3
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_added_spans_and_masks(spark):
     cued = [f"Signed, Mr: Thomas Becker{i} call tel: 555 123 {1000 + i} now" for i in range(40)]
     rows = [(i, t.replace(str(i) + " call", " call"), "k") for i, t in enumerate(cued)]
