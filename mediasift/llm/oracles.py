@@ -51,3 +51,24 @@ WITH p AS (
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> kept THEN kept END AS refers_to FROM m
 """
+
+
+def urls_sql(rules: list[tuple[str, str]], listed: list[str]) -> str:
+    """Verdicts by comparing every address with every rule and listed host."""
+    values = ", ".join(f"('{rule}', '{verdict}', {i})" for i, (rule, verdict) in enumerate(rules))
+    hosts = ", ".join(f"('{x}')" for x in listed)
+    return rf"""
+WITH r AS (
+  SELECT rule, verdict, split_part(rule, '/', 1) AS h, substr(rule, length(split_part(rule, '/', 1)) + 1) AS p FROM (VALUES {values}) t(rule, verdict, i)
+), l AS (SELECT * FROM (VALUES {hosts}) t(h)), rest AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+), judged AS (
+  SELECT page_id, host, path, (SELECT max(struct_pack(n := length(rule), rule := rule, verdict := verdict)) FROM r
+    WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS best,
+    (SELECT count(*) FROM l WHERE host = h OR ends_with(host, '.' || h)) AS n FROM parts
+)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN n > 0 THEN 'block' ELSE 'allow' END) AS verdict FROM judged
+"""

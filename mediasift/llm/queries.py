@@ -11,13 +11,14 @@ from .archives import page_records
 from .grid_join import vector_links
 from .language import language
 from .mixing import MIX_SQL, mix_report
-from .oracles import PAGES_SQL, SHINGLES_SQL, VECTORS_SQL
+from .oracles import PAGES_SQL, SHINGLES_SQL, VECTORS_SQL, urls_sql
 from .packing import pack
 from .personal import personal_spans, train
 from .quality import quality
 from .shingles import near_duplicates
 from .token_files import token_digests, write_tokens
 from .toxicity import toxicity
+from .url_cascade import url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,9 +88,23 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_records(spark, table(spark, sf_dir, "pages"))
 
 
+#: Address rules, and a block list of hosts for addresses without a rule. Fixed values.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+LISTED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_DOMAINS = ("example.com", "example.net", "example.org")
+
+
+@query
+def op11_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    listed = spark.createDataFrame([(f"{name}.{domain}",) for name in LISTED_NAMES for domain in LISTED_DOMAINS], "key string")
+    return url_verdicts(table(spark, sf_dir, "pages"), rules, listed)
+
+
 ORACLES |= {
     "op1_epsilon_grid": VECTORS_SQL,
     "op6_ngram_jaccard": SHINGLES_SQL,
     "op7_hypergeometric_mix": MIX_SQL,
     "op10_arc_to_warc": PAGES_SQL,
+    "op11_bloom_cascade": urls_sql(URL_RULES, [f"{name}.{domain}" for name in LISTED_NAMES for domain in LISTED_DOMAINS]),
 }
