@@ -13,6 +13,7 @@ from .language import language
 from .mixing import MIX_SQL, mix_report
 from .oracles import PAGES_SQL, SHINGLES_SQL, VECTORS_SQL, urls_sql
 from .packing import pack
+from .periodic import periodic_runs, run_digests, with_planted_runs
 from .personal import personal_spans, train
 from .quality import quality
 from .shingles import near_duplicates
@@ -101,6 +102,11 @@ def op11_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"), rules, listed)
 
 
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
 ORACLES |= {
     "op1_epsilon_grid": VECTORS_SQL,
     "op6_ngram_jaccard": SHINGLES_SQL,

@@ -23,6 +23,7 @@ COLUMNS = {
     "op9": {"doc_id", "start", "n_tokens", "ids_crc32"},
     "op10": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
     "op11": {"page_id", "host", "path", "rule", "verdict"},
+    "op12": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
 }
 
 
