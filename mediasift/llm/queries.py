@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import work_dir
 from .archives import page_records
+from .conversations import damaged, repair_report
 from .grid_join import vector_links
 from .language import language
 from .mixing import MIX_SQL, mix_report
@@ -107,6 +108,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(with_planted_runs(table(spark, sf_dir, "documents"))))
 
 
+@query
+def op13_hirschberg_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damaged(table(spark, sf_dir, "conversations")))
+
+
 ORACLES |= {
     "op1_epsilon_grid": VECTORS_SQL,
     "op6_ngram_jaccard": SHINGLES_SQL,

@@ -24,6 +24,7 @@ COLUMNS = {
     "op10": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
     "op11": {"page_id", "host", "path", "rule", "verdict"},
     "op12": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
+    "op13": {"conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"},
 }
 
 
