@@ -1,27 +1,27 @@
 """Words of a batch of texts as arrays: places, hashes, windows.
 
 Works on the UTF-8 bytes of an Arrow string column; no Python object per word.
-A hash is a polynomial in the bytes modulo 2**64, taken from running sums, then
-mixed. Two different words share one of 2**64 values only by chance.
+A hash takes in eight bytes at a time and mixes them over all bits, so that no pattern
+of letters makes two words meet; different words of one length up to eight bytes never do.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_RANDOM = np.random.Generator(np.random.PCG64(20240229))
-_VALUES = _RANDOM.integers(1, 1 << 63, 256, np.uint64) * U64(2) + U64(1)
 _STEP = U64(0x9E3779B97F4A7C15)
-_BACK = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = _VALUES.copy()
-_LOWER[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
+#: Longer stretches of bytes are hashed one by one.
+_LONG = 128
 
 #: Texts are taken together up to so many bytes; one longer text is taken alone.
 BYTES = 2 << 20
@@ -48,21 +48,23 @@ class Texts:
         """Per text, how many bytes are marked."""
         return np.diff(np.concatenate([[0], np.cumsum(marks, dtype=np.int64)])[self.offsets])
 
-    def running(self, lower: bool) -> np.ndarray:
-        """sums[e] - sums[s], times _BACK ** s, is the hash of bytes s to e."""
-        powers = np.full(len(self.data), _STEP, U64)
-        if len(powers):
-            powers[0] = 1
-        powers = np.cumprod(powers, dtype=U64)
-        values = (_LOWER if lower else _VALUES)[self.data]
-        return np.concatenate([np.zeros(1, U64), np.cumsum(values * powers, dtype=U64)])
-
     def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-        sums = self.running(lower)
-        back = np.full(len(self.data) + 1, _BACK, U64)
-        back[0] = 1
-        back = np.cumprod(back, dtype=U64)
-        return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(U64))
+        """64 bits for each stretch of bytes, eight bytes at a time into a mixed state; long ones by BLAKE2."""
+        data = _LOWER[self.data] if lower else self.data
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the number in the bytes from each place on
+        size = ends - starts
+        out = mix(size.astype(U64) * _STEP + U64(1))
+        todo, done = np.flatnonzero((size > 0) & (size <= _LONG)), 0
+        while len(todo):
+            left, part = size[todo] - done, eight[starts[todo] + done]
+            short = left < 8
+            part[short] &= (U64(1) << (left[short] * 8).astype(U64)) - U64(1)
+            out[todo] = mix((out[todo] ^ part) * _STEP)
+            todo, done = todo[left > 8], done + 8
+        for i in np.flatnonzero(size > _LONG).tolist():
+            out[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        return out
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the words, and the first word of each text (and the number of all)."""
