@@ -43,6 +43,8 @@ HTTP_TYPE = "application/http; msgtype=response"
 #: An archive file ends after so many records or bytes.
 FILE_RECORDS, FILE_BYTES = 20_000, 256 << 20
 LEVEL = 4
+#: Tasks that read or write archives in one stage; with more files than that a task takes several.
+MOST_TASKS = 100_000
 #: HTTP header that carries the record's own id through the archives.
 ID_HEADER = "X-Record-Id"
 NO_DATE = "19700101000000"
@@ -273,12 +275,12 @@ def arc_index(files: DataFrame, folder: str) -> DataFrame:
                     ),
                 )
 
-    return _one_a_task(files).mapInArrow(index, INDEX)
+    return _one_a_task(files.select("file"), files).mapInArrow(index, INDEX)
 
 
-def _one_a_task(files: DataFrame) -> DataFrame:
-    """About one file a task: a file is the unit of reading."""
-    return files.select("file").repartition(max(1, min(files.count(), 100_000)), "file")
+def _one_a_task(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows dealt by file, about one file a task: a file is the unit of reading, however small its rows are."""
+    return rows.repartition(max(1, min(files.count(), MOST_TASKS)), "file")
 
 
 def decide(index: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -358,7 +360,8 @@ def convert(files: DataFrame, arc_folder: str, warc_folder: str, least_bytes: in
         return pa.Table.from_batches([writer.files()])
 
     narrow = decisions.select("file", "place", *(f"refers_{c}" for c in ("file", "place", "url", "date")))
-    return written(narrow.groupBy("file").applyInArrow(rewrite, FILES), "warc-files")
+    # A number of tasks that adaptive execution keeps: by the size of the index alone all files would meet in one.
+    return written(_one_a_task(narrow, files).groupBy("file").applyInArrow(rewrite, FILES), "warc-files")
 
 
 def warc_records(stream: Stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -408,7 +411,7 @@ def read_warc(files: DataFrame, folder: str) -> DataFrame:
                         )
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return _one_a_task(files).mapInArrow(read, RECORDS)
+    return _one_a_task(files.select("file"), files).mapInArrow(read, RECORDS)
 
 
 def page_records(spark: SparkSession, pages: DataFrame) -> DataFrame:

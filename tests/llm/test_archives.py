@@ -55,3 +55,15 @@ def test_empty_table_and_small_payloads(spark):
     pages = spark.createDataFrame([(1, "u", "same", "", ""), (2, "u", "same", "", "")], SCHEMA)
     files = a.convert(a.write_arc(pages, folder, versions=(2,)), folder, out, least_bytes=5)
     assert {r["record_type"] for r in a.read_warc(files, out).collect()} == {"response"}
+
+
+def test_as_many_tasks_as_files(spark):
+    """The index of a file is small; still each file is converted by a task of its own."""
+    pages = spark.range(200).selectExpr("id AS page_id", "concat('http://x.org/', id) AS url", "concat('<p>', id % 9) AS html").repartition(5)
+    arcs, warcs = work_dir(spark, "test-arc"), work_dir(spark, "test-warc")
+    files = a.write_arc(pages, arcs)
+    assert files.count() == 10
+    narrow = a.decide(a.arc_index(files, arcs)).select("file", "place")
+    parts = a._one_a_task(narrow, files).groupBy("file").agg({"place": "max"})
+    assert parts.rdd.getNumPartitions() == 10
+    assert a.read_warc(a.convert(files, arcs, warcs), warcs).count() == 200
