@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words
 from .common import written
@@ -82,13 +82,19 @@ def grams(texts: words.Texts, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]
     return found[keep], of[keep]
 
 
+def text_digest() -> Column:
+    """Tells rows of one doc_id with different texts apart; null is an empty text."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+
+
 def _documents(docs: DataFrame, batches: int) -> DataFrame:
-    batch = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(batches)).cast("int")
-    return docs.select(F.col("doc_id").cast("long"), "text").withColumn("batch", batch)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    batch = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int")
+    return rows.withColumns({"batch": batch, "digest": text_digest()})
 
 
 def gram_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a key that equal sets share (null: no n-gram), and, where 75 % are shared
+    """doc_id, digest of the text, n_shingles, a key that equal sets share (null: no n-gram), and, where 75 % are shared
     with other documents, ``keys``: the shared n-grams as ascending 64-bit numbers, the rarer the lower."""
     n_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_batches = max(1, -(-n_bytes // BATCH_BYTES))
@@ -109,7 +115,7 @@ def gram_sets(docs: DataFrame) -> DataFrame:
         # The bucket grows with the hash, so that each is a slice.
         bucket = (((hashes << drop) >> U64(32)) * U64(n_buckets)) >> U64(32)
         edges = np.flatnonzero(np.diff(bucket, prepend=U64(1 << 63)))
-        ends = np.append(edges[1:], len(hashes))
+        ends = np.append(edges[1:], len(hashes))[: len(edges)]
         out: list[list] = [[], [], [], []]
         for a, b in zip(edges.tolist(), ends.tolist(), strict=True):
             out[0].append(int(bucket[a]))
@@ -176,13 +182,16 @@ def gram_sets(docs: DataFrame) -> DataFrame:
         return pa.table(
             {
                 "doc_id": table["doc_id"].combine_chunks() if table.num_rows else pa.array([], pa.int64()),
+                "digest": table["digest"].combine_chunks() if table.num_rows else pa.array([], pa.binary()),
                 "n_shingles": pa.array(out[0], pa.int64()), "set": pa.array(out[1], pa.binary()), "keys": pa.array(out[2], pa.binary()),
             }
         )
 
     sent = rows.groupBy("batch").applyInArrow(send, "bucket int, batch int, hashes binary, several binary, times binary")
     replies = sent.groupBy("bucket").applyInArrow(answer, "batch int, shared binary, ranks binary")
-    return rows.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(sets, "doc_id long, n_shingles long, set binary, keys binary")
+    return rows.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(
+        sets, "doc_id long, digest binary, n_shingles long, set binary, keys binary"
+    )
 
 
 def _postings(sets: DataFrame) -> DataFrame:
@@ -211,12 +220,12 @@ def _postings(sets: DataFrame) -> DataFrame:
     return sets.select("set", "id", "n", "keys").mapInArrow(prefix, "gram long, set binary, id long, n long, place long")
 
 
-def _pairs(one: DataFrame, two: DataFrame, also) -> DataFrame:
-    """Distinct pairs of sets that meet in a prefix n-gram and pass the length and positional filters."""
+def _pairs(one: DataFrame, two: DataFrame, also: Column, *bands: str) -> DataFrame:
+    """Distinct pairs of sets that meet in a prefix n-gram (and ``bands``) and pass the length and positional filters."""
     x, y = one.alias("x"), two.alias("y")
     least, most = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     reach = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) - 1
-    met = x.join(y, F.col("x.gram") == F.col("y.gram")).filter(
+    met = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("gram", *bands)]).filter(
         also & (4 * least >= 3 * most) & (7 * reach >= 3 * (F.col("x.n") + F.col("y.n")))
     )
     first = F.col("x.set") < F.col("y.set")
@@ -264,12 +273,37 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "one").join(two, "two").select("a", "b", "x_n", "y_n", "x_keys", "y_keys").mapInArrow(verify, "a long, b long")
 
 
+def _classes(sets: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(set, class) of distinct sets (set, id, n, keys): the smallest id that links between sets,
+    and the links ``known`` (a, b) between ids, lead to."""
+    postings = written(_postings(sets), "postings")
+    leaders = postings.groupBy("gram").agg(
+        F.min(F.struct("id", "set", "n", "place")).alias("s"), F.count("*").alias("c")
+    ).filter("c > 1").select("gram", "s.*")
+    led = _verified(_pairs(leaders, postings, F.col("x.set") != F.col("y.set")), sets)
+    links = written(led if known is None else led.unionByName(known), "led")
+    first = components(links)
+
+    # Sets of one n-gram that are still apart, its leader being compared with all already.
+    marked = postings.join(first, "id", "left").withColumn("class", F.coalesce("component_id", "id"))
+    rest = written(marked.join(leaders.select("gram", "set"), ["gram", "set"], "left_anti").drop("component_id"), "rest")
+    several = rest.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("gram")
+    # Sets that link are at most a third apart in length, so with bands a little wider they fall into the same or neighbouring bands.
+    band = F.floor(F.log(1.35, "n")).cast("int")
+    open_ = rest.join(several, "gram").withColumn("band", band)
+    near = open_.withColumn("band", F.explode(F.array(*(band + k for k in (-1, 0, 1)))))
+    more = _verified(_pairs(open_, near, F.col("x.class") < F.col("y.class"), "band"), sets)
+    whole = components(links.unionByName(more))
+    return sets.select("set", "id").join(whole, "id", "left").select("set", F.coalesce("component_id", "id").alias("class"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document (doc_id, text).
 
     A null text has no words, and a document without words or without doc_id links with
     nothing; without doc_id its component is null. Rows that repeat a doc_id each have
-    their set, and their links all count for that doc_id. Further columns are ignored.
+    their set, and their links all count for that doc_id. Equal similarity is no tie: all that reaches 75 % links.
+    Further columns are ignored, very long texts taken whole; an empty table gives no rows.
     """
     found = written(gram_sets(docs), "gram-sets")
     linkable = found.filter("keys is not null and doc_id is not null")
@@ -277,33 +311,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         linkable.groupBy("set").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")),
         "sets",
     )
-    postings = written(_postings(sets), "postings")
-    leaders = postings.groupBy("gram").agg(
-        F.min(F.struct("id", "set", "n", "place")).alias("s"), F.count("*").alias("c")
-    ).filter("c > 1").select("gram", "s.*")
-    led = _verified(_pairs(leaders, postings, F.col("x.set") != F.col("y.set")), sets)
     # Rows that repeat a doc_id are one document of several sets.
     same = linkable.groupBy("doc_id").agg(F.count_distinct("set").alias("c")).filter("c > 1").select("doc_id")
     repeated = linkable.join(same, "doc_id").select("set", F.col("doc_id").alias("b")).join(sets.select("set", F.col("id").alias("a")), "set")
-    links = written(led.unionByName(repeated.select("a", "b")), "led")
-    first = components(links)
-
-    # Sets of one n-gram that are still apart, its leader being compared with all already.
-    marked = postings.join(first, "id", "left").withColumn("class", F.coalesce("component_id", "id"))
-    rest = written(marked.join(leaders.select("gram", "set"), ["gram", "set"], "left_anti").drop("component_id"), "rest")
-    several = rest.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("gram")
-    open_ = rest.join(several, "gram")
-    more = _verified(_pairs(open_, open_, F.col("x.class") < F.col("y.class")), sets)
-    whole = components(links.unionByName(more))
-
-    classes = sets.select("set", "id").join(whole, "id", "left").select("set", F.coalesce("component_id", "id").alias("_class"))
+    classes = _classes(sets, repeated.select("a", "b")).withColumnRenamed("class", "_class")
     return found.join(classes, "set", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_class", "doc_id")).alias("component_id")
     )
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, without those whose class has a smaller doc_id."""
-    found = near_duplicates(docs)
-    gone = written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows, all columns, without near-duplicates: of each group of texts that links join, one row stays.
+
+    It is the one of the smallest doc_id (null ids come last), of several texts with that id the one of the
+    least digest, of equal ones the least in all columns. What counts is a row's own text: another text under the id of a
+    duplicate stays, and rows without doc_id are compared as well. Texts without words are in no group and stay.
+    Very long texts are taken whole, columns of any name are kept, an empty table gives no rows.
+    """
+    found = written(gram_sets(docs), "gram-sets")
+    linkable = found.filter("keys is not null")
+    sets = linkable.groupBy("set").agg(F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
+    texts = linkable.join(_classes(sets), "set").groupBy("class", "doc_id", "digest").agg(F.count("*").alias("n"))
+    texts = written(texts, "grouped-texts")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    kept = texts.groupBy("class").agg(least.alias("kept"), F.sum("n").alias("all")).filter("all > 1").select("class", "kept.*")
+    kept = kept.withColumnsRenamed({"doc_id": "kept_id", "digest": "kept_digest"})
+    stays = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest"))
+    judged = texts.join(kept, "class").select(F.col("doc_id").alias("i"), F.col("digest").alias("d"), "n", stays.alias("stays"))
+    judged = written(judged.filter("NOT stays OR n > 1"), "duplicates")
+
+    own = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"))
+    out = rows.join(judged, own, "left_anti").select("row.*")
+    again = judged.filter("stays")
+    if again.isEmpty():
+        return out
+    # Rows that are repeated as they are, or but for other columns: rare, and reduced before they meet.
+    one = rows.join(again, own, "left_semi").groupBy("doc_id", "digest").agg(F.min("row").alias("row")).select("row.*")
+    return out.unionByName(one)

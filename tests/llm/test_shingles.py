@@ -82,3 +82,40 @@ def test_components(spark):
     want = smallest_reachable({x for p in links for x in p}, links)
     assert got == {i: want[i] for i in got} and all(i in got or want[i] == i for i in want)
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_patterned_words_of_one_length(spark):
+    """The Thue-Morse word and its complement have one value under any polynomial modulo a power of two."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    check(spark, [(1, f"{word} {word}"), (2, f"{other} {other}"), (3, word), (4, other), (5, word[:1024]), (6, other[:1024])])
+
+
+def kept(spark, rows):
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, digest string, `class` int")
+    out = s.without_near_duplicates(docs)
+    assert out.columns == docs.columns
+    return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+
+
+def test_duplicates_go_row_by_row(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(30))
+    near = text + " end"
+    assert kept(spark, [(1, text), (2, text), (2, other)]) == [(1, text), (2, other)]
+    assert kept(spark, [(None, text), (None, text), (None, other)]) == sorted([(None, text), (None, other)], key=str)
+    assert kept(spark, [(None, text), (7, near), (3, other), (3, other), (3, other)]) == [(3, other), (7, near)]
+    # Texts without words are in no group; repeated ones stay.
+    assert kept(spark, [(1, None), (1, None), (2, ""), (3, " "), (3, " ")]) == sorted([(1, None), (1, None), (2, ""), (3, " "), (3, " ")], key=str)
+    # A tie of equal ids goes by the digest of the text: one of the two stays.
+    assert len(kept(spark, [(5, text), (5, near)])) == 1
+    assert kept(spark, [(4, "one two"), (9, "one two"), (8, "one two three")]) == [(4, "one two"), (8, "one two three")]
+    assert kept(spark, []) == []
+
+
+def test_repeated_rows_that_differ_elsewhere(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, "b"), (1, text, "a"), (2, text, "c")], "doc_id long, text string, source string")
+    assert [tuple(r) for r in s.without_near_duplicates(docs).collect()] == [(1, text, "a")]
