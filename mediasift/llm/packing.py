@@ -92,20 +92,17 @@ def token_table(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, sent, tool = TaskContext.get().partitionId(), {}, encoder(path, True)
         for big in batches:
-            for at in range(0, big.num_rows, ROWS):
-                batch = big.slice(at, ROWS)
-                ids, before, queues = [], [], batch["queue"].to_pylist()
-                for queue, row in zip(queues, tool.encode(batch["text"].to_pylist(), end), strict=True):
+            for batch, flat, starts in tool.batches(big, end):
+                before, sizes = [], np.diff(starts)
+                for queue, n in zip(batch["queue"].to_pylist(), sizes.tolist(), strict=True):
                     before.append(sent.get(queue, 0))
-                    sent[queue] = before[-1] + len(row)
-                    ids.append(row.astype("<u2" if tool.dtype.itemsize == 2 else "<u4"))
+                    sent[queue] = before[-1] + n
+                ends = pa.array((starts * flat.itemsize).astype(np.int32))
+                ids = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, ends.buffers()[1], pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch["doc_id"], batch["source"], batch["queue"],
-                        pa.array([part] * len(ids), pa.int32()),
-                        pa.array(before, pa.int64()),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([x.tobytes() for x in ids], pa.binary()),
+                        batch["doc_id"], batch["source"], batch["queue"], pa.array([part] * len(sizes), pa.int32()),
+                        pa.array(before, pa.int64()), pa.array(sizes), ids,
                     ],
                     ["doc_id", "source", "queue", "part", "before", "doc_tokens", "ids"],
                 )
@@ -152,13 +149,13 @@ def pack(
     A null text is empty: its document is the end id alone. A null source is a
     queue of its own, served last. Null or repeated doc_ids are documents as any
     other: each row is packed once. Further columns are ignored. An empty
-    table gives no piece. Only the last sequence is shorter than ``sequence``.
+    table gives no piece. Very long texts are cut into blocks as all others. Only the last sequence is shorter
+    than ``sequence``. Which of two rows that are equal goes first follows from the order they are read in.
     ``weights`` maps sources to shares; ``with_ids`` adds each piece's ids.
     """
     if sequence % block:
         raise ValueError("block must divide sequence")
-    width = encoder(path := path or vocabulary("byte_bpe_50k.json"), True).dtype
-    tokens = written(token_table(docs, path), "tokens")
+    tokens = written(token_table(docs, path or vocabulary("byte_bpe_50k.json")), "tokens")
     bases = written(part_bases(tokens, "doc_tokens", ["queue"]), "token-bases")
     totals = {r["queue"]: r["n"] for r in tokens.groupBy("queue").agg(F.sum("doc_tokens").alias("n")).collect()}
     named = None if weights is None else {"0" + k if k is not None else "1": v for k, v in weights.items()}
@@ -173,7 +170,8 @@ def pack(
                 of, starts, sizes, crcs, parts, kept = [], [], [], [], [], []
                 rows = zip(batch["queue"].to_pylist(), batch["start"].to_pylist(), batch["doc_tokens"].to_pylist(), batch["ids"], strict=True)
                 for i, (queue, begin, n, ids) in enumerate(rows):
-                    wide = np.frombuffer(ids.as_buffer(), width).astype("<u4")
+                    raw = ids.as_buffer()
+                    wide = np.frombuffer(raw, f"<u{raw.size // n}").astype("<u4")
                     low, length, spot = _pieces(queues, number[queue], begin, n)
                     of.append(np.full(len(low), i))
                     starts.append(low)

@@ -20,7 +20,6 @@ from .common import part_bases, written
 from .tokens import encoder, forget, vocabulary
 
 END = 2
-ROWS = 2000
 FORMAT = {
     "compression": "zstd",
     "orc.stripe.size": str(16 << 20),
@@ -36,7 +35,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int
 
     A null text is empty. Null doc_ids come first; rows with one doc_id are
     ordered by a hash of their text, so that a doc_id with very many rows
-    still spreads over files. An empty table gives files without rows.
+    still spreads over files. An empty table gives files without rows, a text of any length one row.
     ``before`` is the number of ids before the document in its own file.
     """
     path = path or vocabulary("word_bpe_49k.json")
@@ -44,21 +43,16 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, tool = TaskContext.get().partitionId(), 0, encoder(path, False)
         for big in batches:
-            for at in range(0, big.num_rows, ROWS):
-                batch = big.slice(at, ROWS)
-                ids = list(tool.encode(batch["text"].to_pylist(), end))
-                sizes = np.array([len(x) for x in ids], np.int64)
-                ends = before + np.cumsum(sizes)
-                before = int(ends[-1])
-                flat = pa.array(np.concatenate(ids).astype(np.int32))
-                offsets = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+            for batch, flat, starts in tool.batches(big, end):
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch["doc_id"], pa.array([part] * len(ids), pa.int32()), pa.array(ends - sizes),
-                        pa.array(sizes), pa.ListArray.from_arrays(offsets, flat),
+                        batch["doc_id"], pa.array([part] * batch.num_rows, pa.int32()), pa.array(before + starts[:-1]),
+                        pa.array(np.diff(starts)),
+                        pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat.astype(np.int32))),
                     ],
                     ["doc_id", "part", "before", "n_tokens", "ids"],
                 )
+                before += int(starts[-1])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
