@@ -24,6 +24,9 @@ NO_TEXT_SUMMARY = ("Downloaded ", " content; no textual evidence was extracted."
 IMAGE_SUMMARY = "Image content available for visual-model analysis."
 VIDEO_SUMMARY = "Video keyframes were sampled for visual-model analysis."
 VISUAL_EVIDENCE = "Local vision model analysis of supplied images and sampled video frames."
+# Progress states that show a percentage.
+STATUSES = ("finished", "succeeded", "downloading")
+
 WARN_NO_MODEL = "Semantic model is not configured; returned deterministic OCR/ASR analysis."
 WARN_MODEL_FAILED = "Semantic model failed; deterministic fallback used ({})."
 WARN_NO_OCR = "OCR is not installed or has been disabled."
@@ -33,6 +36,7 @@ WARN_NO_ASR = "Speech recognition is not installed or has been disabled."
 VALIDATION_ERROR = "ValidationError"
 WARN_ASR_FAILED = "Speech recognition failed ({})."
 WARN_NO_AUDIO = "No decodable audio track was found."
+WARN_UNIFORM_FRAMES = "PySceneDetect is unavailable; uniform frame sampling was used."
 WARN_SKIPPED = "Skipped unsupported ancillary artifact: "
 
 MSG_MISSING_FILE = "media artifact does not exist"

@@ -59,6 +59,10 @@ def text_array(values: Iterable[str]) -> Column:
     return F.expr(f"array({', '.join(sql_text(v) for v in values)})")
 
 
+def int_array(values: Iterable[int]) -> Column:
+    return F.expr(f"cast(array({', '.join(str(v) for v in values)}) AS array<int>)")
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     result = F.lit(False)
     for condition in conditions:

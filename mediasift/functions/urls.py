@@ -85,8 +85,8 @@ def supports_image_posts(url: Column | str) -> Column:
 def matched_domain(host: Column, domains: Iterable[str]) -> Column:
     """The longest of the given domains that the host equals or lies below.
 
-    The host is cut at each label and looked up, so the cost is one lookup per
-    label whatever the number of domains. ``domains`` is configuration.
+    For a short fixed list: every label's suffix is compared with all of it inside the row. A list of
+    any length is a table (``policy.below_allowed``).
     """
     known = text_array(sorted(set(domains)))
     labels = F.split(host, r"\.")

@@ -23,21 +23,13 @@ def in_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return cut(df.repartitionByRange(*keys, *order).withColumn("_block", F.spark_partition_id()))
 
 
-def positions(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Adds ``pos`` (1-based place of the row in its group) and ``group_size``."""
-    blocked = in_blocks(df, keys, order)
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
-    local = blocked.withColumn("_local", F.row_number().over(inside))
+def block_offsets(blocked: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per (group, block): ``_n`` rows, ``_before`` of them in earlier blocks, ``group_size`` in the group."""
     sizes = blocked.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumns(
+    return sizes.withColumns(
         {
             "_before": F.coalesce(F.sum("_n").over(before), F.lit(0).cast("bigint")),
             "group_size": F.sum("_n").over(Window.partitionBy(*keys)),
         }
-    ).drop("_n")
-    return (
-        local.join(offsets, [*keys, "_block"])
-        .withColumn("pos", F.col("_before") + F.col("_local"))
-        .drop("_block", "_local", "_before")
     )

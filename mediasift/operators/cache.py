@@ -11,11 +11,13 @@ def valid_key(column: str = "cache_key"):
     return (F.length(column) == 64) & F.col(column).rlike(KEY)
 
 
-def latest_per_key(puts: DataFrame, *order: str) -> DataFrame:
-    """Last writer wins, as one mergeable aggregate per key."""
-    values = [c for c in puts.columns if c != "cache_key"]
-    picked = puts.groupBy("cache_key").agg(F.max_by(F.struct(*values), F.struct(*order)).alias("v"))
-    return picked.select("cache_key", "v.*")
+def latest_per_key(puts: DataFrame, order: str) -> DataFrame:
+    """Last writer wins. ``order`` is a number that no two rows of a key share.
+
+    The winning number of a key is a hash aggregate over two narrow columns; only then are the rows looked up.
+    """
+    newest = puts.groupBy("cache_key").agg(F.max(order).alias(order))
+    return puts.join(newest, ["cache_key", order], "left_semi").select("cache_key", *(c for c in puts.columns if c not in ("cache_key", order)))
 
 
 def join_known(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:

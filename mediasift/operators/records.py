@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed
 from ..functions import casts
@@ -13,37 +10,7 @@ from ..functions.core import empty_array
 from ..functions.urls import http_url
 
 ENTRIES = "array<variant>"
-LEVELS = 3
-
-
-LEAVES = T.ArrayType(
-    T.StructType(
-        [T.StructField("path", T.ArrayType(T.IntegerType())), T.StructField("leaf", T.StringType())]
-    )
-)
-
-
-@F.pandas_udf(LEAVES)
-def _deep_leaves(nodes: pd.Series) -> pd.Series:
-    """Leaves of nodes nested deeper than the unrolled levels, with their positions."""
-
-    def leaves(text: str | None) -> list | None:
-        if text is None:
-            return None
-        out, stack = [], [((), json.loads(text))]
-        while stack:
-            path, node = stack.pop()
-            children = node.get("entries")
-            if isinstance(children, list):
-                stack += [
-                    ((*path, i), child) for i, child in reversed(list(enumerate(children)))
-                    if isinstance(child, dict)
-                ]
-            else:
-                out.append({"path": list(path), "leaf": json.dumps(node)})
-        return out
-
-    return nodes.map(leaves)
+NODES = "array<struct<path: array<int>, node: variant>>"
 
 
 def _entries(node: Column) -> Column:
@@ -55,46 +22,45 @@ def _is_object(node: Column) -> Column:
     return F.try_variant_get(node, "$", "map<string,variant>").isNotNull()
 
 
-def flatten_entries(records: DataFrame, record: str = "record", levels: int = LEVELS) -> DataFrame:
-    """Replaces each record by its leaves, depth first; adds ``path`` (positions
-    from the root), whose order is the order of the leaves.
+def _leaves(record: Column) -> Column:
+    """All leaves of a record with their positions: array<struct<path, node>>.
 
-    Each level is one in-row explode, so nothing is shuffled and the input is
-    read once. Nodes deeper than ``levels`` are finished by an Arrow UDF that
-    receives only those nodes.
+    A work list inside the row: every step opens all nodes that still hold a list, and keeps the others.
+    It takes as many steps as the record is deep. That many are never more than it
+    has lists; steps after the last open node pass the lists on as they are.
     """
-    others = [c for c in records.columns if c != record]
-    child = "struct<i:int,node:variant>"
 
-    def expand(df: DataFrame) -> DataFrame:
-        kids = _entries(F.col(record))
-        children = F.filter(
-            F.transform(kids, lambda n, i: F.struct(i.alias("i"), n.alias("node"))),
-            lambda c: _is_object(c["node"]),
+    def children(x: Column) -> Column:
+        placed = F.transform(
+            _entries(x["node"]), lambda n, i: F.struct(F.concat(x["path"], F.array(i)).alias("path"), n.alias("node"))
         )
-        alone = F.array(F.struct(F.lit(None).cast("int").alias("i"), F.col(record).alias("node")).cast(child))
-        return df.withColumn("_next", F.explode(F.when(kids.isNotNull(), children).otherwise(alone))).select(
-            *others,
-            F.when(F.col("_next.i").isNull(), F.col("path"))
-            .otherwise(F.concat("path", F.array("_next.i")))
-            .alias("path"),
-            F.col("_next.node").alias(record),
+        return F.filter(placed, lambda c: _is_object(c["node"]))
+
+    def step(state: Column, _: Column) -> Column:
+        holds = lambda x: _entries(x["node"]).isNotNull()
+        next_ = F.struct(
+            F.flatten(F.transform(F.filter(state["open"], holds), children)).cast(NODES).alias("open"),
+            F.concat(state["done"], F.filter(state["open"], lambda x: ~holds(x))).cast(NODES).alias("done"),
         )
+        return F.when(F.size(state["open"]) == 0, state).otherwise(next_)
 
-    rows = records.filter(F.col(record).isNotNull()).withColumn("path", empty_array("int"))
-    for _ in range(levels):
-        rows = expand(rows)
+    root = F.array(F.struct(empty_array("int").alias("path"), record.alias("node"))).cast(NODES)
+    start = F.struct(root.alias("open"), F.array().cast(NODES).alias("done"))
+    # Strings have their quotes escaped, so only keys are counted, and nodes without a list cost one step.
+    lists = F.when(_entries(record).isNotNull(), F.regexp_count(F.to_json(record), F.lit('"entries"'))).otherwise(0)
+    return F.aggregate(F.sequence(F.lit(0), lists), start, step, lambda state: state["done"])
 
-    deep = F.when(_entries(F.col(record)).isNotNull(), F.to_json(record))
-    rows = rows.withColumn("_deep", _deep_leaves(deep))
-    single = F.array(
-        F.struct(empty_array("int").alias("path"), F.lit(None).cast("string").alias("leaf"))
-    )
-    return rows.withColumn("_leaf", F.explode(F.coalesce("_deep", single))).select(
-        *others,
-        F.concat("path", "_leaf.path").alias("path"),
-        F.coalesce(F.try_parse_json("_leaf.leaf"), F.col(record)).alias(record),
-    )
+
+def flatten_entries(records: DataFrame, record: str = "record") -> DataFrame:
+    """Replaces each record by its leaves, depth first; adds ``path`` (positions
+    from the root), whose order is the order of the leaves.
+
+    All work is inside the row, at any depth, so nothing is shuffled, the input is read once, and every
+    value stays the VARIANT it was parsed to.
+    """
+    others = [c for c in records.columns if c != record]
+    found = records.filter(F.col(record).isNotNull()).select(*others, F.explode(_leaves(F.col(record))).alias("_leaf"))
+    return found.select(*others, F.col("_leaf.path").alias("path"), F.col("_leaf.node").alias(record))
 
 
 def cap_items(items: DataFrame, cap: Column | int, *order: str) -> DataFrame:

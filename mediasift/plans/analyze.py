@@ -74,6 +74,7 @@ def _asset(artifact: Column, index: Column, engines: Engines) -> Column:
         warnings = F.filter(
             F.array(
                 warn(modality == "unknown", F.concat(F.lit(fixed.WARN_SKIPPED), file_name(x["a"]["path"]))),
+                warn(is_video, obs["frame_warning"]),
                 warn(reads & ~ocr_on, fixed.WARN_NO_OCR),
                 warn(reads & ocr_on & obs["ocr_error"].isNotNull(), ocr_failed),
                 warn(hears & ~asr_on, fixed.WARN_NO_ASR),
@@ -134,6 +135,39 @@ def _asset(artifact: Column, index: Column, engines: Engines) -> Column:
     return let(seen, build)
 
 
+def evidence_rows(requests: DataFrame, observations: DataFrame, engines: Engines) -> DataFrame:
+    """Requests with ``assets``, ``base_evidence``, ``part_failure`` and ``modalities`` in place of their artifacts."""
+    rows = requests.join(group_observations(observations), "request_id", "left")
+    rows = settle(rows, {"parts": F.transform("artifacts", lambda a, i: _asset(a, i + 1, engines))})
+    rows = settle(
+        rows,
+        {
+            "assets": F.transform("parts", lambda p: p["asset"]),
+            "base_evidence": ev.union_evidence(
+                F.col("post_text"), F.transform("parts", lambda p: p["evidence"]), F.lit(None)
+            ),
+            "part_failure": F.get(
+                F.filter(F.transform("parts", lambda p: p["failure"]), lambda f: f.isNotNull()), F.lit(0)
+            ),
+        },
+    ).drop("parts", "artifacts", "observations")
+    return settle(rows, {"modalities": ev.modalities(F.col("assets"))})
+
+
+def _early_failure() -> Column:
+    """What fails a request before a model is asked."""
+    return F.coalesce(
+        F.when(F.length("post_text") > 10_000, _failure("analysis_failed", fixed.MSG_ANALYSIS_FAILED)),
+        F.col("part_failure"),
+        F.when(F.size("modalities") == 0, _failure("unsupported_media", fixed.MSG_UNSUPPORTED)),
+    )
+
+
+def precheck(rows: DataFrame) -> DataFrame:
+    """Adds ``failure`` to evidence rows."""
+    return settle(rows, {"failure": _early_failure()})
+
+
 def analyze_content(
     requests: DataFrame,
     observations: DataFrame,
@@ -150,38 +184,18 @@ def analyze_content(
     row, so the only exchanges are those that bring the three inputs together
     by request_id.
     """
-    rows = requests.join(group_observations(observations), "request_id", "left")
+    # 1. artifacts -> assets, evidence, failures
+    rows = evidence_rows(requests, observations, engines)
     if replies is not None:
         rows = rows.join(replies.select("request_id", "reply", "error"), "request_id", "left")
     else:
         nothing = F.lit(None).cast("string")
         rows = rows.withColumns({"reply": nothing, "error": nothing})
 
-    # 1. artifacts -> assets, evidence, failures
-    rows = settle(rows, {"parts": F.transform("artifacts", lambda a, i: _asset(a, i + 1, engines))})
-    rows = settle(
-        rows,
-        {
-            "assets": F.transform("parts", lambda p: p["asset"]),
-            "base_evidence": ev.union_evidence(
-                F.col("post_text"), F.transform("parts", lambda p: p["evidence"]), F.lit(None)
-            ),
-            "part_failure": F.get(
-                F.filter(F.transform("parts", lambda p: p["failure"]), lambda f: f.isNotNull()), F.lit(0)
-            ),
-        },
-    ).drop("parts", "artifacts", "observations")
-
     # 2. model answer or deterministic understanding
     vision_on = F.lit(engines.vision != fixed.VISION_DISABLED)
     asked = F.col("run_vision_model") & vision_on
-    rows = settle(
-        rows,
-        {
-            "modalities": ev.modalities(F.col("assets")),
-            "answer": F.when(asked & F.col("error").isNull(), parse_semantic_payload("reply")),
-        },
-    )
+    rows = settle(rows, {"answer": F.when(asked & F.col("error").isNull(), parse_semantic_payload("reply"))})
     # Texts reach the understanding in asset order.
     ocr_text = ev.joined(F.flatten(F.transform("assets", lambda a: a["ocr_text"])))
     spoken = F.transform("assets", lambda a: F.transform(a["transcript"], lambda s: s["text"]))
@@ -228,12 +242,7 @@ def analyze_content(
 
     # 4. outcome
     failed = _failure("analysis_failed", fixed.MSG_ANALYSIS_FAILED)
-    failure = F.coalesce(
-        F.when(F.length("post_text") > 10_000, failed),
-        F.col("part_failure"),
-        F.when(F.size("modalities") == 0, _failure("unsupported_media", fixed.MSG_UNSUPPORTED)),
-        F.when(~contracts.tags_ok(F.col("all_tags")), failed),
-    )
+    failure = F.coalesce(_early_failure(), F.when(~contracts.tags_ok(F.col("all_tags")), failed))
     confidence = clamp01(F.col("semantic.confidence"))
     outputs = {
         **{n: F.col(f"semantic.{n}") for n in (

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed
 from ..functions.core import text_array
 from ..functions.hashing import content_hash
-from ..functions.urls import http_url, normalize_video_url, throttle_host, url_host
+from ..functions.urls import http_url, normalize_video_url, throttle_host
 from ..operators.audit import CONTEXT, audit_rows
 from ..operators.contracts import validate_download_requests
 from ..operators.manifest import size_limits
-from ..operators.policy import resolved_hosts, url_error
+from ..operators.policy import resolved_hosts, url_policy
 from ..operators.records import cap_items, flatten_entries, normalize_media_info, record_duration_ok
 from ..operators.throttle import throttle_schedule
 from ..schemas import MEDIA_INFO
@@ -35,12 +35,12 @@ def explode_urls(requests: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def url_verdicts(requests: DataFrame, dns: DataFrame, allowed: Iterable[str]) -> DataFrame:
+def url_verdicts(
+    requests: DataFrame, dns: DataFrame, allowed: DataFrame | Iterable[str], networks: DataFrame | None = None
+) -> DataFrame:
     """request_id, refused: the code of the first refused address, null when none is."""
-    urls = explode_urls(requests).withColumns(
-        {"host": url_host("url"), "url_code": url_error(F.col("url"), list(allowed))}
-    )
-    judged = urls.join(resolved_hosts(dns), "host", "left")
+    urls = url_policy(explode_urls(requests), allowed).withColumnRenamed("error_code", "url_code")
+    judged = urls.join(resolved_hosts(dns, networks), "host", "left")
     unresolved = F.coalesce(F.col("n_addresses"), F.lit(0)) == 0
     # First address, then its code, packed into one number for a hash aggregate.
     rank = (
@@ -58,13 +58,15 @@ def url_verdicts(requests: DataFrame, dns: DataFrame, allowed: Iterable[str]) ->
     )
 
 
-def check_downloads(requests: DataFrame, dns: DataFrame, allowed: Iterable[str]) -> DataFrame:
+def check_downloads(
+    requests: DataFrame, dns: DataFrame, allowed: DataFrame | Iterable[str], networks: DataFrame | None = None
+) -> DataFrame:
     checked = validate_download_requests(requests).withColumn(
         "input_hash", content_hash(F.struct(*INPUT_FIELDS), keep_nulls=False)
     )
     valid = checked.filter(F.size("violations") == 0)
     return (
-        checked.join(url_verdicts(valid, dns, allowed), "request_id", "left")
+        checked.join(url_verdicts(valid, dns, allowed, networks), "request_id", "left")
         .withColumn(
             "error_code",
             F.when(F.size("violations") > 0, "invalid_request").otherwise(F.col("refused")),
@@ -111,8 +113,9 @@ def ingest_media(
     raw: DataFrame,
     artifacts: DataFrame,
     dns: DataFrame,
-    allowed: Iterable[str],
+    allowed: DataFrame | Iterable[str],
     *,
+    networks: DataFrame | None = None,
     interval: int | float | None = None,
     ts: str = "ts",
 ) -> tuple[DataFrame, DataFrame]:
@@ -125,7 +128,7 @@ def ingest_media(
     """
     # The narrow decision table feeds four branches and the items two: each is
     # computed once.
-    checked = cut(check_downloads(requests, dns, allowed))
+    checked = cut(check_downloads(requests, dns, allowed, networks))
     accepted = checked.filter(F.col("error_code").isNull())
     limits = size_limits(
         artifacts.join(

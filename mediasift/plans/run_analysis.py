@@ -14,6 +14,7 @@ from ..operators.contracts import validate_analysis_requests
 from ..operators.manifest import MB, explode_artifacts, first_error, verify_manifest
 from ..schemas import ANALYSIS, REQUEST
 from ..session import cut
+from ..sources.cache_log import CacheView
 from .analyze import analyze_content
 
 # Order of the fields in the hashed form of a request.
@@ -67,8 +68,16 @@ def check_requests(requests: DataFrame, files: DataFrame, root: str) -> DataFram
     )
 
 
+Cache = DataFrame | CacheView
+
+
+def stored_for(cache: Cache, keys: DataFrame) -> DataFrame:
+    """Entries (cache_key, output) that may answer ``keys``: a table as it is, of a log only what can hold one of them."""
+    return cache.entries(keys) if isinstance(cache, CacheView) else cache
+
+
 def decide(
-    requests: DataFrame, files: DataFrame, cache: DataFrame | None, *, root: str, version: str
+    requests: DataFrame, files: DataFrame, cache: Cache | None, *, root: str, version: str
 ) -> DataFrame:
     """What happens to each request, without its texts: context, input_hash,
     cache_key, work_key, error_code, message, hit, computes.
@@ -88,7 +97,9 @@ def decide(
     if cache is None:
         looked = small.withColumn("hit", F.lit(False))
     else:
-        known = cache.select("cache_key", F.lit(True).alias("output"))
+        # Keys alone, computed once: which runs of a log are read depends on them, and so do all that follow.
+        small = cut(small)
+        known = stored_for(cache, small.select("cache_key")).select("cache_key", F.lit(True).alias("output"))
         looked = cache_lookup(small, known).withColumn("hit", F.coalesce("cached", F.lit(False))).drop("cached")
     looked = cut(
         looked.withColumn(
@@ -98,7 +109,8 @@ def decide(
                    .otherwise(F.col("cache_key"))),
         )
     )
-    return mark_first(looked)
+    # All consumers read the finished decisions; the first request of a key is found once.
+    return cut(mark_first(looked))
 
 
 def run_analysis(
@@ -107,7 +119,7 @@ def run_analysis(
     observations: DataFrame,
     *,
     root: str,
-    cache: DataFrame | None = None,
+    cache: Cache | None = None,
     replies: DataFrame | None = None,
     engines: Engines = Engines(),
 ) -> DataFrame:
@@ -135,7 +147,10 @@ def run_analysis(
     if cache is None:
         old = F.lit(None).cast(ANALYSIS)
     else:
-        stored = cache.select(F.col("cache_key").alias("hit_key"), F.col("output").alias("old_output"))
+        # Outputs are fetched for hits only.
+        hits = decisions.filter("hit").select("cache_key").distinct()
+        stored = stored_for(cache, hits).join(hits, "cache_key", "left_semi")
+        stored = stored.select(F.col("cache_key").alias("hit_key"), F.col("output").alias("old_output"))
         joined = join_known(joined.withColumn("hit_key", F.when(F.col("hit"), F.col("cache_key"))), stored, "hit_key")
         old = F.col("old_output")
     # A hit, also on a result of this very batch, changes the stored output in one flag only.

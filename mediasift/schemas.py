@@ -67,7 +67,7 @@ SEGMENT = _struct(
 OBSERVATION = _struct(
     artifact_index=INT, decodable=BOOL, width=LONG, height=LONG, duration_seconds=DOUBLE,
     perceptual_hash=STRING, sampled_frame_count=INT, has_audio=BOOL, ocr_lines=STRINGS,
-    ocr_error=STRING, segments=T.ArrayType(SEGMENT), asr_error=STRING,
+    ocr_error=STRING, segments=T.ArrayType(SEGMENT), asr_error=STRING, frame_warning=STRING,
 )
 
 EVIDENCE = _struct(

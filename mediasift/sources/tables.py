@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.hashing import tenant_partition
-from ..operators.cache import latest_per_key, valid_key
-from ..schemas import ANALYSIS
+from .cache_log import CacheLog
 
 
 def write_analysis(results: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -17,21 +16,13 @@ def write_analysis(results: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def put_cache(puts: DataFrame, path: str, batch: int) -> None:
-    """Appends (cache_key, output); outputs are stored as JSON text. A batch
+    """Adds (cache_key, output) to the cache table; see ``cache_log``. A batch
     number orders the writers, and re-running a batch replaces its own rows."""
-    rows = puts.filter(valid_key()).select("cache_key", F.to_json("output").alias("output"))
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    CacheLog(puts.sparkSession, path).put(puts, batch)
 
 
-def read_cache(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+def read_cache(spark: SparkSession, path: str, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
     """(cache_key, output), last writer per key; unreadable entries are left out
-    and so count as misses. With ``before`` only entries of earlier batches count."""
-    stored = spark.read.schema("cache_key string, output string, batch int").option(
-        "basePath", path
-    ).parquet(path)
-    if before is not None:
-        stored = stored.filter(F.col("batch") < before)
-    last = latest_per_key(stored.filter(valid_key()).select("cache_key", "output", "batch"), "batch", "output")
-    return last.select("cache_key", F.from_json("output", ANALYSIS).alias("output")).filter(
-        F.col("output.pipeline_version").isNotNull()
-    )
+    and so count as misses. With ``before`` only entries of earlier batches count;
+    with ``keys`` only what may hold one of these keys is read."""
+    return CacheLog(spark, path).entries(keys, before)

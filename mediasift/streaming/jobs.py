@@ -7,25 +7,48 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.hashing import Engines
-from ..operators.progress import progress_status
-from ..operators.throttle import throttle_schedule
+from ..operators.audit import audit_rows
+from ..operators.manifest import explode_artifacts, resolved_path
+from ..operators.progress import latest_progress, progress_status
 from ..plans.run_analysis import ToolName, analysis_audit, cache_puts, run_analysis
-from ..sources.tables import put_cache, read_cache
+from ..session import cut
+from ..sources.cache_log import CacheLog, CacheView
+from ..sources.tables import put_cache
+from .admission import admitted
 
 
 def _available(query, checkpoint: str):
     return query.option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def _exists(spark, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+def once(rows: DataFrame, key: str, ts: str | None, delay: str) -> DataFrame:
+    """The first row of each ``key``, kept in the state store for ``delay`` of event time.
 
+    The event time is ``ts``, or the time of arrival where there is none. Repeats within ``delay`` are dropped, and so are rows
+    that come more than ``delay`` behind the newest; rows without key count as one key.
+    """
+    timed = rows.withColumn("_at", F.current_timestamp() if ts is None else F.col(ts).cast("timestamp"))
+    return timed.withWatermark("_at", delay).dropDuplicatesWithinWatermark([key]).drop("_at")
+
+
+def stream_audit(
+    outcomes: DataFrame,
+    path: str,
+    checkpoint: str,
+    *,
+    request: str = "trace_id",
+    ts: str | None = None,
+    delay: str = "1 hour",
+    tool_name: str = "download_media",
+    tool_version: str = "1.5.0",
+) -> StreamingQuery:
+    """Append-only audit table with one row for each request, however often it is sent (see ``once``).
 
-def stream_audit(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append-only audit table; the file sink commits each batch exactly once."""
+    The file sink commits each batch exactly once, so a batch that runs again adds nothing.
+    """
+    rows = audit_rows(once(outcomes, request, ts, delay), tool_name=tool_name, tool_version=tool_version)
     return _available(
-        events.writeStream.format("parquet").outputMode("append").option("path", path), checkpoint
+        rows.writeStream.format("parquet").outputMode("append").option("path", path), checkpoint
     ).start()
 
 
@@ -39,88 +62,56 @@ def stream_analyze(
     replies: DataFrame | None = None,
     engines: Engines = Engines(),
     tool: ToolName = ToolName(),
+    ts: str | None = None,
+    delay: str = "1 hour",
 ) -> StreamingQuery:
-    """Analyses requests as they land, one computation per cache key.
+    """Analyses requests as they land: each request once (see ``once``), one computation per cache key.
 
     Per batch: results are written below ``results/batch=N``, and the audit rows
     and cache entries are derived from that written table. A batch reads only the
-    entries of earlier batches and replaces its own folders, so a repeated batch changes nothing.
+    entries of earlier batches that can answer it, and the rows of files and observations that it names, and
+    replaces its own folders, so a repeated batch changes nothing.
     """
     cache_path = f"{folder}/cache"
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        cache = read_cache(spark, cache_path, before=number) if _exists(spark, cache_path) else None
-        results = run_analysis(batch, files, observations, root=root, cache=cache, replies=replies, engines=engines)
+        # The state store is asked once for the batch, whatever reads it.
+        batch = cut(batch)
+        cache = CacheView(CacheLog(spark, cache_path), before=number)
+        named = explode_artifacts(batch).select(resolved_path("path", root).alias("path")).distinct()
+        results = run_analysis(
+            batch, files.join(named, "path", "left_semi"), observations, root=root, cache=cache, replies=replies, engines=engines
+        )
         out = f"{folder}/results/batch={number}"
         results.write.mode("overwrite").parquet(out)
         written = spark.read.schema(results.schema).parquet(out)
         analysis_audit(written, tool).write.mode("overwrite").parquet(f"{folder}/audit/batch={number}")
         put_cache(cache_puts(written), cache_path, number)
 
-    return _available(requests.writeStream.foreachBatch(handle), f"{folder}/checkpoint").start()
+    first = once(requests, "request_id", ts, delay)
+    return _available(first.writeStream.foreachBatch(handle), f"{folder}/checkpoint").start()
 
 
-def stream_throttle(
-    calls: DataFrame,
-    interval: int | float,
-    *,
-    folder: str,
-    delay: int | float,
-    ts: str = "ts",
-    tie: str = "call_id",
-) -> StreamingQuery:
-    """Admission times over an unbounded stream of calls (key, ts, call_id).
+def stream_throttle(calls: DataFrame, interval: int, *, folder: str, delay: int) -> StreamingQuery:
+    """Admission times over an unbounded stream of calls (key, call_id, ts), below ``folder/admitted``.
 
-    Each batch is scheduled with the two-level closed form, so a hot key is
-    spread over tasks, and then shifted by the key's last admission. Calls come at
-    most ``delay`` behind the newest one, and ``delay`` is at least ``interval``. The state is one row
-    per key whose last admission can still hold back such a call.
+    Times, ``interval`` and ``delay`` are microseconds. Calls of one batch are admitted in the order of time, after those of
+    earlier batches; calls more than ``delay`` behind the newest are dropped. ``delay`` is at least ``interval``.
+    The state is one row a key in the state store until a timer clears it; the sink commits a batch once.
     """
     if delay < interval:
         raise ValueError("delay must be at least interval")
-
-    def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        newest = batch.agg(F.max(ts).alias("m")).first()["m"]
-        previous = f"{folder}/state/batch={number - 1}"
-        state = (
-            spark.read.schema(f"key {batch.schema['key'].dataType.simpleString()}, last {_type(batch, ts)}")
-            .parquet(previous)
-            if _exists(spark, previous)
-            else None
-        )
-        planned = throttle_schedule(batch, interval, keys=("key",), ts=ts, tie=tie)
-        if state is not None:
-            d = F.lit(interval).cast(_type(batch, ts))
-            planned = planned.join(state, "key", "left").withColumn(
-                "admit", F.greatest("admit", F.col("last") + F.col("call_no") * d)
-            ).drop("last")
-        out = f"{folder}/admitted/batch={number}"
-        planned.drop("call_no").write.mode("overwrite").parquet(out)
-        written = spark.read.schema(planned.drop("call_no").schema).parquet(out)
-        last = written.select("key", F.col("admit").alias("last"))
-        if state is not None:
-            last = last.unionByName(state)
-        kept = last.groupBy("key").agg(F.max("last").alias("last"))
-        if newest is not None:
-            kept = kept.filter(F.col("last") >= F.lit(newest) - F.lit(delay) - F.lit(interval))
-        kept.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
-
-    return _available(calls.writeStream.foreachBatch(handle), f"{folder}/checkpoint").start()
-
-
-def _type(df: DataFrame, column: str) -> str:
-    return df.schema[column].dataType.simpleString()
+    rows = admitted(calls, interval, delay)
+    return _available(
+        rows.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/admitted"), f"{folder}/checkpoint"
+    ).start()
 
 
 def stream_progress(events: DataFrame, folder: str) -> StreamingQuery:
     """Current status per job, kept in Spark's state store; each batch writes
     only the jobs that changed, below ``changes/batch=N``."""
-    last = F.max_by(F.struct("status", "percent"), F.struct("ts", "event_id"))
-    current = (
-        progress_status(events).groupBy("job").agg(last.alias("last")).select("job", "last.status", "last.percent")
-    )
+    current = latest_progress(progress_status(events), "job", "ts", "event_id")
 
     def handle(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")

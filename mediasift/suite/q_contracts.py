@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.replies import clamp01, review_flag
+from ..functions.urls import url_host
 from ..operators import contracts, manifest, policy, records
 from ..plans.analyze import apply_output_switches
 from ..plans.ingest import explode_urls
@@ -13,31 +14,27 @@ from ..sources.catalog import allowed_domains, platform_catalog
 from ..sources.requests import read_raw_info, read_requests
 from . import views as v
 from .registry import query
-from .sql_views import below, host, scheme
+from .sql_views import LONG_DECIMAL, below, host, scheme
 
 ROOT = "/media"
 ALLOWED = ("example.com", "example.net")
 
 
 # --- sources ----------------------------------------------------------------
-_LINES = """SELECT doc_id, '{"request_id":' || doc_id || ',"post_text":' || to_json(lang)::VARCHAR
-    || CASE WHEN source IN ('src1', 'src2') THEN ',"colour":1' ELSE '' END
-    || ',"max_keyframes":' || n_chars || ',"artifacts":[{"path":"a' || CASE WHEN source = 'src3' THEN '","mode":"x' ELSE '' END
-    || '","size_bytes":' || n_chars || '}]' || CASE WHEN source = 'src4' THEN '' ELSE '}' END AS line FROM documents"""
-
-
 @query(
     "read_requests",
-    f"""SELECT doc_id AS request_id, lang AS post_text, n_chars AS max_keyframes, CAST(1 AS BIGINT) AS n_artifacts,
+    """SELECT doc_id AS request_id, text AS post_text, n_chars AS max_keyframes, CAST(1 AS BIGINT) AS n_artifacts,
         CASE WHEN source IN ('src1', 'src2') THEN 'colour' WHEN source = 'src3' THEN 'mode' ELSE '' END AS unknown,
         false AS malformed FROM documents WHERE source <> 'src4'
-        UNION ALL SELECT NULL, NULL, NULL, NULL, '', NOT json_valid(line) FROM ({_LINES}) WHERE NOT json_valid(line)""",
+        UNION ALL SELECT NULL, NULL, NULL, NULL, '', true FROM documents WHERE source = 'src4'""",
 )
 def _(spark, d):
-    docs = v.documents(spark, d, "doc_id", "lang", "source", "n_chars")
+    # The whole text with its quotes, escapes and line breaks goes through the reader.
+    docs = v.documents(spark, d, "doc_id", "text", "source", "n_chars")
     source = F.col("source")
+    quoted = F.regexp_extract(F.to_json(F.struct("text")), r'(?s)^\{"text":(.*)\}$', 1)
     line = v.cat(
-        '{"request_id":', F.col("doc_id"), ',"post_text":"', F.col("lang"), '"',
+        '{"request_id":', F.col("doc_id"), ',"post_text":', quoted,
         F.when(source.isin("src1", "src2"), ',"colour":1').otherwise(""),
         ',"max_keyframes":', F.col("n_chars"), ',"artifacts":[{"path":"a',
         F.when(source == "src3", '","mode":"x').otherwise(""),
@@ -183,11 +180,40 @@ def _(spark, d):
 
 @query(
     "url_policy",
-    f"""SELECT request_id, CASE WHEN {scheme('url')} <> 'https' OR {host('url')} IS NULL THEN 'unsafe_url'
-        WHEN NOT {below(host('url'), *ALLOWED)} THEN 'permission_denied' END AS error_code FROM urls""",
+    f"""WITH allowed AS (SELECT DISTINCT {host('url')} AS d FROM urls WHERE request_id % 40 = 0 UNION SELECT 'example.com')
+      SELECT request_id, CASE WHEN {scheme('url')} <> 'https' OR h IS NULL THEN 'unsafe_url'
+        WHEN NOT EXISTS (SELECT 1 FROM allowed WHERE h = d OR ends_with(h, '.' || d)) THEN 'permission_denied' END AS error_code
+      FROM (SELECT *, {host('url')} AS h FROM urls)""",
 )
 def _(spark, d):
-    return v.urls(spark, d).select("request_id", policy.url_error(F.col("url"), ALLOWED).alias("error_code"))
+    # The allowlist is a table that grows with the pages.
+    urls = v.urls(spark, d)
+    lists = urls.filter("request_id % 40 = 0").select(v.cat(" .", F.upper(url_host("url")), ",,example.com").alias("domains"))
+    return policy.url_policy(urls, allowed_domains(lists)).select("request_id", "error_code")
+
+
+@query(
+    "address_networks",
+    """WITH own AS (
+        SELECT '8.8.' || (s_suppkey % 256) || '.' AS net, 24 AS size, false AS ok FROM supplier WHERE s_suppkey % 3 = 0
+        UNION SELECT '8.8.' || (s_suppkey % 256) || '.' || s_nationkey, 32, true FROM supplier WHERE s_nationkey % 2 = 0
+        UNION SELECT '10.1.', 16, true UNION SELECT '127.', 8, false),
+      fixed AS (SELECT * FROM (VALUES ('10.', 8, false), ('127.', 8, false), ('100.64.', 16, false), ('192.168.', 16, false), ('203.0.113.', 24, false)) t(net, size, ok)),
+      nets AS (SELECT net, size, bool_and(ok) AS ok FROM (SELECT * FROM own UNION ALL SELECT f.* FROM fixed f WHERE net NOT IN (SELECT net FROM own)) GROUP BY ALL)
+    SELECT s_suppkey, CASE WHEN ip IS NULL THEN 'platform_unavailable' WHEN NOT coalesce(
+        (SELECT arg_max(ok, size) FROM nets WHERE ip = net OR size < 32 AND starts_with(ip, net)), true) THEN 'unsafe_url' END AS error_code
+    FROM supplier LEFT JOIN dns ON dns.host = lower(replace(s_name, '#', '-')) || '.example.com'""",
+)
+def _(spark, d):
+    suppliers = v.table(spark, d, "supplier")
+    block = v.cat("8.8.", F.col("s_suppkey") % 256)
+    own = (
+        suppliers.filter("s_suppkey % 3 = 0").select(v.cat(block, ".0/24").alias("network"), F.lit(False).alias("acceptable"))
+        .unionByName(suppliers.filter("s_nationkey % 2 = 0").select(v.cat(block, ".", F.col("s_nationkey"), "/32").alias("network"), F.lit(True).alias("acceptable")))
+        .unionByName(spark.createDataFrame([("10.1.0.0/16", True), ("127.0.0.0/8", False)], "network string, acceptable boolean"))
+    )
+    hosts = suppliers.select("s_suppkey", F.concat(F.lower(F.regexp_replace("s_name", "#", "-")), F.lit(".example.com")).alias("host"))
+    return policy.resolved_address_policy(hosts, v.dns(spark, d), own).select("s_suppkey", "error_code")
 
 
 @query(
@@ -245,17 +271,19 @@ def _(spark, d):
 
 MEDIA_SQL = """'https://src/' || o_custkey AS source_url,
     CASE WHEN leaf->>'$.id' IN ('', '0') THEN left(sha256('https://src/' || o_custkey), 24) ELSE leaf->>'$.id' END AS media_id,
-    coalesce(nullif(leaf->>'$.extractor_key', ''), 'generic') AS extractor,
+    coalesce(nullif(leaf->>'$.extractor_key', ''), leaf->>'$.extractor', 'unknown') AS extractor,
     CASE WHEN json_type(leaf, '$.title') = 'VARCHAR' THEN leaf->>'$.title' END AS title,
     CASE WHEN json_type(leaf, '$.duration') = 'DOUBLE' THEN CAST(leaf->>'$.duration' AS DOUBLE) END AS duration_seconds,
     CASE json_type(leaf, '$.view_count') WHEN 'BOOLEAN' THEN 1 WHEN 'VARCHAR' THEN NULL
       ELSE CAST(trunc(CAST(leaf->>'$.view_count' AS DOUBLE)) AS BIGINT) END AS view_count,
     CASE WHEN starts_with(leaf->>'$.webpage_url', 'https://') THEN leaf->>'$.webpage_url' END AS webpage_url,
     CASE WHEN length(leaf->>'$.upload_date') = 8 THEN substr(leaf->>'$.upload_date', 1, 4) || '-' || substr(leaf->>'$.upload_date', 5, 2)
-      || '-' || substr(leaf->>'$.upload_date', 7, 2) END AS upload_date"""
-_MEDIA_COLUMNS = (
-    "source_url", "media_id", "extractor", "title", "duration_seconds", "view_count", "webpage_url",
-)
+      || '-' || substr(leaf->>'$.upload_date', 7, 2) END AS upload_date,
+    CASE WHEN json_type(leaf, '$.description') = 'VARCHAR' THEN leaf->>'$.description' END AS description,
+    leaf->>'$.uploader' AS uploader, CASE WHEN json_type(leaf, '$.uploader_id') = 'VARCHAR' THEN leaf->>'$.uploader_id' END AS uploader_id,
+    CASE WHEN starts_with(leaf->>'$.thumbnail', 'http') THEN leaf->>'$.thumbnail' END AS thumbnail_url,
+    CASE json_type(leaf, '$.like_count') WHEN 'BOOLEAN' THEN 0 WHEN 'VARCHAR' THEN NULL ELSE CAST(leaf->>'$.like_count' AS BIGINT) END AS like_count,
+    CAST(leaf->>'$.repost_count' AS BIGINT) AS repost_count, CAST(trunc(CAST(leaf->>'$.comment_count' AS DOUBLE)) AS BIGINT) AS comment_count"""
 
 
 @query("normalize_media_info", f"SELECT o_orderkey, {MEDIA_SQL} FROM record_parts")
@@ -263,7 +291,7 @@ def _(spark, d):
     parsed = v.record_parts(spark, d).withColumn("record", F.try_parse_json("leaf"))
     columns = records.normalize_media_info(F.col("record"), v.cat("https://src/", F.col("o_custkey")))
     shaped = parsed.select("o_orderkey", *[columns[f.name].alias(f.name) for f in MEDIA_INFO.fields])
-    return shaped.select("o_orderkey", *_MEDIA_COLUMNS, F.col("upload_date").cast("string").alias("upload_date"))
+    return shaped.withColumn("upload_date", F.col("upload_date").cast("string"))
 
 
 @query(
@@ -441,7 +469,8 @@ def flat_feeds(spark, d):
 
 @query(
     "flatten_entries",
-    f"""SELECT request_id, url_index, row_number() OVER (PARTITION BY request_id, url_index ORDER BY n) AS leaf_no, leaf->>'$.id' AS id
+    f"""SELECT request_id, url_index, row_number() OVER (PARTITION BY request_id, url_index ORDER BY n) AS leaf_no, leaf->>'$.id' AS id,
+        CASE WHEN leaf->>'$.id' <> 'solo' THEN '{LONG_DECIMAL}' || lpad(CAST(n AS VARCHAR), 12, '0') || '1' END AS score
         FROM ({LEAVES_SQL})""",
 )
 def _(spark, d):
@@ -451,7 +480,7 @@ def _(spark, d):
     w = Window.partitionBy("request_id", "url_index").orderBy("path")
     return flat_feeds(spark, d).select(
         "request_id", "url_index", F.row_number().over(w).alias("leaf_no"),
-        F.try_variant_get("record", "$.id", "string").alias("id"),
+        *(F.try_variant_get("record", f"$.{x}", "string").alias(x) for x in ("id", "score")),
     )
 
 

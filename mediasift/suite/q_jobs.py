@@ -9,6 +9,7 @@ from ..functions.hashing import Engines
 from ..operators.audit import audit_append, audit_rows
 from ..plans.analyze import analyze_content
 from ..plans.ingest import ingest_media
+from ..plans.model import analyze_with_model
 from ..plans.run_analysis import analysis_audit, run_analysis
 from ..schemas import ANALYSIS, AUDIT, OBSERVATION, REQUEST_DEFAULTS
 from ..session import work_dir
@@ -17,7 +18,7 @@ from ..sources.requests import read_raw_info
 from ..sources.tables import put_cache, read_cache, write_analysis
 from ..streaming import jobs
 from . import views as v
-from .q_contracts import LEAVES_SQL
+from .q_contracts import LEAVES_SQL, MEDIA_SQL
 from .q_text import (
     ASSETS_SQL, DAY_US, THROTTLE_SQL, TOPICS_SQL, UNIQUE_LINES_SQL, _parsed_sql, lines, ranked,
 )
@@ -64,6 +65,7 @@ def observations(spark, d) -> DataFrame:
         F.when(source != "src13", lines()).alias("ocr_lines"),
         F.when(source == "src13", "TimeoutError").alias("ocr_error"),
         F.lit(None).cast("string").alias("asr_error"),
+        F.when(source == "src9", fixed.WARN_UNIFORM_FRAMES).alias("frame_warning"),
     )
     joined = facts.join(v.transcripts(spark, d), ["request_id", "artifact_index"], "left")
     return joined.select("request_id", *[F.col(f.name).cast(f.dataType) for f in OBSERVATION.fields])
@@ -160,6 +162,7 @@ _WARN = {k: getattr(fixed, k) for k in dir(fixed) if k.startswith("WARN_")}
     evid AS (SELECT * FROM found UNION ALL SELECT request_id, 5000, 0, 1, 'visual-model-1', '{fixed.VISUAL_EVIDENCE}' FROM semantic WHERE visual),
     ev AS (SELECT request_id, string_agg(id, '|' ORDER BY artifact_index, part, n) AS ids, sha256(string_agg(text, chr(10) ORDER BY artifact_index, part, n)) AS texts FROM evid GROUP BY request_id),
     warns AS (SELECT request_id, artifact_index AS pos, '{_WARN['WARN_SKIPPED']}' || regexp_extract(path, '[^/]+$') AS w FROM facts WHERE modality = 'unknown'
+      UNION ALL SELECT request_id, 999.9 + artifact_index, '{_WARN['WARN_UNIFORM_FRAMES']}' FROM facts WHERE source = 'src9' AND modality = 'video'
       UNION ALL SELECT request_id, 1000 + artifact_index, CASE modality WHEN 'image' THEN 'OCR failed (TimeoutError).' ELSE 'Video-frame OCR failed (TimeoutError).' END FROM facts WHERE source = 'src13' AND modality IN ('image', 'video')
       UNION ALL SELECT request_id, 1000.5 + artifact_index, '{_WARN['WARN_NO_AUDIO']}' FROM facts WHERE source = 'src12' AND modality = 'video'
       UNION ALL SELECT r.request_id, 9000, 'Semantic model failed; deterministic fallback used (' || coalesce(error, 'ValidationError') || ').' FROM model_replies r
@@ -297,6 +300,43 @@ def _(spark, d):
     )
 
 
+# --- model ------------------------------------------------------------------
+def table_reader():
+    """A stand-in for a model: answers with the language hint and the width it finds in a prompt, in parts of text."""
+    import json
+    import re
+
+    def answer(request: str):
+        prompt = json.loads(request)["messages"][1]["content"][0]["text"]
+        hint, width = re.search(r"LANGUAGE_HINT: (.*)", prompt)[1], re.search(r"size=([0-9?]+)x", prompt)[1]
+        if hint == "de" and width.endswith("7"):
+            return ValueError("cannot read this one")
+        reply = {"language": hint, "summary": f"{hint}: {width}", "confidence": 0.9, "evidence_refs": ["post-text-1", "none"]}
+        return json.dumps([{"type": "text", "text": "```json\n"}, {"type": "text", "text": json.dumps(reply) + "\n```"}])
+
+    return lambda requests: [answer(r) for r in requests]
+
+
+@query(
+    "analyze_with_model",
+    f"""SELECT doc_id AS request_id, code AS error_code, CASE WHEN code IS NULL THEN CASE WHEN failed THEN {compact(collapse('text'))} ELSE lang || ': ' || n_chars END END AS summary,
+      CASE WHEN code IS NULL THEN failed END AS needs_human_review,
+      CASE WHEN code IS NULL THEN CASE WHEN failed THEN '{fixed.WARN_MODEL_FAILED.replace("{}", "ValueError")}' ELSE '' END END AS warnings
+    FROM (SELECT *, lang = 'de' AND n_chars % 10 = 7 AS failed,
+      CASE WHEN length(text) > 10000 THEN 'analysis_failed' WHEN source = 'src9' THEN 'unsupported_media' END AS code FROM documents)""",
+)
+def _(spark, d):
+    engines = Engines(ocr="line-reader", asr="turn-recognizer", vision="table-reader")
+    out = analyze_with_model(
+        single_requests(spark, d), single_observations(spark, d), table_reader, memo=work_dir(spark, "model-memo"), engines=engines
+    )
+    o = F.col("output")
+    return out.select(
+        "request_id", "error_code", o["summary"].alias("summary"), o["needs_human_review"].alias("needs_human_review"),
+        F.array_join(o["warnings"], "|").alias("warnings"),
+    )
+
+
 # --- downloads --------------------------------------------------------------
 def download_requests(spark, d) -> DataFrame:
     nation = F.lpad(F.col("c_nationkey").cast("string"), 9, "0")
@@ -354,16 +394,14 @@ def _(spark, d):
 @query(
     "ingest_items",
     f"""{INGEST_SQL}
-  SELECT request_id, item_no, CASE WHEN leaf->>'$.id' IN ('', '0') THEN left(sha256('https://src/' || request_id), 24) ELSE leaf->>'$.id' END AS media_id,
-    CASE json_type(leaf, '$.view_count') WHEN 'BOOLEAN' THEN 1 WHEN 'VARCHAR' THEN NULL ELSE CAST(trunc(CAST(leaf->>'$.view_count' AS DOUBLE)) AS BIGINT) END AS view_count
-  FROM kept WHERE item_no <= max_items""",
+  SELECT request_id, item_no, {MEDIA_SQL.replace("o_custkey", "request_id")} FROM kept WHERE item_no <= max_items""",
 )
 def _(spark, d):
     _outcomes, items = ingest_media(
         download_requests(spark, d), site_records(spark, d), download_files(spark, d), v.dns(spark, d),
         ["example.com", "example.net"],
     )
-    return items.select("request_id", "item_no", "media_id", "view_count")
+    return items.withColumn("upload_date", F.col("upload_date").cast("string"))
 
 
 # --- sources and sinks ------------------------------------------------------
@@ -460,8 +498,8 @@ def _(spark, d):
         F.sha2("props", 256).alias("input_hash"), F.sha2("event_type", 256).alias("output_hash"),
         F.when(kind == "error", "download_failed").alias("error_code"),
     )
-    rows = audit_rows(outcomes, tool_name="download_media", tool_version="1.5.0")
-    jobs.stream_audit(rows, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    # Every request is sent twice; the table has it once.
+    jobs.stream_audit(outcomes.unionByName(outcomes), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
     return spark.read.schema(AUDIT).parquet(f"{folder}/table").select(*AUDIT_COLUMNS)
 
 
@@ -535,7 +573,8 @@ def _(spark, d):
             for f in OBSERVATION.fields
         ],
     )
-    jobs.stream_analyze(requests, files, seen, root=ROOT, folder=folder).awaitTermination()
+    # Every request is sent twice; it is computed and answered once.
+    jobs.stream_analyze(requests.unionByName(requests), files, seen, root=ROOT, folder=folder).awaitTermination()
     out = spark.read.schema(
         f"request_id bigint, error_code string, computed boolean, output {ANALYSIS.simpleString()}"
     ).parquet(f"{folder}/results")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from ..fixed import CJK, PLATFORMS, WS
 
+# Digits of a decimal that no double holds.
+LONG_DECIMAL = "0.123456789012"
 CJK_SUFFIX = "新品发布会上海舞台产品海报"
 VIDEO_SITES = ("www.douyin.com", "douyin.com", "www.bilibili.com")
 
@@ -145,13 +147,20 @@ VIEW_SQL: dict[str, str] = {
         || ',"upload_date":"' || strftime(o_orderdate, '%Y%m%d') || CASE WHEN o_orderkey % 9 = 0 THEN 'x' ELSE '' END || '"'
         || ',"duration":' || CASE o_orderkey % 5 WHEN 0 THEN '"60"' WHEN 1 THEN 'null' ELSE CAST(o_orderkey % 7000 AS VARCHAR) || '.5' END
         || ',"view_count":' || CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey AS VARCHAR) WHEN 1 THEN '"10"' WHEN 2 THEN 'true' ELSE CAST(o_custkey AS VARCHAR) || '.75' END
-        || ',"webpage_url":"' || CASE WHEN o_orderkey % 6 = 0 THEN 'ftp' ELSE 'https' END || '://www.example.com/p/' || o_orderkey || '"}' AS leaf
+        || ',"description":' || CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE '"About \\"' || o_orderkey || '\\"\\n"' END
+        || ',"uploader":"' || o_custkey || '","uploader_id":' || CASE WHEN o_orderkey % 2 = 0 THEN '"u' || o_orderkey || '"' ELSE CAST(o_orderkey AS VARCHAR) END
+        || ',"thumbnail":"' || CASE WHEN o_orderkey % 7 = 0 THEN 'data' ELSE 'http' END || '://img.example.com/' || o_orderkey
+        || '","like_count":' || CASE o_orderkey % 3 WHEN 0 THEN 'false' WHEN 1 THEN CAST(o_orderkey AS VARCHAR) ELSE '"7"' END
+        || ',"repost_count":' || CASE WHEN o_orderkey % 2 = 0 THEN 'null' ELSE CAST(o_orderkey * 1000000007 AS VARCHAR) END
+        || ',"comment_count":-' || o_orderkey || '.5,"score":"""
+    + f"{LONG_DECIMAL}' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') || '1"
+    + ""","webpage_url":"' || CASE WHEN o_orderkey % 6 = 0 THEN 'ftp' ELSE 'https' END || '://www.example.com/p/' || o_orderkey || '"}' AS leaf
       FROM orders""",
     "feeds": """SELECT c_custkey AS request_id, url_index, CASE c_mktsegment
           WHEN 'BUILDING' THEN inner_json
           WHEN 'MACHINERY' THEN '{"entries":[' || inner_json || ',5]}'
           WHEN 'FURNITURE' THEN '{"entries":[{"entries":[]},{"entries":[' || inner_json || ']}]}'
-          WHEN 'HOUSEHOLD' THEN '{"entries":[{"entries":[{"entries":[{"entries":[' || inner_json || ']}]}]}]}'
+          WHEN 'HOUSEHOLD' THEN repeat('{"entries":[', 8) || inner_json || repeat(']}', 8)
           ELSE '{"id":"solo","entries":"none"}' END AS raw
       FROM (SELECT o_custkey, CAST(1 + o_orderkey // 8192 AS BIGINT) AS url_index,
               '{"entries":[' || string_agg(leaf, ',' ORDER BY o_orderkey) || ']}' AS inner_json

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schemas import SEGMENT
-from .sql_views import CJK_SUFFIX, KINDS, VIDEO_SITES
+from .sql_views import CJK_SUFFIX, KINDS, LONG_DECIMAL, VIDEO_SITES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -178,6 +178,12 @@ def record_parts(spark, sf_dir) -> DataFrame:
         F.when(F.col("o_orderstatus") == "O", "Example").otherwise(""), '","extractor":"generic"',
         ',"upload_date":"', F.date_format("o_orderdate", "yyyyMMdd"), F.when(key % 9 == 0, "x").otherwise(""), '"',
         ',"duration":', duration, ',"view_count":', views,
+        ',"description":', F.when(key % 3 == 0, _text(key)).otherwise(cat('"About \\"', key, '\\"\\n"')),
+        ',"uploader":"', F.col("o_custkey"), '","uploader_id":', F.when(key % 2 == 0, cat('"u', key, '"')).otherwise(_text(key)),
+        ',"thumbnail":"', F.when(key % 7 == 0, "data").otherwise("http"), "://img.example.com/", key,
+        '","like_count":', F.when(key % 3 == 0, "false").when(key % 3 == 1, _text(key)).otherwise(F.lit('"7"')),
+        ',"repost_count":', F.when(key % 2 == 0, "null").otherwise(_text(key * 1_000_000_007)),
+        ',"comment_count":', cat("-", key, ".5"), ',"score":', F.lit(LONG_DECIMAL), F.lpad(_text(key), 12, "0"), "1",
         ',"webpage_url":"', F.when(key % 6 == 0, "ftp").otherwise("https"), "://www.example.com/p/", key, '"}',
     )
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", leaf.alias("leaf"))
@@ -196,7 +202,7 @@ def feeds(spark, sf_dir) -> DataFrame:
         F.when(segment == "BUILDING", inner)
         .when(segment == "MACHINERY", cat('{"entries":[', inner, ",5]}"))
         .when(segment == "FURNITURE", cat('{"entries":[{"entries":[]},{"entries":[', inner, "]}]}"))
-        .when(segment == "HOUSEHOLD", cat('{"entries":[{"entries":[{"entries":[{"entries":[', inner, "]}]}]}]}"))
+        .when(segment == "HOUSEHOLD", cat('{"entries":[' * 8, inner, "]}" * 8))
         .otherwise('{"id":"solo","entries":"none"}')
     )
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")

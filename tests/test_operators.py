@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mediasift.functions.hashing import Engines
 from mediasift.functions.replies import parse_semantic_payload
-from mediasift.operators import cache, contracts, keywords, manifest, plugins, policy, records, sampling, throttle
+from mediasift.operators import cache, contracts, keywords, manifest, plugins, policy, progress, records, sampling, throttle
 from mediasift.operators.blocks import in_blocks
 from mediasift.plans.analyze import analyze_content
 from mediasift.plans.ingest import ingest_media
@@ -246,27 +246,6 @@ def test_caps_are_the_callers(spark):
     assert records.cap_items(rows, F.col("cap"), "path").count() == 150
 
 
-def test_delay_covers_the_interval(spark, tmp_path):
-    with pytest.raises(ValueError, match="delay"):
-        jobs.stream_throttle(spark.range(1), 100, folder=str(tmp_path), delay=10)
-
-
-def test_stream_throttle_over_several_batches(spark, tmp_path):
-    rng = random.Random(4)
-    calls = sorted(((rng.randint(0, 900), i, rng.choice("ab")) for i in range(120)))
-    expected, last = {}, {}
-    for ts, call_id, key in calls:
-        last[key] = expected[call_id] = max(ts, last[key] + 20) if key in last else ts
-    source = str(tmp_path / "in")
-    for part in range(3):
-        chunk = [(c, k, t) for t, c, k in calls[part * 40:(part + 1) * 40]]
-        spark.createDataFrame(chunk, "call_id long, key string, ts long").coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema("call_id long, key string, ts long").parquet(source)
-        jobs.stream_throttle(stream, 20, folder=str(tmp_path / "out"), delay=10_000).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out" / "admitted")).collect()
-    assert {r["call_id"]: r["admit"] for r in got} == expected
-
-
 def test_stream_analysis_reuses_earlier_batches(spark, tmp_path):
     files = spark.createDataFrame([("/m/a.png", 1, SHA, True)], "path string, length long, sha256 string, is_regular boolean")
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
@@ -460,3 +439,15 @@ def test_an_over_long_segment_is_a_failed_recognition(spark):
     asset = got[1]["output"]["assets"][0]
     assert asset["transcript"] == [] and "Speech recognition failed (ValidationError)." in asset["warnings"]
     assert [s["text"] for s in got[2]["output"]["assets"][0]["transcript"]] == ["short talk"]
+
+
+def test_last_of_a_key_is_kept_by_hash_aggregates(spark):
+    rows = [("a", 5, 1, "downloading", 3), ("a", 5, 9, "finished", 96), ("a", 4, 99, "succeeded", 100), ("b", -7, 0, "downloading", 18)]
+    shown = spark.createDataFrame(rows, "job string, ts long, event_id long, status string, percent long")
+    last = progress.latest_progress(shown, "job", "ts", "event_id")
+    assert sorted(map(tuple, last.collect())) == [("a", "finished", 96), ("b", "downloading", 18)]
+    puts = spark.createDataFrame([("k", 1, "x"), ("k", 3, "z"), ("k", 2, "y"), ("l", 1, "w")], "cache_key string, ord long, output string")
+    newest = cache.latest_per_key(puts, "ord")
+    assert sorted(map(tuple, newest.collect())) == [("k", "z"), ("l", "w")]
+    for df in (last, newest):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
