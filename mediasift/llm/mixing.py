@@ -38,13 +38,17 @@ def _uniform(*keys: Column) -> Column:
     return (F.pmod(F.xxhash64(*keys), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def _prepared(docs: DataFrame, n_docs: int) -> DataFrame:
-    """Adds size, queue (source key), order hash, tie and bucket."""
+def _prepared(docs: DataFrame, n_docs: int, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of a document in one struct, ``row``, beside size, queue (source key), order hash, tie and
+    bucket, so that no column of the documents meets a name of this module. Order and bucket follow id and text: rows
+    without id, or with one id, fall apart unless they are equal."""
     buckets = max(1, -(-n_docs // BUCKET_ROWS))
-    order = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    order = F.md5(F.concat(F.lit(f"{SEED}:"), text("doc_id"), F.lit(":"), text("text")).cast("binary"))
     lead = F.conv(F.substring("_order", 1, 8), 16, 10).cast("long")
-    return docs.withColumns(
-        {"_size": words_of(F.col("text")), "_queue": source_key(F.col("source")), "_order": order, "_tie": F.xxhash64("text")}
+    return docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), words_of(F.col("text")).alias("_size"),
+        source_key(F.col("source")).alias("_queue"), order.alias("_order"), F.xxhash64("text").alias("_tie"),
     ).withColumn("_bucket", F.shiftright(lead * F.lit(buckets), 32))
 
 
@@ -212,14 +216,19 @@ def drawn_blocks(sources: DataFrame, tree: DataFrame) -> DataFrame:
     )
 
 
-def copies(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """Every document once per copy that the mix takes, with ``_words`` of it, ``_shard`` and ``_key`` to order a shard by.
+def copies(
+    docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, keep: list[str] | None = None
+) -> DataFrame:
+    """Every document once per copy that the mix takes: ``row`` with its columns (or those named in ``keep``), ``_words``
+    of it, ``_shard`` and ``_key`` to order a shard by.
 
-    Documents without a copy stay, once, with a null shard and no words. All columns of ``docs`` (doc_id, text,
-    source and others) stay; added names begin with an underscore. A null text has no words, a null
-    source is a source of its own. Repeated rows are documents of their own. Reruns agree.
+    Documents without a copy stay, once, with a null shard and no words. A null text has no words, a null
+    source is a source of its own; null ids spread by their texts. Repeated rows are documents of their own; which of
+    equal rows comes first makes no difference. Very long texts are documents of many words; an empty table gives no rows. Reruns agree.
+
+    There is one row for each source where quotas are found and the tree is built: sources are names of data sets.
     """
-    rows = _prepared(docs, docs.count())
+    rows = _prepared(docs, docs.count(), keep or docs.columns)
     sums = written(rows.groupBy("_queue", "_bucket").agg(F.sum("_size").alias("n")), "mix-sums")
     sources = written(quotas(sums, block_words), "mix-quotas")
     n_blocks = sources.agg(F.sum("quota")).first()[0] or 0
@@ -256,34 +265,35 @@ def mixed(docs: DataFrame) -> DataFrame:
     Of a document that is taken in part, its first words with all that stands between them.
     """
     rows = copies(docs).filter(F.col("_shard").isNotNull())
-    start = F.array_join(F.slice(F.split("text", rf"(?<={WORD[:-1]})(?=[\x20\x09-\x0D])", F.col("_words").cast("int") + 1), F.lit(1), F.col("_words").cast("int")), "")
-    whole = F.col("_words") == F.col("_size")
-    changed = {"text": F.when(whole, F.col("text")).otherwise(start)}
-    rows = rows.withColumns(changed)
+    text, words, whole = F.col("row")["text"], F.col("_words").cast("int"), F.col("_words") == F.col("_size")
+    parts = F.split(text, rf"(?<={WORD[:-1]})(?=[\x20\x09-\x0D])", words + 1)
+    row = F.col("row").withField("text", F.when(whole, text).otherwise(F.array_join(F.slice(parts, F.lit(1), words), "")))
+    rows = rows.withColumn("_row", row)
     if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        rows = rows.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(kind))
-    return rows.repartition("_shard").sortWithinPartitions("_shard", "_key").select(*docs.columns)
+        n_chars = F.when(whole, F.col("row")["n_chars"]).otherwise(F.length(F.col("_row")["text"]))
+        rows = rows.withColumn("_row", F.col("_row").withField("n_chars", n_chars.cast(dict(docs.dtypes)["n_chars"])))
+    return rows.repartition("_shard").sortWithinPartitions("_shard", "_key").select("_row.*")
 
 
 def mix_report(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """Per document: doc_id, size, source_size, target and taken, the words of its copies in the shards."""
+    """Per document: doc_id, size, source_size, target, taken (the words of its copies) and shards (where they are)."""
     drawn = F.when(F.col("_shard").isNotNull(), F.col("_words")).otherwise(0)
     return (
-        copies(docs, block_words, shard_blocks)
-        .groupBy("_queue", "_bucket", "_row", F.col("doc_id").cast("long").alias("doc_id"))
+        copies(docs, block_words, shard_blocks, ["doc_id"])
+        .groupBy("_queue", "_bucket", "_row", F.col("row")["doc_id"].cast("long").alias("doc_id"))
         .agg(
             F.first("_size").alias("size"), F.first("_source_size").alias("source_size"),
             F.first("_target").alias("target"), F.sum(drawn).cast("long").alias("taken"),
+            F.sort_array(F.collect_list("_shard")).alias("shards"),  # one for each copy
         )
         .drop("_queue", "_bucket", "_row")
     )
 
 
-#: The same rows: the order of the hash says which documents one more pass takes.
+#: All but the shards: the order of the hash says which documents one more pass takes.
 MIX_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+  SELECT doc_id, source, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS h,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents
 ), s AS (

@@ -11,7 +11,7 @@ from .archives import page_records
 from .conversations import damaged, repair_report
 from .grid_join import vector_links
 from .language import language
-from .mixing import MIX_SQL, mix_report
+from .mixing import mix_report
 from .oracles import PAGES_SQL, SHINGLES_SQL, VECTORS_SQL, urls_sql
 from .packing import pack
 from .periodic import periodic_runs, run_digests, with_planted_runs
@@ -116,7 +116,6 @@ def op13_hirschberg_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES |= {
     "op1_epsilon_grid": VECTORS_SQL,
     "op6_ngram_jaccard": SHINGLES_SQL,
-    "op7_hypergeometric_mix": MIX_SQL,
     "op10_arc_to_warc": PAGES_SQL,
     "op11_bloom_cascade": urls_sql(URL_RULES, [f"{name}.{domain}" for name in LISTED_NAMES for domain in LISTED_DOMAINS]),
 }

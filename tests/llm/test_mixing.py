@@ -18,16 +18,52 @@ def taken(spark, rows, **sizes):
 
 def test_against_sql_with_many_shards(spark):
     rows = spark.read.parquet(f"{SMALL}/documents.parquet")
-    got = m.mix_report(rows, block_words=500, shard_blocks=8).toPandas().sort_values("doc_id").reset_index(drop=True)
+    got = m.mix_report(rows, block_words=500, shard_blocks=8)
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
-    want = duck.execute(m.MIX_SQL).df().sort_values("doc_id").reset_index(drop=True)
-    assert got[list(want.columns)].equals(want)
+    want = duck.execute(m.MIX_SQL)
+    names = [c[0] for c in want.description]
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
+
+
+def test_documents_stand_in_the_shards_that_the_tree_gives_their_blocks(spark):
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet")
+    sizes = {"block_words": 500, "shard_blocks": 8}
+    sums = m._prepared(rows, rows.count(), ["doc_id"]).groupBy("_queue", "_bucket").agg(F.sum("_size").alias("n"))
+    sources = m.quotas(sums, 500).cache()
+    counts = sources.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "quota"))), lambda s: s["quota"]).alias("counts"))
+    n_blocks = sources.agg(F.sum("quota")).first()[0]
+    tree = {r["lo"]: r["counts"] for r in m.splitting_tree(counts, -(-n_blocks // 8)).collect()}
+    drawn: Counter = Counter()
+    for r in m.copies(rows, **sizes).filter("_shard IS NOT NULL").select("_shard", "_place", "_pass", "_block").distinct().collect():
+        drawn[r["_shard"], r["_place"]] += 1
+    # Every block in which a document begins is one of those that its shard has drawn of the source.
+    assert drawn and all(n <= tree[shard][place - 1] for (shard, place), n in drawn.items())
+    got = m.mix_report(rows, **sizes).collect()
+    assert len({s for r in got for s in r["shards"]}) > 3
+    for r in got:
+        assert len(r["shards"]) == (0 if not r["taken"] else -(-r["taken"] // r["size"]))
+
+
+def test_columns_of_the_documents_meet_no_names(spark):
+    docs = spark.createDataFrame(
+        [(i, "a b c", "s", 77, 78, 79, "x") for i in range(20)],
+        "doc_id long, text string, source string, _size int, _queue int, _bucket int, row string",
+    )
+    mix = m.mixed(docs)
+    assert mix.columns == docs.columns and mix.count() >= 20
+    assert {tuple(r)[3:] for r in mix.collect()} == {(77, 78, 79, "x")}
+
+
+def test_null_ids_spread(spark):
+    docs = spark.range(9000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('word ', id) AS text", "'s' AS source")
+    sizes = m._prepared(docs, 9000, ["doc_id"]).groupBy("_bucket").count().collect()
+    assert len(sizes) == 3 and max(r["count"] for r in sizes) < 3500
 
 
 def test_shards_draw_disjoint_blocks_of_every_quota(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    sums = m._prepared(docs, 200).groupBy("_queue", "_bucket").agg(F.sum("_size").alias("n"))
+    sums = m._prepared(docs, 200, ["doc_id"]).groupBy("_queue", "_bucket").agg(F.sum("_size").alias("n"))
     sources = m.quotas(sums, 300).cache()
     quotas = {r["place"]: (r["quota"], r["blocks"]) for r in sources.collect()}
     counts = sources.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "quota"))), lambda s: s["quota"]).alias("counts"))

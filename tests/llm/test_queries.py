@@ -18,7 +18,7 @@ COLUMNS = {
     "op4": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
     "op5": {"doc_id", "held_out", "lang_pred", "score"},
     "op6": {"doc_id", "n_shingles", "component_id"},
-    "op7": {"doc_id", "size", "source_size", "target", "taken"},
+    "op7": {"doc_id", "size", "source_size", "target", "taken", "shards"},
     "op8": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
     "op9": {"doc_id", "start", "n_tokens", "ids_crc32"},
     "op10": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
