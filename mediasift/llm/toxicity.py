@@ -60,6 +60,8 @@ class Model:
 
     weights: np.ndarray
     bias: float
+    #: Whether the training rows had both labels; else the score says nothing of a text.
+    learned: bool = True
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         weighed = self.weights != 0
@@ -78,7 +80,7 @@ def fit(rows: Callable[[], Iterable[tuple[bool, np.ndarray]]], base_rate: float)
         labels.append(is_toxic)
     toxic = np.array(labels, bool)
     if toxic.all() or not toxic.any():
-        return Model(weights, 10.0 if len(toxic) and toxic.all() else -10.0)
+        return Model(weights, 10.0 if len(toxic) and toxic.all() else -10.0, learned=False)
     ratio = np.log((pos + SMOOTHING) / (pos + SMOOTHING).sum()) - np.log((neg + SMOOTHING) / (neg + SMOOTHING).sum())
     used = np.flatnonzero((pos + neg >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO))
     number = np.full(1 << BITS, -1, np.int32)
@@ -151,8 +153,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
 
 
 def nontoxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The documents, all columns, whose score is under one half."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, fit_rows))
+    """The documents, all columns, whose score is under one half.
+
+    Without training rows of both labels nothing is known of any text, and all stay. A null or empty text has the
+    score of the model's bias; rows with null ids, repeated rows and very long texts are judged as all others, each row
+    alone; an empty table stays empty.
+    """
+    trained = train(docs, labels, fit_rows)
+    if not trained.learned:
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast(trained)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -44,3 +44,11 @@ def test_odd_rows(spark):
     assert [r["predicted"] for r in t.toxicity(docs, labels.limit(0)).collect()] == [0] * 4
     assert t.toxicity(docs.limit(0), labels).collect() == []
     assert t.nontoxic(docs, labels.limit(0)).columns == docs.columns
+
+
+def test_stage_without_both_labels_keeps_everything(spark):
+    docs = spark.createDataFrame([(1, "bad"), (2, None), (None, "fine"), (2, None), (3, "long " * 50_000)], "doc_id long, text string")
+    for toxic in (1, 0):
+        labels = spark.createDataFrame([(1, toxic), (2, toxic), (3, toxic)], "doc_id long, toxic int")
+        assert sorted(map(str, t.nontoxic(docs, labels).collect())) == sorted(map(str, docs.collect()))
+    assert t.nontoxic(docs, spark.createDataFrame([], "doc_id long, toxic int")).count() == 5
