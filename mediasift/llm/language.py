@@ -138,15 +138,16 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Network | None:
     # Ids first: only chosen texts move.
     ids = known.groupBy("doc_id").agg(F.min("lang").alias("lang"))
     few = F.broadcast(levelled_sample(ids, fit_rows, "lang", "doc_id").select("doc_id"))
-    rows = known.join(few, "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("s")).select("s.*")
+    rows = known.join(few, "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("s")).select("doc_id", "s.*")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        random = np.random.Generator(np.random.PCG64(5))
         for batch in batches:
+            ids = batch["doc_id"].to_numpy().astype(np.int64).view(np.uint64)
             for at, texts in words.batches(batch["text"]):
                 x, of, _ = cut(texts)
-                # Some windows of each text, each as likely as the others.
-                order = np.lexsort([random.random(len(of)), of])
+                # Some windows of each text, each as likely as the others; which ones follows from id and place alone.
+                place = (np.arange(len(of)) - np.searchsorted(of, of)).astype(np.uint64)
+                order = np.lexsort([words.mix(words.mix(ids[at + of]) + place), of])
                 rank = np.arange(len(of)) - np.searchsorted(of[order], of[order])
                 chosen = order[rank < FIT_WINDOWS]
                 yield pa.RecordBatch.from_arrays(
@@ -154,7 +155,7 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Network | None:
                     ["lang", "window"],
                 )
 
-    found = rows.select("lang", "text").mapInArrow(windows, "lang string, window binary").collect()
+    found = rows.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(windows, "lang string, window binary").collect()
     if not found:
         return None
     found.sort(key=lambda r: (r["lang"], bytes(r["window"])))
@@ -166,8 +167,9 @@ def language(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document (doc_id, text, lang).
 
     Null texts and texts without a letter are ``und`` with score 0, and so is all
-    when no text has a language. Null langs teach nothing. Repeated rows are
-    predicted alike. Further columns are ignored.
+    when no text has a language. Null langs teach nothing; of a repeated id one row does. Repeated rows are
+    predicted alike; of languages with one score the first by name is taken. Very long texts are read in all their
+    windows; an empty table gives no rows. Further columns are ignored.
     """
     net = docs.sparkSession.sparkContext.broadcast(train(docs, fit_rows))  # some 20 KB
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import written
+
 #: About so many candidates, by a hash, train the final classifier.
 FIT_ROWS = 4000
 FEATURES = 1 << 14
@@ -250,21 +252,18 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Classifier:
     counted = F.sum("n").alias("n")
     sampled: Column = F.min(F.struct("rank", "votes")).alias("s")
     each = rows.groupBy("kind", "votes", "features").agg(counted, sampled)
-    table = each.persist()
-    try:
-        patterns = dict(sorted(((r["kind"], tuple(r["votes"])), r["n"]) for r in table.filter("n is not null").collect()))
-        # No batch cuts a candidate of the lowest fit_rows overall, so that these are found whatever the batches.
-        # Their last rank comes from counts of ranges of ranks, at most 2 ** 16 rows.
-        shaped, part = table.filter("features is not null"), F.shiftright("s.rank", 16)
-        most, n = -1, 0
-        for r in sorted(shaped.groupBy(part.alias("part")).count().collect()):
-            most, n = r["part"], n + r["count"]
-            if n >= fit_rows:
-                break
-        found = shaped.filter(part <= most).collect()
-        sample = sorted(found, key=lambda r: (r["s"]["rank"], r["kind"], r["votes"], r["features"]))[:fit_rows]
-    finally:
-        table.unpersist()
+    table = written(each, "candidates")
+    patterns = dict(sorted(((r["kind"], tuple(r["votes"])), r["n"]) for r in table.filter("n is not null").collect()))
+    # No batch cuts a candidate of the lowest fit_rows overall, so that these are found whatever the batches.
+    # Their last rank comes from counts of ranges of ranks, at most 2 ** 16 rows.
+    shaped, part = table.filter("features is not null"), F.shiftright("s.rank", 16)
+    most, n = -1, 0
+    for r in sorted(shaped.groupBy(part.alias("part")).count().collect()):
+        most, n = r["part"], n + r["count"]
+        if n >= fit_rows:
+            break
+    found = shaped.filter(part <= most).collect()
+    sample = sorted(found, key=lambda r: (r["s"]["rank"], r["kind"], r["votes"], r["features"]))[:fit_rows]
     personal = estimate(patterns)
     return Classifier.fit(
         [tuple(r["features"]) for r in sample],
@@ -288,7 +287,9 @@ def _joined(spans: list[Span]) -> str:
 def personal_spans(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """doc_id, counts of base spans by kind, ``base`` and ``spans`` as text, for every document.
 
-    A null text is empty and has none. Ids may be null or repeat; further columns are ignored.
+    A null text is empty and has none. Ids may be null or repeat: each row is searched alone; further columns are
+    ignored, also those named as a result. Very long texts are searched whole; an empty table gives no rows. Of an added span
+    that overlaps a base span, the base span stays as well.
     """
     model = docs.sparkSession.sparkContext.broadcast(classifier)  # 128 KB
 
@@ -325,7 +326,10 @@ def redact(text: str | None, classifier: Classifier) -> str | None:
 
 
 def redacted(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """The documents with all spans masked. All rows stay, and other columns too; n_chars, if there, follows the text."""
+    """The documents with all spans masked. All rows stay, and other columns too; n_chars, if there, follows the text.
+
+    Null texts stay null, empty ones empty; ids do not matter; very long texts are masked whole; an empty table stays empty.
+    """
     model = docs.sparkSession.sparkContext.broadcast(classifier)
     place = docs.columns.index("text")
     length = docs.columns.index("n_chars") if dict(docs.dtypes).get("n_chars") in ("int", "bigint") else None

@@ -84,3 +84,9 @@ def test_slopes_are_those_of_the_loss():
         down = loss()
         value[at] = kept
         assert abs((up - down) / 2e-6 - slope[at]) < 1e-4
+
+
+def test_model_does_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60).cache()
+    one, two = (l.train(docs.repartition(n).sortWithinPartitions("text"), 40) for n in (1, 7))
+    assert all((a == b).all() for a, b in zip(one.values(), two.values(), strict=True))

@@ -94,3 +94,20 @@ def test_added_spans_and_masks(spark):
     masked = {r["doc_id"]: r["text"] for r in p.redacted(docs, model).collect()}
     assert masked[8] == "[EMAIL] [PHONE] é" and masked[7] == "" and masked[None] is None
     assert p.personal_spans(docs.limit(0), p.train(docs.limit(0))).collect() == []
+
+
+def test_odd_rows_and_clashing_names(spark):
+    docs = spark.createDataFrame(
+        [(1, "write to a.b@c.org", "x", 5), (1, "write to a.b@c.org", "x", 5), (None, "+49 30 1234567", "y", 6), (2, None, "z", 7), (3, "", "z", 8),
+         (4, "long words " * 50_000 + "x@y.zz", "w", 9)],
+        "doc_id long, text string, spans string, n_email int",
+    )
+    model = p.train(docs)
+    got = sorted(map(tuple, p.personal_spans(docs, model).select("doc_id", "n_email", "n_phone", "base").collect()), key=str)
+    rows = [(1, 1, 0, "email:9:18")] * 2 + [(None, 0, 1, "phone:0:14"), (2, 0, 0, ""), (3, 0, 0, ""), (4, 1, 0, "email:550000:550006")]
+    assert got == sorted(rows, key=str)
+    masked = p.redacted(docs, model)
+    assert masked.columns == docs.columns and masked.filter("text LIKE '%@%'").count() == 0
+    assert masked.filter("text IS NULL").count() == 1 and {r["n_email"] for r in masked.collect()} == {5, 6, 7, 8, 9}
+    empty = docs.limit(0)
+    assert p.redacted(empty, p.train(empty)).collect() == [] and p.personal_spans(empty, p.train(empty)).collect() == []
