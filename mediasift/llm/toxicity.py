@@ -9,7 +9,7 @@ toxic and of the other training texts; logistic regression weighs the scaled fea
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,25 +69,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.array(sums) + self.bias, -30, 30)))
 
 
-def fit(rows: Callable[[], Iterable[tuple[bool, np.ndarray]]], base_rate: float) -> Model:
-    """Training by full-batch proximal gradient steps. ``base_rate``: share of toxic texts
-    where the model is applied; the sample may hold more. ``rows`` gives labels and features, and is
-    read twice: only features that pass the choice are held."""
+def log_ratios(pos: np.ndarray, neg: np.ndarray, totals: tuple[int, int]) -> np.ndarray:
+    """Naive Bayes log-count ratio of features with these counts; ``totals`` are those of all features."""
+    room = SMOOTHING * (1 << BITS)
+    return np.log((pos + SMOOTHING) / (totals[0] + room)) - np.log((neg + SMOOTHING) / (totals[1] + room))
+
+
+def fit(toxic: np.ndarray, columns: list[np.ndarray], used: np.ndarray, ratio: np.ndarray, base_rate: float) -> Model:
+    """Training by full-batch proximal gradient steps. ``columns``: for each row, which of the features
+    ``used`` (with their ratios) it has. ``base_rate``: share of toxic texts where the model is applied; the sample may hold more."""
     weights = np.zeros(1 << BITS, np.float32)
-    pos, neg, labels = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32), []
-    for is_toxic, row in rows():
-        (pos if is_toxic else neg)[row] += 1
-        labels.append(is_toxic)
-    toxic = np.array(labels, bool)
-    if toxic.all() or not toxic.any():
-        return Model(weights, 10.0 if len(toxic) and toxic.all() else -10.0, learned=False)
-    ratio = np.log((pos + SMOOTHING) / (pos + SMOOTHING).sum()) - np.log((neg + SMOOTHING) / (neg + SMOOTHING).sum())
-    used = np.flatnonzero((pos + neg >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO))
-    number = np.full(1 << BITS, -1, np.int32)
-    number[used] = np.arange(len(used), dtype=np.int32)
-    columns = [c[c >= 0] for c in (number[row] for _, row in rows())]
     column, of = np.concatenate(columns), np.repeat(np.arange(len(toxic), dtype=np.int32), [len(c) for c in columns])
-    scale = ratio[used]
     target = toxic.astype(float)
     # Rows weigh so that the sample has the base rate.
     share = target.mean()
@@ -95,22 +87,25 @@ def fit(rows: Callable[[], Iterable[tuple[bool, np.ndarray]]], base_rate: float)
     row_weight = row_weight / row_weight.sum()
     w, b, m, v = np.zeros(len(used)), np.log(base_rate / (1 - base_rate)), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, STEPS + 1):
-        z = np.bincount(of, (w * scale)[column], minlength=len(toxic)) + b
+        z = np.bincount(of, (w * ratio)[column], minlength=len(toxic)) + b
         miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * row_weight
-        slope = np.append(np.bincount(column, miss[of], minlength=len(used)) * scale, miss.sum())
+        slope = np.append(np.bincount(column, miss[of], minlength=len(used)) * ratio, miss.sum())
         m = 0.9 * m + 0.1 * slope
         v = 0.99 * v + 0.01 * slope * slope
         rate = 0.05 / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         moved = np.append(w, b) - rate * m / (1 - 0.9**step)
         # Weights the penalty outweighs become zero: features that are noise drop out.
         w, b = np.sign(moved[:-1]) * np.maximum(np.abs(moved[:-1]) - rate[:-1] * PENALTY, 0), moved[-1]
-    learned = w * scale
-    weights[used] = learned
+    weights[used] = w * ratio
     return Model(weights, float(b))
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Learns from labelled documents outside the held-out fold."""
+    """Learns from labelled documents outside the held-out fold.
+
+    Features are counted and chosen where the rows are; the driver gets the counts of features that enough
+    texts have (at most 2 ** BITS rows of three numbers), and of each training row the chosen features only.
+    """
     learnable = labels.filter(remainder(F.col("doc_id"), FOLDS) != 0)
     sample = labelled_sample(docs, learnable, "toxic", fit_rows)
 
@@ -121,11 +116,41 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
                 found = [features(t or "").astype("<u4").tobytes() for t in part["text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([part["toxic"], pa.array(found, pa.binary())], ["toxic", "found"])
 
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, 1 << BITS), np.int32)
+        for batch in batches:
+            for toxic, found in zip(batch["toxic"].to_pylist(), batch["found"], strict=True):
+                counts[0 if toxic == 1 else 1, np.frombuffer(found.as_buffer(), "<u4")] += 1
+        seen = np.flatnonzero(counts.any(0))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(seen.astype(np.int32)), *(pa.array(c[seen]) for c in counts)], ["feature", "pos", "neg"]
+        )
+
     table = written(sample.select("toxic", "text").mapInArrow(extract, "toxic int, found binary"), "toxic-features")
-    share = learnable.filter(F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
-    base_rate = min(max(share or 0.0, 0.01), 0.99)
-    # A partition at a time comes to the driver.
-    return fit(lambda: ((r["toxic"] == 1, np.frombuffer(r["found"], "<u4")) for r in table.toLocalIterator()), base_rate)
+    known = learnable.filter(F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
+    base_rate = min(max(known or 0.0, 0.01), 0.99)
+    of_label = {r["toxic"]: r["count"] for r in table.groupBy("toxic").count().collect()}
+    if len(of_label) < 2:
+        return Model(np.zeros(1 << BITS, np.float32), 10.0 if 1 in of_label else -10.0, learned=False)
+    sums = [F.sum(c).cast("long").alias(c) for c in ("pos", "neg")]
+    counts = written(table.mapInArrow(tally, "feature int, pos int, neg int").groupBy("feature").agg(*sums), "toxic-counts")
+    totals = tuple(x or 0 for x in counts.agg(*sums).first())
+    frequent = counts.filter(F.col("pos") + F.col("neg") >= LEAST_TEXTS).toArrow().sort_by("feature")
+    used, pos, neg = (frequent[c].to_numpy() for c in ("feature", "pos", "neg"))
+    ratio = log_ratios(pos, neg, totals)
+    used, ratio = used[np.abs(ratio) >= LEAST_RATIO], ratio[np.abs(ratio) >= LEAST_RATIO]
+    chosen = docs.sparkSession.sparkContext.broadcast(used)  # at most 4 MB
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.full(1 << BITS, -1, np.int32)
+        number[chosen.value] = np.arange(len(chosen.value), dtype=np.int32)
+        for batch in batches:
+            own = (number[np.frombuffer(x.as_buffer(), "<u4")] for x in batch["found"])
+            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array([c[c >= 0].tobytes() for c in own], pa.binary())], ["toxic", "own"])
+
+    rows = table.mapInArrow(choose, "toxic int, own binary").toArrow()
+    columns = [np.frombuffer(x.as_buffer(), np.int32) for x in rows["own"]]
+    return fit(rows["toxic"].to_numpy() == 1, columns, used, ratio, base_rate)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:

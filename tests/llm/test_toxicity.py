@@ -23,9 +23,19 @@ def test_learns_only_outside_the_fold(spark):
     assert (one.weights == two.weights).all() and one.bias == two.bias
 
 
+def fitted(toxic, fine, base_rate):
+    """Training in one place, without Spark."""
+    rows = [t.features(x) for x in toxic + fine]
+    pos, neg = (sum(np.bincount(r, minlength=1 << t.BITS) for r in part) for part in (rows[: len(toxic)], rows[len(toxic) :]))
+    ratio = t.log_ratios(pos, neg, (pos.sum(), neg.sum()))
+    used = np.flatnonzero((pos + neg >= t.LEAST_TEXTS) & (np.abs(ratio) >= t.LEAST_RATIO))
+    columns = [np.searchsorted(used, r[np.isin(r, used)]) for r in rows]
+    return t.fit(np.arange(len(rows)) < len(toxic), columns, used, ratio[used], base_rate)
+
+
 def test_whole_text_counts():
     toxic, fine = ["you idiot " + "calm words here " * 3] * 8, ["calm words here " * 3] * 40
-    model = t.fit(lambda: ((x in toxic, t.features(x)) for x in toxic + fine), 8 / 48)
+    model = fitted(toxic, fine, 8 / 48)
     long = "calm words here " * 100_000
     assert (model.score([long + "idiot", long, None, ""]) >= 0.5).tolist() == [True, False, False, False]
     parts = t.features("ab " * 10 + "x" * 7)
