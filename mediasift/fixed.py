@@ -23,6 +23,7 @@ REVIEW_BELOW = 0.6
 NO_TEXT_SUMMARY = ("Downloaded ", " content; no textual evidence was extracted.")
 IMAGE_SUMMARY = "Image content available for visual-model analysis."
 VIDEO_SUMMARY = "Video keyframes were sampled for visual-model analysis."
+POST_EVIDENCE = "post-text-1"
 VISUAL_EVIDENCE = "Local vision model analysis of supplied images and sampled video frames."
 # Progress states that show a percentage.
 STATUSES = ("finished", "succeeded", "downloading")

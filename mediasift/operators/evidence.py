@@ -31,7 +31,7 @@ def _numbered(prefix: str, artifact_index: Column, i: Column) -> Column:
 
 def post_evidence(post_text: Column) -> Column:
     nothing = F.lit(None)
-    one = F.array(_item(F.lit("post-text-1"), "post_text", nothing, post_text, nothing, F.lit(1.0)))
+    one = F.array(_item(F.lit(fixed.POST_EVIDENCE), "post_text", nothing, post_text, nothing, F.lit(1.0)))
     return F.when(F.length(post_text) > 0, one).otherwise(empty_array(EVIDENCE_DDL))
 
 

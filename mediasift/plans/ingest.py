@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
 from ..functions.core import text_array
+from ..functions.errors import error_code, error_message
 from ..functions.hashing import content_hash
 from ..functions.urls import http_url, normalize_video_url, throttle_host
 from ..operators.audit import CONTEXT, audit_rows
@@ -108,6 +109,23 @@ def media_items(requests: DataFrame, raw: DataFrame) -> DataFrame:
     )
 
 
+def fetch_errors(failures: DataFrame | None, accepted: DataFrame) -> DataFrame:
+    """request_id, fetch_code and message of accepted requests that the fetcher failed on."""
+    if failures is None:
+        return accepted.select("request_id", *(F.lit(None).cast("string").alias(c) for c in ("fetch_code", "message"))).limit(0)
+    told = failures.filter(F.col("error").isNotNull()).groupBy("request_id").agg(F.min("error").alias("error"))
+    return told.join(accepted.select("request_id"), "request_id", "left_semi").select(
+        "request_id", error_code("error").alias("fetch_code"), error_message("error").alias("message")
+    )
+
+
+def artifact_digests(artifacts: DataFrame) -> DataFrame:
+    """request_id and a hash of its artifacts in no order: sums of two hashes of fixed width, however many there are."""
+    columns = [c for c in ("path", "size_bytes", "sha256", "media_type") if c in artifacts.columns]
+    sums = [F.sum(F.xxhash64(F.lit(i), *columns).cast("decimal(20,0)")).cast("string") for i in (0, 1)]
+    return artifacts.groupBy("request_id").agg(F.concat_ws(":", F.count("*").cast("string"), *sums).alias("artifacts_hash"))
+
+
 def ingest_media(
     requests: DataFrame,
     raw: DataFrame,
@@ -116,6 +134,7 @@ def ingest_media(
     allowed: DataFrame | Iterable[str],
     *,
     networks: DataFrame | None = None,
+    failures: DataFrame | None = None,
     interval: int | float | None = None,
     ts: str = "ts",
 ) -> tuple[DataFrame, DataFrame]:
@@ -123,8 +142,9 @@ def ingest_media(
     items of requests that succeeded. With ``interval`` outcomes have ``admit``,
     the time each accepted request is let through.
 
-    Per-request failures: broken contract, refused address, size limits, then a
-    record without a usable source address, which fails the whole request.
+    ``failures`` (request_id, error): what the fetcher said of requests that it gave up; of several the least text counts.
+    Per-request failures: broken contract, refused address, fetch failure, size limits, then a
+    record without a usable source address, which fails the whole request. ``message`` is what a fetch failure shows.
     """
     # The narrow decision table feeds four branches and the items two: each is
     # computed once.
@@ -137,6 +157,7 @@ def ingest_media(
         file_cap_mb=F.col("max_file_size_mb"),
         total_cap_mb=F.col("max_total_size_mb"),
     ).select("request_id", F.col("error_code").alias("limit_code"))
+    fetched = fetch_errors(failures, accepted)
     items = cut(media_items(accepted, raw))
     per_request = items.groupBy("request_id").agg(
         F.bool_or(http_url(F.col("source_url")).isNull()).alias("bad_item"), F.count("*").alias("n_items"),
@@ -145,14 +166,16 @@ def ingest_media(
     )
     outcomes = (
         checked.join(limits, "request_id", "left")
+        .join(fetched, "request_id", "left")
+        .join(artifact_digests(artifacts), "request_id", "left")
         .join(per_request, "request_id", "left")
         .withColumn(
             "error_code",
-            F.coalesce("error_code", "limit_code", F.when(F.col("bad_item"), "download_failed")),
+            F.coalesce("error_code", "fetch_code", "limit_code", F.when(F.col("bad_item"), "download_failed")),
         )
         .withColumn("n_items", F.when(F.col("error_code").isNull(), F.coalesce("n_items", F.lit(0))))
         .withColumn("items_hash", F.sha2(F.array_join(F.transform("hashes", lambda x: x["h"]), ","), 256))
-        .drop("limit_code", "bad_item", "hashes")
+        .drop("limit_code", "fetch_code", "bad_item", "hashes")
     )
     if interval is not None:
         outcomes = outcomes.join(admissions(accepted, interval, ts), "request_id", "left")
@@ -164,9 +187,10 @@ def download_audit(
     outcomes: DataFrame, *, tool_name: str = "download_media", tool_version: str = "1.5.0",
     created_at: Column | None = None,
 ) -> DataFrame:
+    """One audit row per request; the output hash covers its items and artifacts."""
     context = [c for c in CONTEXT if c in outcomes.columns]
     hashed = outcomes.select(
         *context, "input_hash", "error_code",
-        F.sha2(F.concat_ws("|", "input_hash", F.col("n_items").cast("string"), "items_hash"), 256).alias("output_hash"),
+        F.sha2(F.concat_ws("|", "input_hash", F.col("n_items").cast("string"), "items_hash", F.coalesce("artifacts_hash", F.lit(""))), 256).alias("output_hash"),
     )
     return audit_rows(hashed, tool_name=tool_name, tool_version=tool_version, created_at=created_at)

@@ -16,6 +16,37 @@ from ..functions.text import (
 from ..schemas import SEMANTIC
 
 
+def semantic_fields(
+    text: Column, post: Column, spoken: Column, seen: Column, modalities: Column, hint: Column, refs: Column
+) -> dict[str, Column]:
+    """The 13 semantic fields of collapsed texts; ``text`` is post, transcript and OCR text together."""
+    av = F.concat_ws(" ", nonempty(spoken), nonempty(seen))
+    claim = first_sentence_collapsed(post)
+    has_text = text != ""
+    head, tail = fixed.NO_TEXT_SUMMARY
+    no_text = F.concat(F.lit(head), F.array_join(modalities, " and "), F.lit(tail))
+    fields = {
+        "language": F.coalesce(nonempty(hint), detect_language(text)),
+        "summary": F.when(has_text, compact_collapsed(text)).otherwise(no_text),
+        "topics": keywords(text),
+        "entities": empty_array("string"),
+        "claims": F.when(claim != "", F.array(claim)).otherwise(empty_array("string")),
+        "image_summary": F.when(
+            F.array_contains(modalities, "image"), F.coalesce(nonempty(compact_collapsed(seen)), F.lit(fixed.IMAGE_SUMMARY))
+        ),
+        "video_summary": F.when(
+            F.array_contains(modalities, "video"), F.coalesce(nonempty(compact_collapsed(av)), F.lit(fixed.VIDEO_SUMMARY))
+        ),
+        "transcript_summary": nonempty(compact_collapsed(spoken)),
+        "sentiment": F.lit("neutral"),
+        "commercial_intent": F.lit(None).cast("string"),
+        "safety_flags": empty_array("string"),
+        "confidence": F.when(has_text, 0.5).otherwise(0.3),
+        "evidence_refs": refs,
+    }
+    return {n: fields[n] for n in SEMANTIC.fieldNames()}
+
+
 def understanding(
     post_text: Column,
     transcript_text: Column,
@@ -24,7 +55,7 @@ def understanding(
     hint: Column,
     refs: Column,
 ) -> Column:
-    """The 13 semantic fields derived from text alone; null texts count as empty.
+    """The semantic fields derived from text alone, as one struct; null texts count as empty.
 
     Every text is collapsed once; summaries, keywords, language and claims all
     read the collapsed form, in which no token or letter differs.
@@ -32,35 +63,10 @@ def understanding(
 
     def derive(t: Column) -> Column:
         post, spoken, seen = t["post"], t["spoken"], t["seen"]
-        av = F.concat_ws(" ", nonempty(spoken), nonempty(seen))
-        claim = first_sentence_collapsed(post)
 
         def build(text: Column) -> Column:
-            has_text = text != ""
-            head, tail = fixed.NO_TEXT_SUMMARY
-            no_text = F.concat(F.lit(head), F.array_join(modalities, " and "), F.lit(tail))
-            fields = {
-                "language": F.coalesce(nonempty(hint), detect_language(text)),
-                "summary": F.when(has_text, compact_collapsed(text)).otherwise(no_text),
-                "topics": keywords(text),
-                "entities": empty_array("string"),
-                "claims": F.when(claim != "", F.array(claim)).otherwise(empty_array("string")),
-                "image_summary": F.when(
-                    F.array_contains(modalities, "image"),
-                    F.coalesce(nonempty(compact_collapsed(seen)), F.lit(fixed.IMAGE_SUMMARY)),
-                ),
-                "video_summary": F.when(
-                    F.array_contains(modalities, "video"),
-                    F.coalesce(nonempty(compact_collapsed(av)), F.lit(fixed.VIDEO_SUMMARY)),
-                ),
-                "transcript_summary": nonempty(compact_collapsed(spoken)),
-                "sentiment": F.lit("neutral"),
-                "commercial_intent": F.lit(None).cast("string"),
-                "safety_flags": empty_array("string"),
-                "confidence": F.when(has_text, 0.5).otherwise(0.3),
-                "evidence_refs": refs,
-            }
-            return F.struct(*[fields[n].alias(n) for n in SEMANTIC.fieldNames()])
+            fields = semantic_fields(text, post, spoken, seen, modalities, hint, refs)
+            return F.struct(*[value.alias(name) for name, value in fields.items()])
 
         return let(F.concat_ws(" ", nonempty(post), nonempty(spoken), nonempty(seen)), build)
 
@@ -78,7 +84,7 @@ def understanding(
 
 
 def understand_posts(posts: DataFrame) -> DataFrame:
-    """One row per post: request_id and the semantic fields a post alone decides.
+    """One row per post: request_id and the 13 semantic fields, by the rule of ``understanding`` for a post alone.
 
     Needs request_id, post_text and optionally language_hint. Row-local: one
     scan, no exchange.
@@ -87,15 +93,7 @@ def understand_posts(posts: DataFrame) -> DataFrame:
     norm = posts.select(
         "request_id", hint.alias("hint"), collapse_ws(F.coalesce("post_text", F.lit(""))).alias("norm")
     )
-    has_text = F.col("norm") != ""
-    head, tail = fixed.NO_TEXT_SUMMARY
-    claim = first_sentence_collapsed(F.col("norm"))
-    return norm.select(
-        "request_id",
-        F.coalesce(nonempty(F.col("hint")), detect_language("norm")).alias("language"),
-        F.when(has_text, compact_collapsed(F.col("norm"))).otherwise(head + tail).alias("summary"),
-        keywords("norm").alias("topics"),
-        F.when(has_text, F.array(claim)).otherwise(empty_array("string")).alias("claims"),
-        F.lit("neutral").alias("sentiment"),
-        F.when(has_text, 0.5).otherwise(0.3).alias("confidence"),
-    )
+    text, nothing = F.col("norm"), F.lit("")
+    refs = F.when(text != "", F.array(F.lit(fixed.POST_EVIDENCE))).otherwise(empty_array("string"))
+    fields = semantic_fields(text, text, nothing, nothing, empty_array("string"), F.col("hint"), refs)
+    return norm.select("request_id", *[value.alias(name) for name, value in fields.items()])

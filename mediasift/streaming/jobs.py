@@ -25,10 +25,12 @@ def once(rows: DataFrame, key: str, ts: str | None, delay: str) -> DataFrame:
     """The first row of each ``key``, kept in the state store for ``delay`` of event time.
 
     The event time is ``ts``, or the time of arrival where there is none. Repeats within ``delay`` are dropped, and so are rows
-    that come more than ``delay`` behind the newest; rows without key count as one key.
+    that come more than ``delay`` behind the newest. Rows without key or event time cannot be told apart and all stay.
     """
-    timed = rows.withColumn("_at", F.current_timestamp() if ts is None else F.col(ts).cast("timestamp"))
-    return timed.withWatermark("_at", delay).dropDuplicatesWithinWatermark([key]).drop("_at")
+    at = F.current_timestamp() if ts is None else F.col(ts).cast("timestamp")
+    named = F.col(key).isNotNull() & at.isNotNull()
+    timed = rows.filter(named).withColumn("_at", at).withWatermark("_at", delay)
+    return timed.dropDuplicatesWithinWatermark([key]).drop("_at").unionByName(rows.filter(~named))
 
 
 def stream_audit(

@@ -8,7 +8,7 @@ from .. import fixed
 from ..functions.hashing import Engines
 from ..operators.audit import audit_append, audit_rows
 from ..plans.analyze import analyze_content
-from ..plans.ingest import ingest_media
+from ..plans.ingest import download_audit, ingest_media
 from ..plans.model import analyze_with_model
 from ..plans.run_analysis import analysis_audit, run_analysis
 from ..schemas import ANALYSIS, AUDIT, OBSERVATION, REQUEST_DEFAULTS
@@ -347,10 +347,19 @@ def download_requests(spark, d) -> DataFrame:
         F.array(v.cat(scheme, "://supplier-", nation, site, "/u/", F.col("c_custkey"))).alias("urls"),
         (1 + F.col("c_nationkey") % 9).alias("max_items"),
         F.lit(1).alias("max_file_size_mb"), F.lit(3).alias("max_total_size_mb"),
-        (F.col("c_custkey") * 1000).alias("ts"),
+        (F.col("c_custkey") * 1000).alias("ts"), v.cat("d-", F.col("c_custkey")).alias("trace_id"),
     )
 
 
+def fetch_failures(spark, d) -> DataFrame:
+    """What a fetcher said of some requests."""
+    key = F.col("c_custkey")
+    error = F.when(key % 17 == 0, v.cat("ERROR: Unsupported URL: https://x.example.com/", key, " given")).when(
+        key % 17 == 1, v.cat("ERROR: [twitter] ", key, ": No video could be found in this tweet")
+    ).when(key % 17 == 2, v.cat("timed out after ", key))
+    return v.table(spark, d, "customer").select(key.alias("request_id"), error.alias("error")).filter("error IS NOT NULL")
+
+
 def download_files(spark, d) -> DataFrame:
     return v.table(spark, d, "orders").select(
         F.col("o_custkey").alias("request_id"), (F.bround("o_totalprice").cast("bigint") * 2).alias("size_bytes")
@@ -368,7 +377,9 @@ INGEST_SQL = f"""WITH req AS (SELECT c_custkey AS request_id, c_mktsegment AS te
       OR starts_with(ip, '198.18.') OR starts_with(ip, '203.0.') AND NOT starts_with(ip, '203.0.113.') OR starts_with(ip, '172.15.') OR starts_with(ip, '224.')) THEN 'unsafe_url' END AS code
     FROM req r LEFT JOIN dns ON dns.host = r.h),
   sizes AS (SELECT o_custkey, max(b) AS largest, sum(b) AS total FROM (SELECT o_custkey, CAST(round_even(o_totalprice, 0) AS BIGINT) * 2 AS b FROM orders) GROUP BY o_custkey),
-  judged AS (SELECT c.request_id, tenant_id, nk, max_items, ts, h, coalesce(code, CASE WHEN largest > 1048576 OR total > 3145728 THEN 'limit_exceeded' END) AS error_code, code IS NULL AS accepted
+  judged AS (SELECT c.request_id, tenant_id, nk, max_items, ts, h, CASE WHEN code IS NULL THEN CASE c.request_id % 17
+      WHEN 0 THEN 'ERROR: Unsupported URL: [url] given' WHEN 1 THEN '{fixed.ERR_NO_TWEET_VIDEO}' WHEN 2 THEN 'timed out after ' || c.request_id END END AS message,
+      coalesce(code, CASE c.request_id % 17 WHEN 0 THEN 'unsupported_url' WHEN 1 THEN 'download_failed' WHEN 2 THEN 'download_failed' END, CASE WHEN largest > 1048576 OR total > 3145728 THEN 'limit_exceeded' END) AS error_code, code IS NULL AS accepted
     FROM checked c LEFT JOIN sizes s ON s.o_custkey = c.request_id),
   leaves AS ({LEAVES_SQL}),
   kept AS (SELECT l.*, row_number() OVER (PARTITION BY l.request_id ORDER BY url_index, n) AS item_no, max_items FROM leaves l JOIN judged j ON j.request_id = l.request_id AND error_code IS NULL
@@ -380,15 +391,31 @@ INGEST_SQL = f"""WITH req AS (SELECT c_custkey AS request_id, c_mktsegment AS te
     f"""{INGEST_SQL},
   calls_ AS (SELECT request_id, ts, tenant_id || nk AS k, row_number() OVER (PARTITION BY tenant_id, nk ORDER BY ts, request_id) AS i FROM judged WHERE accepted),
   adm AS (SELECT request_id, i * 20000 + max(ts - i * 20000) OVER (PARTITION BY k ORDER BY i ROWS UNBOUNDED PRECEDING) AS admit FROM calls_)
-  SELECT j.request_id, error_code, CASE WHEN error_code IS NULL THEN coalesce(n, 0) END AS n_items, admit FROM judged j
+  SELECT j.request_id, error_code, CASE WHEN error_code IS NULL THEN coalesce(n, 0) END AS n_items, admit, message FROM judged j
   LEFT JOIN (SELECT request_id, count(*) AS n FROM kept WHERE item_no <= max_items GROUP BY request_id) k ON k.request_id = j.request_id LEFT JOIN adm ON adm.request_id = j.request_id""",
 )
 def _(spark, d):
     outcomes, _items = ingest_media(
         download_requests(spark, d), site_records(spark, d), download_files(spark, d), v.dns(spark, d),
-        ["example.com", "example.net"], interval=20_000,
+        ["example.com", "example.net"], interval=20_000, failures=fetch_failures(spark, d),
+    )
+    return outcomes.select("request_id", "error_code", "n_items", "admit", "message")
+
+
+@query(
+    "download_audit",
+    f"""{INGEST_SQL}
+  SELECT 'd-' || request_id AS trace_id, tenant_id, CASE WHEN error_code IS NULL THEN 'tool.succeeded' ELSE 'tool.failed' END AS event_type, error_code,
+    'download_media' AS tool_name, error_code IS NULL AS has_output FROM judged""",
+)
+def _(spark, d):
+    outcomes, _items = ingest_media(
+        download_requests(spark, d), site_records(spark, d), download_files(spark, d), v.dns(spark, d),
+        ["example.com", "example.net"], failures=fetch_failures(spark, d),
+    )
+    return download_audit(outcomes).select(
+        "trace_id", "tenant_id", "event_type", "error_code", "tool_name", F.col("output_hash").isNotNull().alias("has_output")
     )
-    return outcomes.select("request_id", "error_code", "n_items", "admit")
 
 
 @query(
@@ -399,22 +426,16 @@ def _(spark, d):
 def _(spark, d):
     _outcomes, items = ingest_media(
         download_requests(spark, d), site_records(spark, d), download_files(spark, d), v.dns(spark, d),
-        ["example.com", "example.net"],
+        ["example.com", "example.net"], failures=fetch_failures(spark, d),
     )
     return items.withColumn("upload_date", F.col("upload_date").cast("string"))
 
 
 # --- sources and sinks ------------------------------------------------------
-TABLE_FILES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-
-
-# Bytes and hashes of Parquet files cannot be restated in SQL; tests cover them.
-@query(
-    "scan_artifacts",
-    f"SELECT unnest({[f'{t}.parquet' for t in TABLE_FILES]}) AS name, CAST(NULL AS VARCHAR) AS media_type",
-)
+# Bytes and hashes of Parquet files cannot be restated in SQL; tests hold them against hashlib.
+@query("scan_artifacts", None)
 def _(spark, d):
-    return scan_artifacts(spark, d).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "media_type")
+    return scan_artifacts(spark, d).withColumn("path", F.regexp_extract("path", "[^/]+/[^/]+$", 0))
 
 
 @query(

@@ -74,13 +74,14 @@ TOPICS_SQL = "SELECT request_id, string_agg(word, '|' ORDER BY rank) AS topics F
     "understand_posts",
     f"""SELECT p.request_id, {language('n')} AS language, CASE WHEN n = '' THEN '{''.join(fixed.NO_TEXT_SUMMARY)}' ELSE {compact('n')} END AS summary,
         coalesce(topics, '') AS topics, CASE WHEN n = '' THEN '' ELSE {sentence('n')} END AS claims, 'neutral' AS sentiment,
-        CASE WHEN n = '' THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS confidence
+        CASE WHEN n = '' THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS confidence, '' AS entities, NULL::VARCHAR AS image_summary, NULL::VARCHAR AS video_summary,
+        NULL::VARCHAR AS transcript_summary, NULL::VARCHAR AS commercial_intent, '' AS safety_flags, CASE WHEN n = '' THEN '' ELSE 'post-text-1' END AS evidence_refs
       FROM (SELECT request_id, {collapse('post_text')} AS n FROM posts) p
       LEFT JOIN ({TOPICS_SQL.format(ranked('posts', 'post_text'))}) t ON t.request_id = p.request_id""",
 )
 def _(spark, d):
     return understand_posts(v.posts(spark, d)).withColumns(
-        {"topics": F.array_join("topics", "|"), "claims": F.array_join("claims", "|")}
+        {c: F.array_join(c, "|") for c in ("topics", "entities", "claims", "safety_flags", "evidence_refs")}
     )
 
 

@@ -92,12 +92,14 @@ def test_audit_has_one_row_a_request(spark, tmp_path):
     from datetime import datetime
 
     at = lambda h, m=0: datetime(2024, 1, 1, h, m)
-    feed.send(("a", "i", "o", None, at(1)), ("a", "i", "o", None, at(1, 5)), ("b", "i", "o", "failed", at(1)))
+    feed.send(("a", "i", "o", None, at(1)), ("a", "i", "o", None, at(1, 5)), ("b", "i", "o", "failed", at(1)), (None, "i", "o", None, at(1)), (None, "i", "o", None, at(1)))
     feed.send(("a", "i", "o", None, at(1, 30)), ("c", "i", "o", None, at(8)))
     # Seven hours behind the newest: late, dropped.
     feed.send(("d", "i", "o", None, at(1)), ("c", "i", "o", None, at(8, 10)))
     rows = spark.read.parquet(str(tmp_path / "table")).collect()
-    assert sorted((r["trace_id"], r["event_type"]) for r in rows) == [("a", "tool.succeeded"), ("b", "tool.failed"), ("c", "tool.succeeded")]
+    assert sorted((str(r["trace_id"]), r["event_type"]) for r in rows) == [
+        ("None", "tool.succeeded"), ("None", "tool.succeeded"), ("a", "tool.succeeded"), ("b", "tool.failed"), ("c", "tool.succeeded"),
+    ]
 
 
 def outputs(spark, rows):
