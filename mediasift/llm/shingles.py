@@ -330,8 +330,11 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     found = written(gram_sets(docs), "gram-sets")
     linkable = found.filter("keys is not null")
-    sets = linkable.groupBy("set").agg(F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    sets = written(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
+    least_id = F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("doc_id")
+    sets = linkable.groupBy("set").agg(F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), least_id)
+    # Numbers of their own that keep the order of the ids: leaders are those that ``near_duplicates`` takes.
+    ordered = sets.repartitionByRange("doc_id", "set").sortWithinPartitions("doc_id", "set")
+    sets = written(ordered.withColumn("id", F.monotonically_increasing_id()).drop("doc_id"), "sets")
     texts = linkable.join(_classes(sets), "set").groupBy("class", "doc_id", "digest").agg(F.count("*").alias("n"))
     texts = written(texts, "grouped-texts")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
