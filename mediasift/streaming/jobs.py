@@ -3,7 +3,10 @@ checkpoint folder and trigger; ``availableNow`` drains a source and stops."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.hashing import Engines
@@ -11,7 +14,7 @@ from ..operators.audit import audit_rows
 from ..operators.manifest import explode_artifacts, resolved_path
 from ..operators.progress import latest_progress, progress_status
 from ..plans.run_analysis import ToolName, analysis_audit, cache_puts, run_analysis
-from ..session import cut
+from ..session import DEFAULTS, cut
 from ..sources.cache_log import CacheLog, CacheView
 from ..sources.tables import put_cache
 from .admission import admitted
@@ -21,6 +24,19 @@ def _available(query, checkpoint: str):
     return query.option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+@contextmanager
+def _state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which ``transformWithState`` asks for; Spark's default store cannot
+    hold it. A stream has its own copy of the settings from its start on, so the session gets back what it had."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, DEFAULTS[name])
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def once(rows: DataFrame, key: str, ts: str | None, delay: str) -> DataFrame:
     """The first row of each ``key``, kept in the state store for ``delay`` of event time.
 
@@ -105,9 +121,9 @@ def stream_throttle(calls: DataFrame, interval: int, *, folder: str, delay: int)
     if delay < interval:
         raise ValueError("delay must be at least interval")
     rows = admitted(calls, interval, delay)
-    return _available(
-        rows.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/admitted"), f"{folder}/checkpoint"
-    ).start()
+    writer = rows.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/admitted")
+    with _state_in_rocksdb(calls.sparkSession):
+        return _available(writer, f"{folder}/checkpoint").start()
 
 
 def stream_progress(events: DataFrame, folder: str) -> StreamingQuery:

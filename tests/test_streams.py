@@ -85,6 +85,19 @@ def test_throttle_delay_covers_the_interval(spark, tmp_path):
         jobs.stream_throttle(spark.range(1), 100, folder=str(tmp_path), delay=10)
 
 
+def test_throttle_in_a_session_with_another_state_store(spark, tmp_path):
+    """A session that says nothing of its state store has one that cannot hold the state of the throttle."""
+    name, plain_store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, plain_store)
+    try:
+        throttle(spark, tmp_path).send(("a", 1, 1_000 * MS), ("a", 2, 1_001 * MS))
+        assert spark.conf.get(name) == plain_store
+    finally:
+        spark.conf.set(name, before)
+    assert admissions(spark, tmp_path) == {1: 1_000 * MS, 2: 1_020 * MS}
+
+
 def test_audit_has_one_row_a_request(spark, tmp_path):
     schema = "trace_id string, input_hash string, output_hash string, error_code string, at timestamp"
     start = lambda s: jobs.stream_audit(s, str(tmp_path / "table"), str(tmp_path / "checkpoint"), ts="at")
