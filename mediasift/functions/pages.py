@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as _html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -24,6 +25,15 @@ def html_unescape(text: Column | str) -> Column:
     return F.when(text.contains("&"), _unescape(F.when(text.contains("&"), text))).otherwise(text)
 
 
+def markup_unescape(text: Column | str) -> Column:
+    """Only what escaping for markup writes: the five references to its own characters, each closed by a semicolon.
+    An ampersand that begins none of these stays, as ``&amp`` without semicolon does."""
+    text = col(text)
+    for reference, character in fixed.MARKUP_REFERENCES:
+        text = F.replace(text, F.lit(reference), F.lit(character))
+    return text
+
+
 def video_id_from_html(html: Column | str) -> Column:
     return nonempty(F.regexp_extract(col(html), f"{fixed.VIDEO_ID_MARK}([0-9]+)%22", 1))
 
@@ -54,9 +64,10 @@ def page_title(
     *,
     site: str = "Douyin",
     pattern: str = fixed.META_TITLE_PATTERN,
+    unescape: Callable[[Column], Column] = html_unescape,
 ) -> Column:
     """Unescaped title; the default name when missing or undecodable."""
     html = col(html)
     default = F.concat(F.lit(f"{site}-"), page_id.cast("string"))
-    title = html_unescape(F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1)))
+    title = unescape(F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1)))
     return F.when(title.isNull() | title.contains("\ufffd"), default).otherwise(title)
