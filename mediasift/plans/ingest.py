@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
 from ..functions.core import text_array
-from ..functions.errors import error_code, error_message
+from ..functions.errors import classified
 from ..functions.hashing import content_hash
 from ..functions.urls import http_url, normalize_video_url, throttle_host
 from ..operators.audit import CONTEXT, audit_rows
@@ -114,9 +114,8 @@ def fetch_errors(failures: DataFrame | None, accepted: DataFrame) -> DataFrame:
     if failures is None:
         return accepted.select("request_id", *(F.lit(None).cast("string").alias(c) for c in ("fetch_code", "message"))).limit(0)
     told = failures.filter(F.col("error").isNotNull()).groupBy("request_id").agg(F.min("error").alias("error"))
-    return told.join(accepted.select("request_id"), "request_id", "left_semi").select(
-        "request_id", error_code("error").alias("fetch_code"), error_message("error").alias("message")
-    )
+    found = told.join(accepted.select("request_id"), "request_id", "left_semi").select("request_id", classified("error").alias("found"))
+    return found.select("request_id", F.col("found.code").alias("fetch_code"), F.col("found.shown").alias("message"))
 
 
 def artifact_digests(artifacts: DataFrame) -> DataFrame:
