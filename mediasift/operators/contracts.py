@@ -11,6 +11,7 @@ from ..schemas import DOWNLOAD_DEFAULTS, REQUEST_DEFAULTS
 Rules = dict[str, Column]
 
 SEGMENT_CHARS = 20_000
+POST_CHARS = 100_000
 
 
 def broken(rules: Rules) -> Column:
@@ -36,7 +37,8 @@ def _optional(value: Column, rule: Column) -> Column:
     return value.isNull() | rule
 
 
-def analysis_rules() -> Rules:
+def analysis_rules(post_chars: int | None = POST_CHARS) -> Rules:
+    """Rules of a request; without ``post_chars`` a post may be of any length."""
     artifacts, hint, text = F.col("artifacts"), F.col("language_hint"), F.col("post_text")
     return {
         "artifacts": F.size(artifacts).between(1, 100),
@@ -49,7 +51,7 @@ def analysis_rules() -> Rules:
         "artifact_media_type": F.forall(
             artifacts, lambda a: _optional(a["media_type"], F.length(a["media_type"]) <= 255)
         ),
-        "post_text": _optional(text, F.length(text) <= 100_000),
+        "post_text": F.lit(True) if post_chars is None else _optional(text, F.length(text) <= post_chars),
         "source_url": _optional(F.col("source_url"), http_url(F.col("source_url")).isNotNull()),
         "language_hint": _optional(hint, F.length(hint) <= 32),
         "max_video_duration_seconds": F.col("max_video_duration_seconds").between(1, 21_600),
@@ -58,12 +60,12 @@ def analysis_rules() -> Rules:
     }
 
 
-def validate_analysis_requests(requests: DataFrame) -> DataFrame:
+def validate_analysis_requests(requests: DataFrame, post_chars: int | None = POST_CHARS) -> DataFrame:
     """Adds ``violations``; defaults filled in and the language hint trimmed."""
     filled = with_defaults(requests, REQUEST_DEFAULTS)
     return filled.withColumns(
         {
-            "violations": broken(analysis_rules()),
+            "violations": broken(analysis_rules(post_chars)),
             "language_hint": nonempty(strip("language_hint")),
         }
     )

@@ -10,7 +10,7 @@ from .. import fixed
 from ..functions.hashing import Engines, cache_key, content_hash
 from ..operators.audit import CONTEXT, audit_rows
 from ..operators.cache import cache_lookup, join_known, mark_first
-from ..operators.contracts import validate_analysis_requests
+from ..operators.contracts import POST_CHARS, validate_analysis_requests
 from ..operators.manifest import MB, explode_artifacts, first_error, verify_manifest
 from ..schemas import ANALYSIS, REQUEST
 from ..session import cut
@@ -35,13 +35,13 @@ def input_hash() -> Column:
     return content_hash(F.struct(*INPUT_FIELDS))
 
 
-def check_requests(requests: DataFrame, files: DataFrame, root: str) -> DataFrame:
+def check_requests(requests: DataFrame, files: DataFrame, root: str, post_chars: int | None = POST_CHARS) -> DataFrame:
     """Adds input_hash, error_code and message; null codes mark requests that may run.
 
     The file check works on the exploded manifest (one exchange by path, one
     by request) and comes back as one row per request.
     """
-    checked = validate_analysis_requests(requests).withColumn("input_hash", input_hash())
+    checked = validate_analysis_requests(requests, post_chars).withColumn("input_hash", input_hash())
     valid = checked.filter(F.size("violations") == 0)
     manifest = first_error(
         verify_manifest(
@@ -77,7 +77,7 @@ def stored_for(cache: Cache, keys: DataFrame) -> DataFrame:
 
 
 def decide(
-    requests: DataFrame, files: DataFrame, cache: Cache | None, *, root: str, version: str
+    requests: DataFrame, files: DataFrame, cache: Cache | None, *, root: str, version: str, post_chars: int | None = POST_CHARS
 ) -> DataFrame:
     """What happens to each request, without its texts: context, input_hash,
     cache_key, work_key, error_code, message, hit, computes.
@@ -85,7 +85,7 @@ def decide(
     ``work_key`` names the computation a request takes its result from: the
     cache key, or the request itself when it is forced.
     """
-    checked = check_requests(requests, files, root)
+    checked = check_requests(requests, files, root, post_chars)
     request = {n: F.col(n) for n in REQUEST.fieldNames() if n in checked.columns}
     keyed = checked.withColumn(
         "cache_key", F.when(F.col("error_code").isNull(), cache_key(request, version))
@@ -122,16 +122,19 @@ def run_analysis(
     cache: Cache | None = None,
     replies: DataFrame | None = None,
     engines: Engines = Engines(),
+    post_chars: int | None = POST_CHARS,
 ) -> DataFrame:
     """One row per request: request_id, context, input_hash, cache_key, output,
     error_code, message, computed (whether this request ran the analysis).
 
+    A post over ``post_chars`` breaks the contract; without that limit it fails in the analysis, as any over 10,000 does.
+
     The decisions are a narrow table computed once; request texts are read for
     the keys and then only for the requests that compute.
     """
-    decisions = decide(requests, files, cache, root=root, version=engines.version)
+    decisions = decide(requests, files, cache, root=root, version=engines.version, post_chars=post_chars)
     computing = decisions.filter("computes").select("request_id", "work_key")
-    work = validate_analysis_requests(requests).drop("violations").join(computing, "request_id")
+    work = validate_analysis_requests(requests, post_chars).drop("violations").join(computing, "request_id")
     # With many hits, or a small batch, most of the other inputs is not needed:
     # a small id list is broadcast and cuts them before they are shuffled.
     ids = computing.select("request_id")

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.hashing import Engines
 from ..operators.audit import audit_rows
+from ..operators.contracts import POST_CHARS
 from ..operators.manifest import explode_artifacts, resolved_path
 from ..operators.progress import latest_progress, progress_status
 from ..plans.run_analysis import ToolName, analysis_audit, cache_puts, run_analysis
@@ -82,6 +83,7 @@ def stream_analyze(
     tool: ToolName = ToolName(),
     ts: str | None = None,
     delay: str = "1 hour",
+    post_chars: int | None = POST_CHARS,
 ) -> StreamingQuery:
     """Analyses requests as they land: each request once (see ``once``), one computation per cache key.
 
@@ -99,7 +101,8 @@ def stream_analyze(
         cache = CacheView(CacheLog(spark, cache_path), before=number)
         named = explode_artifacts(batch).select(resolved_path("path", root).alias("path")).distinct()
         results = run_analysis(
-            batch, files.join(named, "path", "left_semi"), observations, root=root, cache=cache, replies=replies, engines=engines
+            batch, files.join(named, "path", "left_semi"), observations, root=root, cache=cache, replies=replies, engines=engines,
+            post_chars=post_chars,
         )
         out = f"{folder}/results/batch={number}"
         results.write.mode("overwrite").parquet(out)

@@ -166,3 +166,17 @@ def test_cache_log_commits_whole_manifests(spark, tmp_path):
     stray = two._write(outputs(spark, [(2, "b")]).selectExpr("cache_key", "to_json(output) AS output", "5L AS batch"), 0, 5, 5)
     assert stray.rows == 1 and len(cached(one.entries())) == 1
     assert CacheLog(spark, str(tmp_path / "none")).runs() == [] and CacheLog(spark, str(tmp_path / "none")).entries().count() == 0
+
+
+def test_posts_of_any_length_reach_the_analysis(spark, tmp_path):
+    """The SQL of these queries knows no longest post: one over 100,000 characters fails like any over 10,000."""
+    from mediasift.suite.load import QUERIES
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = ["short one", "long " * 20_001, "long " * 20_001, "long " * 2_001]
+    rows = [(i, t, "en", "src1", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    want = {0: (None, True), 1: ("analysis_failed", True), 2: ("analysis_failed", False), 3: ("analysis_failed", True)}
+    for name in ("stream_analyze", "run_analysis"):
+        found = QUERIES[name](spark, str(tmp_path)).collect()
+        assert {r["request_id"]: (r["error_code"], r["computed"]) for r in found} == want, name
