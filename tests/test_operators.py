@@ -296,6 +296,17 @@ def test_flatten_any_depth(spark):
     assert got == {i: leaves(r) for i, r in enumerate(raws) if leaves(r)}
 
 
+def test_records_are_looked_at_once_and_opened_to_the_end(spark):
+    deep = {"id": "bottom"}
+    for k in range(3 * records.FIRST_LEVELS):
+        deep = {"id": f"n{k}", "entries": [deep]}
+    rows = spark.createDataFrame([(1, json.dumps({"entries": [{"id": "a", "note": "\"entries\""}, deep]}))], "request_id int, raw string")
+    flat = records.flatten_entries(rows.select("request_id", F.try_parse_json("raw").alias("record")))
+    # One look at the root, and one at each child in the first levels and in the others.
+    assert flat._jdf.queryExecution().optimizedPlan().toString().count("try_variant_get(") <= 3
+    assert [r["id"] for r in flat.orderBy("path").select(F.try_variant_get("record", "$.id", "string").alias("id")).collect()] == ["a", "bottom"]
+
+
 def test_normalized_record(spark):
     raw = {"id": "c-9", "extractor_key": "Harbor", "title": "Boats at noon", "uploader": "mona", "upload_date": "20250317",
            "duration": 31.25, "view_count": 640, "webpage_url": "https://clips.example.org/b/9"}
