@@ -95,11 +95,11 @@ def media_items(requests: DataFrame, raw: DataFrame) -> DataFrame:
     depth first, cut to ``max_items`` in address order, over-long media dropped.
     """
     wanted = requests.select("request_id", "max_items", "max_duration_seconds")
-    flat = flatten_entries(raw).filter(F.col("record").isNotNull())
+    # Only records that are asked for are parsed and opened; the key alone may pass below what makes them.
+    asked = raw.join(wanted.select("request_id"), "request_id", "left_semi").join(wanted, "request_id")
+    flat = flatten_entries(asked).filter(F.col("record").isNotNull())
     kept = cap_items(
-        flat.join(wanted, "request_id").filter(
-            record_duration_ok(F.col("record"), F.col("max_duration_seconds"))
-        ),
+        flat.filter(record_duration_ok(F.col("record"), F.col("max_duration_seconds"))),
         F.col("max_items"), "url_index", "path",
     )
     columns = normalize_media_info(F.col("record"), F.col("source_url"))
@@ -145,7 +145,7 @@ def ingest_media(
     Per-request failures: broken contract, refused address, fetch failure, size limits, then a
     record without a usable source address, which fails the whole request. ``message`` is what a fetch failure shows.
     """
-    # The narrow decision table feeds four branches and the items two: each is
+    # The narrow decision tables feed several branches and the items two: each is
     # computed once.
     checked = cut(check_downloads(requests, dns, allowed, networks))
     accepted = checked.filter(F.col("error_code").isNull())
@@ -156,25 +156,26 @@ def ingest_media(
         file_cap_mb=F.col("max_file_size_mb"),
         total_cap_mb=F.col("max_total_size_mb"),
     ).select("request_id", F.col("error_code").alias("limit_code"))
-    fetched = fetch_errors(failures, accepted)
-    items = cut(media_items(accepted, raw))
+    # What fails before its records are read has no items, so these are opened for the others only.
+    judged = cut(
+        checked.join(limits, "request_id", "left")
+        .join(fetch_errors(failures, accepted), "request_id", "left")
+        .withColumn("error_code", F.coalesce("error_code", "fetch_code", "limit_code"))
+        .drop("limit_code", "fetch_code")
+    )
+    items = cut(media_items(judged.filter(F.col("error_code").isNull()), raw))
     per_request = items.groupBy("request_id").agg(
         F.bool_or(http_url(F.col("source_url")).isNull()).alias("bad_item"), F.count("*").alias("n_items"),
         # No more items than the request's cap allows.
         F.sort_array(F.collect_list(F.struct("item_no", content_hash(F.struct(*MEDIA_INFO.fieldNames())).alias("h")))).alias("hashes"),
     )
     outcomes = (
-        checked.join(limits, "request_id", "left")
-        .join(fetched, "request_id", "left")
-        .join(artifact_digests(artifacts), "request_id", "left")
+        judged.join(artifact_digests(artifacts), "request_id", "left")
         .join(per_request, "request_id", "left")
-        .withColumn(
-            "error_code",
-            F.coalesce("error_code", "fetch_code", "limit_code", F.when(F.col("bad_item"), "download_failed")),
-        )
+        .withColumn("error_code", F.coalesce("error_code", F.when(F.col("bad_item"), "download_failed")))
         .withColumn("n_items", F.when(F.col("error_code").isNull(), F.coalesce("n_items", F.lit(0))))
         .withColumn("items_hash", F.sha2(F.array_join(F.transform("hashes", lambda x: x["h"]), ","), 256))
-        .drop("limit_code", "fetch_code", "bad_item", "hashes")
+        .drop("bad_item", "hashes")
     )
     if interval is not None:
         outcomes = outcomes.join(admissions(accepted, interval, ts), "request_id", "left")

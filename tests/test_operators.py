@@ -13,7 +13,7 @@ from mediasift.functions.replies import parse_semantic_payload
 from mediasift.operators import cache, contracts, keywords, manifest, plugins, policy, progress, records, sampling, throttle
 from mediasift.operators.blocks import in_blocks
 from mediasift.plans.analyze import analyze_content
-from mediasift.plans.ingest import ingest_media
+from mediasift.plans.ingest import ingest_media, media_items
 from mediasift.plans.run_analysis import analysis_audit, cache_puts, run_analysis
 from mediasift.schemas import MEDIA_INFO, OBSERVATION, REQUEST, REQUEST_DEFAULTS
 from mediasift.sources.files import file_table, scan_artifacts, scan_images
@@ -307,6 +307,18 @@ def test_records_are_looked_at_once_and_opened_to_the_end(spark):
     assert [r["id"] for r in flat.orderBy("path").select(F.try_variant_get("record", "$.id", "string").alias("id")).collect()] == ["a", "bottom"]
 
 
+def test_only_records_of_requests_that_may_have_items_are_opened(spark):
+    rows = spark.createDataFrame([(1, 5, 100)], "request_id long, max_items int, max_duration_seconds int")
+    raw = spark.range(9).select(
+        F.col("id").alias("request_id"), F.lit(1).alias("url_index"), F.lit("u").alias("source_url"), F.try_parse_json(F.lit('{"id":1}')).alias("record")
+    )
+    items = media_items(rows, raw)
+    plan = items._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    opened = min(i for i, line in enumerate(plan) if "Generate" in line)
+    assert all(i > opened for i, line in enumerate(plan) if "Join" in line)
+    assert [r["request_id"] for r in items.collect()] == [1]
+
+
 def test_normalized_record(spark):
     raw = {"id": "c-9", "extractor_key": "Harbor", "title": "Boats at noon", "uploader": "mona", "upload_date": "20250317",
            "duration": 31.25, "view_count": 640, "webpage_url": "https://clips.example.org/b/9"}
@@ -348,6 +360,8 @@ def test_ingest_refuses_and_limits(spark):
         6: "platform_unavailable", 7: "download_failed",
     }
     assert [got[k]["admit"] for k in (1, 2, 7)] == [1, 11, 21]
+    # What the limits refuse is not read: it has no items to hash.
+    assert got[1]["items_hash"] is not None and got[2]["items_hash"] is None
     assert [(r["request_id"], r["media_id"]) for r in items.collect()] == [(1, "1")]
 
 
