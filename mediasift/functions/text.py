@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import sys
+from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import Column, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, functions as F, types as T
 
 from .. import fixed
-from .core import col, empty_array, let, sql_text
+from .core import col, fits, let, sql_text
 
-KEYWORD = "struct<n:int,pos:int,word:string>"
+_LATIN_TOKEN = "[a-z][a-z0-9_-]{2,}"
+_CJK_TOKEN = f"[{fixed.CJK}]{{2,8}}"
 
 
 def collapse_ws(text: Column | str) -> Column:
-    return F.trim(F.regexp_replace(col(text), f"[{fixed.WS}]+", " "))
+    """Runs of blanks of any kind as one space. Single spaces, mostly all blanks, stay as they are, and
+    visible ASCII is told apart by one range, before the wide class is asked."""
+    return F.trim(F.regexp_replace(col(text), f"[[^ -~]&&[{fixed.WS}]][{fixed.WS}]*| [{fixed.WS}]+", " "))
 
 
 def compact_collapsed(norm: Column, maximum: int = fixed.SUMMARY_CHARS) -> Column:
-    return F.when(F.length(norm) <= maximum, norm).otherwise(
+    return F.when(fits(norm, maximum), norm).otherwise(
         F.concat(F.rtrim(F.left(norm, F.lit(maximum - 1))), F.lit("…"))
     )
 
@@ -55,15 +62,18 @@ def language_of_counts(cjk: Column, latin: Column) -> Column:
 
 
 def detect_language(text: Column | str) -> Column:
-    return language_of_counts(*letter_counts(text))
+    """Letters are counted only where there are CJK ones; else one Latin letter decides."""
+    text = col(text)
+    plain = F.when(text.rlike("[A-Za-z]"), "en").otherwise("unknown")
+    return F.when(~text.rlike(f"[{fixed.CJK}]"), plain).otherwise(language_of_counts(*letter_counts(text)))
 
 
 def latin_tokens(text: Column | str) -> Column:
-    return F.regexp_extract_all(F.lower(col(text)), F.lit("[a-z][a-z0-9_-]{2,}"), F.lit(0))
+    return F.regexp_extract_all(F.lower(col(text)), F.lit(_LATIN_TOKEN), F.lit(0))
 
 
 def cjk_tokens(text: Column | str) -> Column:
-    return F.regexp_extract_all(col(text), F.lit(f"[{fixed.CJK}]{{2,8}}"), F.lit(0))
+    return F.regexp_extract_all(col(text), F.lit(_CJK_TOKEN), F.lit(0))
 
 
 def union_tokens(text: Column | str) -> Column:
@@ -71,35 +81,62 @@ def union_tokens(text: Column | str) -> Column:
     return F.concat(latin_tokens(text), cjk_tokens(text))
 
 
-def keyword_counts(text: Column | str) -> Column:
-    """array<struct<n,pos,word>>: frequency and first position of each token
-    that is no stop word, in no particular order.
+def _word_counter() -> Callable[[str], tuple[list[str], Counter[str]]]:
+    """A function that holds all it needs, so that workers need no package but Spark's."""
+    latin, cjk, stop = re.compile(_LATIN_TOKEN), re.compile(_CJK_TOKEN), fixed.STOP_WORDS
+
+    def words(text: str) -> tuple[list[str], Counter[str]]:
+        """Tokens as ``union_tokens`` gives them, and how often each occurs that is no stop word, first seen first."""
+        found = latin.findall(text.lower())
+        if not text.isascii():
+            found += cjk.findall(text)
+        counts = Counter(found)
+        for word in stop:
+            counts.pop(word, None)
+        return found, counts
+
+    return words
+
+
+_words = _word_counter()
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([
+    T.StructField("n", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("word", T.StringType()),
+])))
+def _counted(texts: pa.Array) -> pa.Array:
+    ends, n, places, words = [0], [], [], []
+    for text in texts.to_pylist():
+        if text is not None:
+            found, counts = _words(text)
+            first = dict(zip(reversed(found), range(len(found) - 1, -1, -1)))
+            n += counts.values()
+            places += map(first.__getitem__, counts)
+            words += counts
+        ends.append(len(words))
+    rows = pa.StructArray.from_arrays(
+        [pa.array(n, pa.int32()), pa.array(places, pa.int32()), pa.array(words, pa.string())], ["n", "pos", "word"]
+    )
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows, mask=texts.is_null())
 
-    Row-local: the tokens are sorted with their positions, so that equal words
-    form runs whose ends give the counts. No shuffle, O(n log n) in the text.
-    """
 
-    def count_runs(tokens: Column) -> Column:
-        size = F.size(tokens)
-        starts = F.filter(
-            F.sequence(F.lit(0), size - 1),
-            lambda k: (k == 0) | (F.get(tokens, k - 1)["w"] != F.get(tokens, k)["w"]),
-        )
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _best(texts: pa.Array, maximum: pa.Array) -> pa.Array:
+    # Of words that are as frequent the first stays first.
+    best = [
+        None if text is None else [word for word, _ in _words(text)[1].most_common(most)]
+        for text, most in zip(texts.to_pylist(), maximum.to_pylist())
+    ]
+    return pa.array(best, pa.list_(pa.string()))
 
-        def runs(first: Column) -> Column:
-            return F.transform(
-                first,
-                lambda k, j: F.struct(
-                    (F.coalesce(F.get(first, j + 1), size) - k).alias("n"),
-                    F.get(tokens, k)["p"].alias("pos"),
-                    F.get(tokens, k)["w"].alias("word"),
-                ),
-            )
 
-        return F.when(size == 0, empty_array(KEYWORD)).otherwise(let(starts, runs))
+def keyword_counts(text: Column | str) -> Column:
+    """array<struct<n,pos,word>>: frequency and first position of each token
+    that is no stop word, in no particular order.
 
-    tagged = F.transform(union_tokens(text), lambda w, p: F.struct(w.alias("w"), p.alias("p")))
-    return F.filter(let(F.sort_array(tagged), count_runs), lambda k: ~k["word"].isin(*fixed.STOP_WORDS))
+    Row-local and linear in the text: an Arrow UDF counts the tokens. Not for use inside a lambda.
+    """
+    return _counted(col(text))
 
 
 def top_keywords(counts: Column, maximum: int = fixed.TOPICS) -> Column:
@@ -117,7 +154,8 @@ def top_keywords(counts: Column, maximum: int = fixed.TOPICS) -> Column:
 
 
 def keywords(text: Column | str, maximum: int = fixed.TOPICS) -> Column:
-    return F.transform(top_keywords(keyword_counts(text), maximum), lambda k: k["word"])
+    """The best words, by the order of ``top_keywords``. Not for use inside a lambda."""
+    return _best(col(text), F.lit(maximum))
 
 
 @lru_cache(maxsize=1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.core import nonempty, strip
+from ..functions.core import fits, nonempty, strip
 from ..functions.urls import has_credentials, http_url, url_scheme
 from ..schemas import DOWNLOAD_DEFAULTS, REQUEST_DEFAULTS
 
@@ -51,7 +51,7 @@ def analysis_rules(post_chars: int | None = POST_CHARS) -> Rules:
         "artifact_media_type": F.forall(
             artifacts, lambda a: _optional(a["media_type"], F.length(a["media_type"]) <= 255)
         ),
-        "post_text": F.lit(True) if post_chars is None else _optional(text, F.length(text) <= post_chars),
+        "post_text": F.lit(True) if post_chars is None else _optional(text, fits(text, post_chars)),
         "source_url": _optional(F.col("source_url"), http_url(F.col("source_url")).isNotNull()),
         "language_hint": _optional(hint, F.length(hint) <= 32),
         "max_video_duration_seconds": F.col("max_video_duration_seconds").between(1, 21_600),
@@ -103,7 +103,7 @@ def _all(items: Column, rule) -> Column:
 def evidence_ok(evidence: Column) -> Column:
     return _all(
         evidence,
-        lambda e: _optional(e["text"], F.length(e["text"]) <= 10_000)
+        lambda e: _optional(e["text"], fits(e["text"], 10_000))
         & _optional(e["timestamp_seconds"], e["timestamp_seconds"] >= 0)
         & e["confidence"].between(0.0, 1.0),
     )

@@ -32,7 +32,7 @@ def _numbered(prefix: str, artifact_index: Column, i: Column) -> Column:
 def post_evidence(post_text: Column) -> Column:
     nothing = F.lit(None)
     one = F.array(_item(F.lit(fixed.POST_EVIDENCE), "post_text", nothing, post_text, nothing, F.lit(1.0)))
-    return F.when(F.length(post_text) > 0, one).otherwise(empty_array(EVIDENCE_DDL))
+    return F.when(post_text != "", one).otherwise(empty_array(EVIDENCE_DDL))
 
 
 def ocr_evidence(artifact_index: Column, sha256: Column, lines: Column, modality: Column) -> Column:
@@ -84,7 +84,7 @@ def clean_segments(segments: Column) -> Column:
             strip(s["text"]).alias("text"),
         ),
     )
-    return F.filter(shaped, lambda s: F.length(s["text"]) > 0)
+    return F.filter(shaped, lambda s: s["text"] != "")
 
 
 def joined(texts: Column) -> Column:
@@ -93,7 +93,7 @@ def joined(texts: Column) -> Column:
 
 def ordered_text(post_text: Column, transcript_text: Column, ocr_text: Column) -> Column:
     """Post, transcript and OCR text joined by a space, empty parts left out."""
-    return F.concat_ws(" ", *[F.when(F.length(part) > 0, part) for part in (post_text, transcript_text, ocr_text)])
+    return F.concat_ws(" ", *[F.when(part != "", part) for part in (post_text, transcript_text, ocr_text)])
 
 
 def trusted_context(assets: Column) -> Column:
@@ -119,7 +119,7 @@ def trusted_context(assets: Column) -> Column:
 
 
 def untrusted_context(evidence: Column) -> Column:
-    with_text = F.filter(evidence, lambda e: F.length(e["text"]) > 0)
+    with_text = F.filter(evidence, lambda e: e["text"] != "")
     lines = F.transform(
         with_text,
         lambda e: F.concat(F.lit("["), e["evidence_id"], F.lit("|"), e["kind"], F.lit("] "), e["text"]),
@@ -129,7 +129,7 @@ def untrusted_context(evidence: Column) -> Column:
 
 def first_refs(evidence: Column) -> Column:
     """First 20 evidence ids that have text."""
-    with_text = F.filter(evidence, lambda e: F.length(e["text"]) > 0)
+    with_text = F.filter(evidence, lambda e: e["text"] != "")
     return F.transform(F.slice(with_text, 1, fixed.REFS), lambda e: e["evidence_id"])
 
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
-from ..functions.core import empty_array, let, settle, strip, unique_texts
+from ..functions.core import empty_array, fits, let, settle, strip, unique_texts
 from ..functions.hashing import Engines
 from ..functions.media import detect_media, file_name
 from ..functions.replies import clamp01, evidence_refs, parse_semantic_payload, review_flag
+from ..functions.text import keywords
 from ..operators import contracts, evidence as ev
 from ..operators.tags import TAG_DDL, dedupe_tags, union_tags
 from ..schemas import ANALYSIS, ASSET, OBSERVATION, SEGMENT
-from .understand import understanding
+from .understand import collapsed_texts, understanding
 
 
 def group_observations(observations: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def _asset(artifact: Column, index: Column, engines: Engines) -> Column:
         ).otherwise(none)
         # A segment over its limit is a failure of the recognizer: a warning, and no transcript.
         over_long = F.coalesce(
-            F.exists(obs["segments"], lambda s: F.length(strip(s["text"])) > contracts.SEGMENT_CHARS), F.lit(False)
+            F.exists(obs["segments"], lambda s: ~fits(s["text"], contracts.SEGMENT_CHARS) & ~fits(strip(s["text"]), contracts.SEGMENT_CHARS)), F.lit(False)
         )
         asr_error = F.coalesce(obs["asr_error"], F.when(over_long, fixed.VALIDATION_ERROR))
         spoken = F.when(
@@ -157,7 +158,7 @@ def evidence_rows(requests: DataFrame, observations: DataFrame, engines: Engines
 def _early_failure() -> Column:
     """What fails a request before a model is asked."""
     return F.coalesce(
-        F.when(F.length("post_text") > 10_000, _failure("analysis_failed", fixed.MSG_ANALYSIS_FAILED)),
+        F.when(~fits(F.col("post_text"), 10_000), _failure("analysis_failed", fixed.MSG_ANALYSIS_FAILED)),
         F.col("part_failure"),
         F.when(F.size("modalities") == 0, _failure("unsupported_media", fixed.MSG_UNSUPPORTED)),
     )
@@ -199,9 +200,12 @@ def analyze_content(
     # Texts reach the understanding in asset order.
     ocr_text = ev.joined(F.flatten(F.transform("assets", lambda a: a["ocr_text"])))
     spoken = F.transform("assets", lambda a: F.transform(a["transcript"], lambda s: s["text"]))
+    # Only what no answer covers is read; the keywords stand in a step of their own, since no lambda can hold them.
+    texts = collapsed_texts(F.col("post_text"), ev.joined(F.flatten(spoken)), ocr_text)
+    rows = settle(rows, {"texts": F.when(F.col("answer").isNull(), texts)})
+    rows = rows.withColumn("words", keywords("texts.text"))
     fallback = understanding(
-        F.col("post_text"), ev.joined(F.flatten(spoken)), ocr_text, F.col("modalities"),
-        F.col("language_hint"), ev.first_refs(F.col("base_evidence")),
+        F.col("texts"), F.col("words"), F.col("modalities"), F.col("language_hint"), ev.first_refs(F.col("base_evidence"))
     )
     has_images = F.exists("assets", lambda a: (a["modality"] == "image") | (a["sampled_frame_count"] > 0))
     failed_warning = F.format_string(
@@ -219,7 +223,7 @@ def analyze_content(
                 F.col("answer").isNotNull() & has_images, ev.visual_evidence(F.col("answer.confidence"))
             ).otherwise(empty_array(ev.EVIDENCE_DDL)),
         },
-    )
+    ).drop("texts", "words")
 
     # 3. references, tags, warnings
     rows = settle(rows, {"evidence": F.concat("base_evidence", "visual")})

@@ -17,9 +17,10 @@ from ..schemas import SEMANTIC
 
 
 def semantic_fields(
-    text: Column, post: Column, spoken: Column, seen: Column, modalities: Column, hint: Column, refs: Column
+    text: Column, post: Column, spoken: Column, seen: Column, topics: Column, modalities: Column, hint: Column, refs: Column
 ) -> dict[str, Column]:
-    """The 13 semantic fields of collapsed texts; ``text`` is post, transcript and OCR text together."""
+    """The 13 semantic fields of collapsed texts; ``text`` is post, transcript and OCR text together,
+    ``topics`` its keywords."""
     av = F.concat_ws(" ", nonempty(spoken), nonempty(seen))
     claim = first_sentence_collapsed(post)
     has_text = text != ""
@@ -28,7 +29,7 @@ def semantic_fields(
     fields = {
         "language": F.coalesce(nonempty(hint), detect_language(text)),
         "summary": F.when(has_text, compact_collapsed(text)).otherwise(no_text),
-        "topics": keywords(text),
+        "topics": topics,
         "entities": empty_array("string"),
         "claims": F.when(claim != "", F.array(claim)).otherwise(empty_array("string")),
         "image_summary": F.when(
@@ -47,40 +48,29 @@ def semantic_fields(
     return {n: fields[n] for n in SEMANTIC.fieldNames()}
 
 
-def understanding(
-    post_text: Column,
-    transcript_text: Column,
-    ocr_text: Column,
-    modalities: Column,
-    hint: Column,
-    refs: Column,
-) -> Column:
-    """The semantic fields derived from text alone, as one struct; null texts count as empty.
+def collapsed_texts(post_text: Column, transcript_text: Column, ocr_text: Column) -> Column:
+    """struct<post, spoken, seen, text>, each collapsed once, ``text`` all together; null texts count as empty.
 
-    Every text is collapsed once; summaries, keywords, language and claims all
-    read the collapsed form, in which no token or letter differs.
+    Summaries, keywords, language and claims all read the collapsed form, in which no token or letter differs.
     """
 
-    def derive(t: Column) -> Column:
-        post, spoken, seen = t["post"], t["spoken"], t["seen"]
+    def clean(text: Column) -> Column:
+        return collapse_ws(F.coalesce(text, F.lit("")))
 
-        def build(text: Column) -> Column:
-            fields = semantic_fields(text, post, spoken, seen, modalities, hint, refs)
-            return F.struct(*[value.alias(name) for name, value in fields.items()])
+    def together(t: Column) -> Column:
+        text = F.concat_ws(" ", nonempty(t["post"]), nonempty(t["spoken"]), nonempty(t["seen"]))
+        return F.struct(t["post"].alias("post"), t["spoken"].alias("spoken"), t["seen"].alias("seen"), text.alias("text"))
 
-        return let(F.concat_ws(" ", nonempty(post), nonempty(spoken), nonempty(seen)), build)
+    parts = F.struct(clean(post_text).alias("post"), clean(transcript_text).alias("spoken"), clean(ocr_text).alias("seen"))
+    return let(parts, together)
 
-    def clean(text: Column) -> Column:
-        return collapse_ws(F.coalesce(text, F.lit("")))
 
-    return let(
-        F.struct(
-            clean(post_text).alias("post"),
-            clean(transcript_text).alias("spoken"),
-            clean(ocr_text).alias("seen"),
-        ),
-        derive,
+def understanding(texts: Column, topics: Column, modalities: Column, hint: Column, refs: Column) -> Column:
+    """The semantic fields derived from ``collapsed_texts`` and their keywords alone, as one struct."""
+    fields = semantic_fields(
+        texts["text"], texts["post"], texts["spoken"], texts["seen"], topics, modalities, hint, refs
     )
+    return F.struct(*[value.alias(name) for name, value in fields.items()])
 
 
 def understand_posts(posts: DataFrame) -> DataFrame:
@@ -95,5 +85,5 @@ def understand_posts(posts: DataFrame) -> DataFrame:
     )
     text, nothing = F.col("norm"), F.lit("")
     refs = F.when(text != "", F.array(F.lit(fixed.POST_EVIDENCE))).otherwise(empty_array("string"))
-    fields = semantic_fields(text, text, nothing, nothing, empty_array("string"), F.col("hint"), refs)
+    fields = semantic_fields(text, text, nothing, nothing, keywords(text), empty_array("string"), F.col("hint"), refs)
     return norm.select("request_id", *[value.alias(name) for name, value in fields.items()])
