@@ -78,17 +78,23 @@ def levelled_sample(rows: DataFrame, about: int, label: str, *keys: str) -> Data
     return kept.drop("_limit")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """doc_id, text and label of about ``rows`` labelled documents of each label value 0 and 1.
-
-    Which ones follows from a hash of the id. A document with several labels
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id and label of every labelled id. A document with several labels
     counts as 1 if any is 1; null ids, null labels and other values are left out.
     """
-    known = (
+    return (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.max(label).cast("int").alias(label))
     )
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """doc_id, text and label of about ``rows`` labelled documents of each label value 0 and 1.
+
+    Which ones follows from a hash of the id; of labels those of ``known_labels`` count.
+    """
+    known = known_labels(labels, label)
     chosen = [hashed_sample(known.filter(F.col(label) == value), rows, "doc_id") for value in (0, 1)]
     # About 2 * rows ids, whatever the input's size.
     few = F.broadcast(chosen[0].unionByName(chosen[1]))

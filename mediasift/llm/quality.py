@@ -7,20 +7,20 @@ set apart from the others is anomalous. From what score on a row is rejected fol
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words
-from .common import labelled_sample
+from .common import known_labels, remainder, written
 
-#: The forest and its threshold are fitted on about so many labelled rows of each value, by a hash of their ids.
-FIT_ROWS = 6000
+#: Each tree draws so many rows of all, as the method has it; the ranges of its cuts and the threshold come from every row.
 TREES, SAMPLE, DEPTH = 200, 256, 10
+#: Scores are told apart to one part in so many, so that they can be counted.
+GRID = 100_000
 #: Largest share of good labelled rows that the threshold may reject.
 FALSE_REJECTS = 0.003
 SYMBOLS = "#*$%&|<>"
@@ -117,15 +117,16 @@ class Forest:
     scale: float
 
     @classmethod
-    def fit(cls, x: np.ndarray, seen: np.ndarray, seed: int = 7) -> Forest:
+    def fit(cls, x: np.ndarray, seen: np.ndarray, seed: int = 7, drawn: list[np.ndarray] | None = None) -> Forest:
         """Trees over rows ``x``. Cuts are drawn over the range that ``seen`` has, not only ``x``:
-        what no row of ``x`` has is then set apart by the first cut before it."""
+        what no row of ``x`` has is then set apart by the first cut before it. ``drawn``: the rows of each tree, if chosen before."""
         random = np.random.Generator(np.random.PCG64(seed))
-        size = min(SAMPLE, len(x))
+        size = min(SAMPLE, len(x)) if drawn is None else max(map(len, drawn))
         feature = np.full((TREES, 2 ** (DEPTH + 1)), -1, np.int16)
         cut = np.zeros(feature.shape)
         for t in range(TREES):
-            nodes = [(1, x[random.choice(len(x), size, replace=False)], seen.min(0), seen.max(0), 0)]
+            own = random.choice(len(x), size, replace=False) if drawn is None else drawn[t]
+            nodes = [(1, x[own], seen.min(0), seen.max(0), 0)]
             while nodes:
                 i, rows, low, high, depth = nodes.pop()
                 split = np.flatnonzero(high > low)
@@ -154,20 +155,106 @@ def average_path(n: int) -> float:
     return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def threshold(scores: np.ndarray, good: np.ndarray) -> float:
+def threshold(scores: np.ndarray, good: np.ndarray, times: np.ndarray | None = None) -> float:
     """The score from which on rows are rejected: most bad labelled rows caught
-    while at most ``FALSE_REJECTS`` of the good ones go. Above 1 without labels of both kinds."""
-    if good.all() or not good.any():
+    while at most ``FALSE_REJECTS`` of the good ones go. Above 1 without labels of both kinds. ``times``: how many rows each is."""
+    times = np.ones(len(scores)) if times is None else times
+    if not times[good].sum() or not times[~good].sum():
         return 2.0
-    least = np.quantile(scores[good], 1 - FALSE_REJECTS)
-    cuts = np.unique(scores[scores > least])
-    if not len(cuts):
+    cuts, at = np.unique(scores, return_inverse=True)
+    lost, caught = (np.cumsum(np.bincount(at, times * of, len(cuts))[::-1])[::-1] / times[of].sum() for of in (good, ~good))
+    if lost[-1] > FALSE_REJECTS:
         return 2.0
-    gain = [(scores[~good] >= c).mean() - (scores[good] >= c).mean() for c in cuts]
-    return float(cuts[int(np.argmax(gain))])
+    return float(cuts[int(np.argmax(np.where(lost <= FALSE_REJECTS, caught - lost, -np.inf)))])
 
 
-def quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def graded(scores: np.ndarray) -> np.ndarray:
+    return np.floor(scores * GRID) / GRID
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+RATES = [f"x{i}" for i in range(9)]
+
+
+def _matrix(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.column_stack([batch[k].to_numpy() for k in RATES])
+
+
+def labelled_rates(counts: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, good, apart and rates of every labelled document that the rules keep. Of an id's texts that with the least counts counts.
+
+    ``apart`` marks the half, by ids, that the forest does not see and the threshold is found on.
+    """
+    one = (
+        counts.join(known_labels(labels, "quality"), "doc_id")
+        .groupBy("doc_id", "quality").agg(F.min(F.struct(*COUNTS, *MORE)).alias("c")).select("doc_id", "quality", "c.*")
+        .filter(~base_failed())
+        .select("doc_id", (F.col("quality") == 1).alias("good"), (remainder(F.col("doc_id"), 2) == 1).alias("apart"), *COUNTS, *MORE)
+    )
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = rates({k: batch[k].to_numpy() for k in (*COUNTS, *MORE)})
+            keys = ["doc_id", "good", "apart"]
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), *(pa.array(c) for c in x.T)], [*keys, *RATES])
+
+    return one.mapInArrow(rows, "doc_id long, good boolean, apart boolean, " + ", ".join(f"{k} double" for k in RATES))
+
+
+def _lots(ids: np.ndarray, tree: int) -> np.ndarray:
+    """What each row draws for a tree; the rows with the least lots are its own."""
+    return words.mix(words.mix(ids.astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15 * (tree + 1) % 2**64))
+
+
+def drawn_rows(rows: DataFrame, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rates of rows that some tree may draw, and the rows of each tree: those with its ``SAMPLE`` least lots of all n rows.
+
+    Lots are equally spread, so that a tree's least lie below a bound which few more do: about 350 rows a tree come
+    to the driver, however many there are.
+    """
+    share = (SAMPLE + 6 * SAMPLE**0.5) / n
+    bound = np.uint64(2**64 - 1) if share >= 1 else np.uint64(int(share * 2**64))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hit = batch["doc_id"].to_numpy(), np.zeros(batch.num_rows, bool)
+            for tree in range(TREES):
+                hit |= _lots(ids, tree) <= bound
+            yield batch.filter(pa.array(hit))
+
+    columns = rows.select("doc_id", *RATES)
+    found = columns.mapInArrow(near, columns.schema).toArrow().sort_by("doc_id")
+    ids = found["doc_id"].to_numpy()
+    return _matrix(found), [np.argsort(_lots(ids, tree), kind="stable")[:SAMPLE] for tree in range(TREES)]
+
+
+def fitted(table: DataFrame) -> tuple[Forest | None, float]:
+    """Forest and threshold from all of ``labelled_rates``."""
+    sizes = {(r["apart"], r["good"]): r["n"] for r in table.groupBy("apart", "good").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return None, 2.0
+    both = len({apart for apart, _ in sizes}) == 2
+    seen, asked = (table.filter(~F.col("apart")), table.filter("apart")) if both else (table, table)
+    of = {good: sum(n for (apart, g), n in sizes.items() if g == good and not (both and apart)) for good in (True, False)}
+    # Good rows are the background against which a row is anomalous.
+    background, n = (seen.filter("good"), of[True]) if of[True] else (seen, of[False])
+    x, drawn = drawn_rows(background, n)
+    ends = seen.agg(*(f(k).alias(f"{f.__name__}_{k}") for f in (F.min, F.max) for k in RATES)).first()
+    forest = Forest.fit(x, np.array(ends, float).reshape(2, len(RATES)), drawn=drawn)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(graded(forest.score(_matrix(batch)))), batch["good"]], ["score", "good"])
+
+    # At most GRID scores of each kind come to the driver.
+    counted = asked.mapInArrow(scored, "score double, good boolean").groupBy("score", "good").agg(F.count("*").alias("n")).toArrow()
+    return forest, threshold(counted["score"].to_numpy(), counted["good"].to_numpy(), counted["n"].to_numpy().astype(float))
+
+
+def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts and verdict of every document (doc_id, text).
 
     base_failed: under 50 words, or over half of the words in repeated windows.
@@ -176,23 +263,9 @@ def quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Dat
     columns are harmless; without usable labels nothing counts as anomalous. Very long texts are counted whole; a
     row as anomalous as the threshold is rejected; an empty table gives no rows.
     """
-    sample = labelled_sample(docs, labels, "quality", fit_rows)
-    rows = measured(sample, "quality").collect()
-    forest, limit = None, 2.0
-    if rows:
-        counts = {k: np.array([r[k] for r in rows], np.int64) for k in (*COUNTS, *MORE)}
-        failed = (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
-        x, good = rates(counts), np.array([r["quality"] == 1 for r in rows])
-        if (~failed).any():
-            # The threshold is found on rows that the forest has not seen; which, follows from their ids.
-            apart = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 2 == 1 for r in rows])
-            seen, asked = ~failed & ~apart, ~failed & apart
-            if not seen.any() or not asked.any():
-                seen = asked = ~failed
-            # Good rows are the background against which a row is anomalous.
-            background = x[seen & good] if (seen & good).any() else x[seen]
-            forest = Forest.fit(background, x[seen])
-            limit = threshold(forest.score(x[asked]), good[asked])
+    # Every text is measured once; the fit and the verdicts read its counts.
+    counted = written(measured(docs.select(F.col("doc_id").cast("long"), "text")), "quality-counts")
+    forest, limit = fitted(written(labelled_rates(counted, labels), "quality-rates"))
 
     def verdict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,10 +277,10 @@ def quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Dat
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch[k] for k in ("doc_id", *COUNTS)), pa.array(failed),
-                    pa.array(~failed & (scores < limit)), pa.array(scores),
+                    pa.array(~failed & (graded(scores) < limit)), pa.array(scores),
                 ],
                 ["doc_id", *COUNTS, "base_failed", "kept", "anomaly"],
             )
 
     out = "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS) + ", base_failed boolean, kept boolean, anomaly double"
-    return measured(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(verdict, out)
+    return counted.mapInArrow(verdict, out)

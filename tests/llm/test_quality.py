@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from mediasift.llm import quality as q, words
 
@@ -71,3 +72,30 @@ def test_patterned_lines_of_one_length():
     got = {k: int(v[0]) for k, v in q.measure(texts).items()}
     want = quality_counts(text)
     assert {k: got[k] for k in want} == want and got["n_distinct"] == 2
+
+
+def test_every_labelled_row_counts(spark):
+    """20,000 good rows, more than any former sample: ranges and threshold see them all, each tree draws from all."""
+    n = 20_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit(f"w{i}x"), F.col("id") % (7 + i)) for i in range(60))).alias("text"))
+    odd = spark.range(n, n + 40).select("id", F.concat_ws(" ", *(F.concat(F.lit("#*$"), F.lit(str(i)), F.col("id")) for i in range(60))))
+    labels = spark.range(n + 40).select(F.col("id").alias("doc_id"), (F.col("id") < n).cast("int").alias("quality"))
+    counts = q.measured(docs.unionAll(odd))
+    table = q.labelled_rates(counts, labels).cache()
+    assert table.count() == n + 40
+    good = table.filter("good AND NOT apart")
+    x, drawn = q.drawn_rows(good, good.count())
+    ids = np.sort([r["doc_id"] for r in good.select("doc_id").collect()])
+    for tree in (0, q.TREES - 1):
+        want = ids[np.argsort(q._lots(ids, tree))[: q.SAMPLE]]
+        assert len(drawn[tree]) == q.SAMPLE
+        own = {tuple(r) for r in x[drawn[tree]]}
+        assert own == {tuple(r[k] for k in q.RATES) for r in good.filter(F.col("doc_id").isin(want.tolist())).collect()}
+    forest, limit = q.fitted(table)
+    # Against the plain rule on every row of the other half.
+    rows = table.filter("apart").collect()
+    scores = q.graded(forest.score(np.array([[r[k] for k in q.RATES] for r in rows])))
+    kinds = np.array([r["good"] for r in rows])
+    assert limit == q.threshold(scores, kinds) <= 1
+    assert (scores[kinds] >= limit).mean() <= q.FALSE_REJECTS and (scores[~kinds] >= limit).mean() > 0.9
+    table.unpersist()
