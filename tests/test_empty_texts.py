@@ -43,3 +43,7 @@ def agrees(spark, folder, name):
 
 def test_validate_outputs(spark, tables):
     agrees(spark, tables, "validate_outputs")
+
+
+def test_validate_analysis_requests(spark, tables):
+    agrees(spark, tables, "validate_analysis_requests")
