@@ -35,13 +35,15 @@ def input_hash() -> Column:
     return content_hash(F.struct(*INPUT_FIELDS))
 
 
-def check_requests(requests: DataFrame, files: DataFrame, root: str, post_chars: int | None = POST_CHARS) -> DataFrame:
-    """Adds input_hash, error_code and message; null codes mark requests that may run.
+def check_requests(
+    requests: DataFrame, files: DataFrame, root: str, version: str, post_chars: int | None = POST_CHARS
+) -> DataFrame:
+    """request_id, context, force_reanalyze, input_hash, cache_key, error_code and message; null codes mark requests that may run.
 
-    The file check works on the exploded manifest (one exchange by path, one
-    by request) and comes back as one row per request.
+    Both hashes are taken where the rows are, so that no text goes through the exchanges. The file check works on
+    the exploded manifest (one exchange by path, one by request) and comes back as one row per request.
     """
-    checked = validate_analysis_requests(requests, post_chars).withColumn("input_hash", input_hash())
+    checked = validate_analysis_requests(requests, post_chars)
     valid = checked.filter(F.size("violations") == 0)
     manifest = first_error(
         verify_manifest(
@@ -51,9 +53,15 @@ def check_requests(requests: DataFrame, files: DataFrame, root: str, post_chars:
             files, root,
         )
     )
+    request = {n: F.col(n) for n in REQUEST.fieldNames() if n in checked.columns}
+    context = [c for c in CONTEXT if c in requests.columns]
+    small = checked.select(
+        "request_id", *context, "force_reanalyze", "violations", "max_total_size_mb",
+        input_hash().alias("input_hash"), cache_key(request, version).alias("cache_key"),
+    )
     over = F.col("total_size") > F.col("max_total_size_mb") * MB
     return (
-        checked.join(manifest, "request_id", "left")
+        small.join(manifest, "request_id", "left")
         .withColumns(
             {
                 "error_code": F.when(F.size("violations") > 0, "invalid_request")
@@ -64,7 +72,8 @@ def check_requests(requests: DataFrame, files: DataFrame, root: str, post_chars:
                 .when(over, fixed.MSG_TOTAL_SIZE),
             }
         )
-        .drop("first", "total_size", "violations")
+        .withColumn("cache_key", F.when(F.col("error_code").isNull(), F.col("cache_key")))
+        .select("request_id", *context, "input_hash", "cache_key", "force_reanalyze", "error_code", "message")
     )
 
 
@@ -85,15 +94,7 @@ def decide(
     ``work_key`` names the computation a request takes its result from: the
     cache key, or the request itself when it is forced.
     """
-    checked = check_requests(requests, files, root, post_chars)
-    request = {n: F.col(n) for n in REQUEST.fieldNames() if n in checked.columns}
-    keyed = checked.withColumn(
-        "cache_key", F.when(F.col("error_code").isNull(), cache_key(request, version))
-    )
-    context = [c for c in CONTEXT if c in requests.columns]
-    small = keyed.select(
-        "request_id", *context, "input_hash", "cache_key", "force_reanalyze", "error_code", "message"
-    )
+    small = check_requests(requests, files, root, version, post_chars)
     if cache is None:
         looked = small.withColumn("hit", F.lit(False))
     else:
@@ -140,27 +141,21 @@ def run_analysis(
     ids = computing.select("request_id")
     observed = observations.join(ids, "request_id", "left_semi")
     answered = replies.join(ids, "request_id", "left_semi") if replies is not None else None
-    results = analyze_content(work, observed, answered, engines, keep=("work_key",)).select(
-        "work_key",
-        F.col("output").alias("new_output"),
-        F.col("error_code").alias("new_code"),
-        F.col("message").alias("new_message"),
+    known = analyze_content(work, observed, answered, engines, keep=("work_key",)).select(
+        F.col("work_key").alias("known_key"), "output", F.col("error_code").alias("new_code"), F.col("message").alias("new_message")
     )
-    joined = join_known(decisions, results, "work_key")
-    if cache is None:
-        old = F.lit(None).cast(ANALYSIS)
-    else:
-        # Outputs are fetched for hits only.
+    if cache is not None:
+        # Outputs are fetched for hits only. A key that hits is not computed, so hits and results go through one join.
         hits = decisions.filter("hit").select("cache_key").distinct()
         stored = stored_for(cache, hits).join(hits, "cache_key", "left_semi")
-        stored = stored.select(F.col("cache_key").alias("hit_key"), F.col("output").alias("old_output"))
-        joined = join_known(joined.withColumn("hit_key", F.when(F.col("hit"), F.col("cache_key"))), stored, "hit_key")
-        old = F.col("old_output")
+        nothing = F.lit(None).cast("string")
+        known = known.unionByName(
+            stored.select(F.col("cache_key").alias("known_key"), "output", nothing.alias("new_code"), nothing.alias("new_message"))
+        )
+    asked = decisions.withColumn("known_key", F.coalesce("work_key", F.when(F.col("hit"), F.col("cache_key"))))
+    joined = join_known(asked, known, "known_key")
     # A hit, also on a result of this very batch, changes the stored output in one flag only.
-    reused = F.coalesce(old, F.when(~F.col("computes"), F.col("new_output")))
-    output = F.when(reused.isNotNull(), reused.withField("cache_hit", F.lit(True))).otherwise(
-        F.col("new_output")
-    )
+    output = F.when(F.col("computes"), F.col("output")).otherwise(F.col("output").withField("cache_hit", F.lit(True)))
     context = [c for c in CONTEXT if c in requests.columns]
     return joined.select(
         "request_id", *context, "input_hash", "cache_key",

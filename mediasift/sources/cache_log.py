@@ -94,11 +94,17 @@ class CacheLog:
 
     # --- writing ---
     def _write(self, entries: DataFrame, level: int, first: int, last: int) -> Run | None:
-        """Entries (cache_key, output, batch), one a key, as a run; None without any."""
+        """Entries (cache_key, output, batch) as a run, the greatest output of a key; None without any.
+
+        They are dealt by bucket once; inside a bucket one sort serves both the choice and the file.
+        """
         name = f"{last}-{level}-{uuid.uuid4().hex[:12]}"
         files = f"{self.path}/runs/run={name}"
-        dealt = entries.withColumn("bucket", bucket()).repartition("bucket").sortWithinPartitions("bucket", "cache_key")
-        dealt.write.partitionBy("bucket").option("parquet.bloom.filter.enabled#cache_key", "true").parquet(files)
+        dealt = entries.withColumn("bucket", bucket()).repartition("bucket").groupBy("bucket", "cache_key").agg(
+            F.max("output").alias("output"), F.max("batch").alias("batch")
+        )
+        writer = dealt.sortWithinPartitions("bucket", "cache_key").write.partitionBy("bucket").option("compression", "zstd")
+        writer.option("parquet.bloom.filter.enabled#cache_key", "true").parquet(files)
         keys = self.spark.read.schema(STORED).parquet(files).select("cache_key")
         found = keys.agg(F.count("*").alias("n"), F.min("cache_key").alias("least"), F.max("cache_key").alias("greatest")).first()
         if not found["n"]:
@@ -125,8 +131,9 @@ class CacheLog:
         runs = [r for r in self.runs() if (r.first, r.last) != (batch, batch)]
         if any(r.first <= batch <= r.last for r in runs):
             return  # merged already: later batches have been added since
-        rows = puts.filter(valid_key()).select("cache_key", F.to_json("output").alias("output"))
-        entries = rows.groupBy("cache_key").agg(F.max("output").alias("output")).withColumn("batch", F.lit(batch).cast("long"))
+        entries = puts.filter(valid_key()).select(
+            "cache_key", F.to_json("output").alias("output"), F.lit(batch).cast("long").alias("batch")
+        )
         added = self._write(entries, 0, batch, batch)
         self._commit(self._compacted(runs) + ([added] if added else []))
 

@@ -15,7 +15,7 @@ from ..operators.contracts import POST_CHARS
 from ..operators.manifest import explode_artifacts, resolved_path
 from ..operators.progress import latest_progress, progress_status
 from ..plans.run_analysis import ToolName, analysis_audit, cache_puts, run_analysis
-from ..session import DEFAULTS, cut
+from ..session import DEFAULTS, remove
 from ..sources.cache_log import CacheLog, CacheView
 from ..sources.tables import put_cache
 from .admission import admitted
@@ -88,7 +88,8 @@ def stream_analyze(
     """Analyses requests as they land: each request once (see ``once``), one computation per cache key.
 
     Per batch: results are written below ``results/batch=N``, and the audit rows
-    and cache entries are derived from that written table. A batch reads only the
+    and cache entries are derived from that written table. Its requests are kept below ``landed``
+    until their results are written. A batch reads only the
     entries of earlier batches that can answer it, and the rows of files and observations that it names, and
     replaces its own folders, so a repeated batch changes nothing.
     """
@@ -96,8 +97,10 @@ def stream_analyze(
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        # The state store is asked once for the batch, whatever reads it.
-        batch = cut(batch)
+        # The state store is asked once for the batch, whatever reads it; each reader takes the columns it needs.
+        landed = f"{folder}/landed/batch={number}"
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(landed)
+        batch = spark.read.schema(batch.schema).parquet(landed)
         cache = CacheView(CacheLog(spark, cache_path), before=number)
         named = explode_artifacts(batch).select(resolved_path("path", root).alias("path")).distinct()
         results = run_analysis(
@@ -105,7 +108,8 @@ def stream_analyze(
             post_chars=post_chars,
         )
         out = f"{folder}/results/batch={number}"
-        results.write.mode("overwrite").parquet(out)
+        results.write.mode("overwrite").option("compression", "zstd").parquet(out)
+        remove(spark, landed)
         written = spark.read.schema(results.schema).parquet(out)
         analysis_audit(written, tool).write.mode("overwrite").parquet(f"{folder}/audit/batch={number}")
         put_cache(cache_puts(written), cache_path, number)
